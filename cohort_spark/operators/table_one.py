@@ -83,29 +83,28 @@ def chi_square(df: DataFrame, names: Sequence[str], strata: str) -> DataFrame:
     is N (sum O^2 / RC - 1), and in a 2x2 table all four deviations are equal.
     """
     counts = categorical_table(df, names, strata)
-    by = {name: Window.partitionBy("variable", *keys)
-          for name, keys in (("rows", ("stratum",)), ("cols", ("level",)), ("all", ()))}
+    by_row, by_col = (Window.partitionBy("variable", key) for key in ("stratum", "level"))
     cells = counts.select(
-        "variable", "stratum", "level", F.col("n").cast("double").alias("o"),
-        *[F.sum("n").over(w).cast("double").alias(name) for name, w in by.items()])
-    expected = F.col("rows") * F.col("cols") / F.col("all")
-    rows_n, cols_n = F.count_distinct("stratum"), F.count_distinct("level")
+        "variable", F.col("n").cast("double").alias("o"),
+        F.sum("n").over(by_row).cast("double").alias("row_n"),
+        F.sum("n").over(by_col).cast("double").alias("col_n"),
+        F.sum("n").over(Window.partitionBy("variable")).cast("double").alias("all_n"),
+        F.count("*").over(by_row).alias("row_cells"), F.count("*").over(by_col).alias("col_cells"))
+    expected = F.col("row_n") * F.col("col_n") / F.col("all_n")
+    # a total occurs once per cell of its row or column, hence the shares
     sums = cells.groupBy("variable").agg(
-        F.max("all").alias("all"), F.sum(F.col("o") * F.col("o") / expected).alias("ratio"),
+        F.max("all_n").alias("all_n"), F.sum(F.col("o") * F.col("o") / expected).alias("ratio"),
         F.max(F.abs(F.col("o") - expected)).alias("gap"),
-        rows_n.alias("r"), cols_n.alias("c"),
-        F.collect_set(F.struct("stratum", "rows")).alias("r_totals"),
-        F.collect_set(F.struct("level", "cols")).alias("c_totals"))
-    plain = F.col("ratio") - F.col("all")
-
-    def inverse_sum(totals: str, field: str) -> Column:
-        return F.aggregate(F.col(totals), F.lit(0.0), lambda acc, t: acc + 1 / t[field])
-
+        F.round(F.sum(1 / F.col("row_cells"))).alias("r"),
+        F.round(F.sum(1 / F.col("col_cells"))).alias("c"),
+        F.sum(1 / (F.col("row_n") * F.col("row_cells"))).alias("r_inverse"),
+        F.sum(1 / (F.col("col_n") * F.col("col_cells"))).alias("c_inverse"))
+    plain = F.col("ratio") - F.col("all_n")
     # sum of 1 / expected over the cells is N sum(1/R) sum(1/C)
-    corrected = (F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), F.lit(2)) * F.col("all")
-                 * inverse_sum("r_totals", "rows") * inverse_sum("c_totals", "cols"))
+    corrected = (F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), F.lit(2))
+                 * F.col("all_n") * F.col("r_inverse") * F.col("c_inverse"))
     two_by_two = (F.col("r") == 2) & (F.col("c") == 2)
-    df1 = ((F.col("r") - 1) * (F.col("c") - 1)).cast("double")
+    df1 = (F.col("r") - 1) * (F.col("c") - 1)
     statistic = F.when(df1 > 0, F.when(two_by_two, corrected).otherwise(plain))
     return sums.select("variable", F.lit("chi-square").alias("test"),
                        statistic.alias("statistic"), df1.alias("df1"),
