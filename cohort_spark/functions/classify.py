@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.text import matches_ci
@@ -20,3 +20,15 @@ def classify(col: Column, rules: Sequence[tuple[str, str]], default: str = "noma
         test = matches_ci(col, f"(?:{pattern})")
         label = F.when(test, name) if label is None else label.when(test, name)
     return F.lit(default) if label is None else label.otherwise(default)
+
+
+def with_class(df: DataFrame, text: str, rules: Sequence[tuple[str, str]], name: str,
+               default: str = "nomatch") -> DataFrame:
+    """Add the label as a column that later filters read instead of recomputing.
+
+    A plain column would be copied, regexes and all, into every predicate that
+    Catalyst pushes below it; exploding a one-element array computes it once
+    per row and keeps such predicates above, while filters on other columns
+    still reach the scan.
+    """
+    return df.withColumn(name, F.explode(F.array(classify(F.col(text), rules, default))))

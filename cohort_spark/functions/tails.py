@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -62,7 +63,7 @@ def beta_lower(a: float, b: float, x: float) -> float:
     return front / _continued_fraction(1.0, term)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(statistic: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """P(F > statistic), or P(chi-square > statistic) where ``df2`` is missing."""
     out = []

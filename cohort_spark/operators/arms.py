@@ -28,11 +28,11 @@ def label_arms(cohort: DataFrame, arms: DataFrame, person: str = "person_id",
 
 
 def arm_rank(label: Column) -> Column:
-    """Position of an arm in the report order, NULL for other labels."""
+    """Position of an arm in the report order; other labels come last."""
     rank = None
     for i, arm in enumerate(ARM_ORDER):
         rank = F.when(label == arm, i) if rank is None else rank.when(label == arm, i)
-    return rank
+    return rank.otherwise(len(ARM_ORDER))
 
 
 def age_range(labelled: DataFrame, arm: str = "case_or_ctrl",

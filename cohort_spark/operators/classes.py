@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark import fixed_values as fixed
-from cohort_spark.functions.classify import classify
+from cohort_spark.functions.classify import with_class
 from cohort_spark.operators.aggregates import count_by, first_per_key
 
 Rules = Sequence[tuple[str, str]]
@@ -18,8 +18,7 @@ def manifestation_rows(study: DataFrame, rules: Rules = fixed.MANIFESTATION_RULE
                        name: str = "manifestation") -> DataFrame:
     """Distinct person and diagnosis rows that fall into a class."""
     rows = study.select("person_id", "case_or_control", "snomed_name", "snomed_code").distinct()
-    return (rows.withColumn(name, classify(F.col("snomed_name"), rules))
-            .filter(F.col(name) != "nomatch"))
+    return with_class(rows, "snomed_name", rules, name).filter(F.col(name) != "nomatch")
 
 
 def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
@@ -33,6 +32,6 @@ def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
 def medication_rows(study_meds: DataFrame, order_by: Sequence[str],
                     rules: Rules = fixed.MEDICATION_RULES, name: str = "med_type") -> DataFrame:
     """First medication row per person and class, in the stated order."""
-    classed = (study_meds.withColumn(name, classify(F.col("standard_concept_name"), rules))
+    classed = (with_class(study_meds, "standard_concept_name", rules, name)
                .filter(F.col(name) != "nomatch"))
     return first_per_key(classed, ["person_id", name], order_by)

@@ -1,9 +1,8 @@
 """Logistic regression of the case flag on cohort covariates.
 
-Persons with equal covariates and outcome are counted first and enter the fit
-once with their count as weight.  Estimates, standard errors and deviance are
-those of the unweighted fit, but each pass reads covariate patterns, not
-persons.
+Persons with equal covariates are counted first and enter the fit once, as
+their share of cases weighted by their number.  Estimates and standard errors
+are those of the fit over persons, but each pass reads covariate patterns.
 """
 
 from __future__ import annotations
@@ -25,8 +24,9 @@ def case_flag(cohort: DataFrame, cases: DataFrame, name: str = "is_case",
 
 def _patterns(df: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
     complete = df.select(outcome, *covariates).na.drop()
-    return (complete.groupBy(outcome, *covariates).agg(F.count("*").cast("double").alias("__n"))
-            .withColumn(outcome, F.col(outcome).cast("double")))
+    return complete.groupBy(*covariates).agg(
+        F.count("*").cast("double").alias("__n"),
+        F.avg(F.col(outcome).cast("double")).alias(outcome))
 
 
 def _varying(patterns: DataFrame, covariates: Sequence[str]) -> list[str]:
