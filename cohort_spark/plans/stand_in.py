@@ -8,10 +8,12 @@ from key arithmetic.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_spark.plans.study import Sources, Study
+from cohort_spark.plans.study import LazySources, Study
 
 GENE = "Brand#7"
 SITE_PATTERN = "E[0-9]+[A-Z]"
@@ -34,8 +36,28 @@ DRUGS = (
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table under its declared schema; nothing is inferred."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -227,10 +249,10 @@ def labs(spark, sf_dir) -> DataFrame:
         F.col("ts").alias("measurement_datetime"))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    return Sources(*[make(spark, sf_dir) for make in (
+def sources(spark: SparkSession, sf_dir: str) -> LazySources:
+    return LazySources(**{make.__name__: partial(make, spark, sf_dir) for make in (
         demographics, ancestry, metrics, calls, labs, diagnoses, gem, snomed_map, phecodes,
-        medications)])
+        medications)})
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:

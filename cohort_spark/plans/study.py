@@ -7,7 +7,7 @@ instead of recomputing the scans above it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,8 +47,21 @@ class Sources:
     medications: DataFrame
 
 
+class LazySources:
+    """The same tables, each made by its function when first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers = makers
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._makers:
+            raise AttributeError(name)
+        setattr(self, name, self._makers[name]())
+        return self.__dict__[name]
+
+
 class Study:
-    def __init__(self, sources: Sources, gene: str, site_pattern: str,
+    def __init__(self, sources: Sources | LazySources, gene: str, site_pattern: str,
                  ratio: int = fixed.CONTROLS_PER_CASE, seed: int = 1,
                  strata: Sequence[str] = fixed.MATCH_STRATA,
                  as_of_year: int = fixed.AS_OF_YEAR,
