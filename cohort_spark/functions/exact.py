@@ -33,26 +33,19 @@ def log_factorial(z: Column) -> Column:
 def binom_p(x: Column, n: Column) -> Column:
     """Two-sided exact binomial p at one half.
 
-    Sums the upper tail from ``max(x, n - x)`` by the ratio of neighbouring
-    masses.  After j steps a mass is below exp(-2 j^2 / n) of the first, so
-    ``6 sqrt(n) + 10`` steps reach the last bit of a double.
+    The upper tail from ``max(x, n - x)`` is its first mass times
+    1 + r1 (1 + r2 (1 + ...)) with r the ratios of neighbouring masses.  After
+    j steps a mass is below exp(-2 j^2 / n) of the first, so ``6 sqrt(n) + 10``
+    steps reach the last bit of a double.
     """
     x, n = x.cast("double"), n.cast("double")
     start = F.greatest(x, n - x)
     steps = F.least(n - start, F.ceil(6 * F.sqrt(n)) + 10).cast("int")
     first = F.exp(log_factorial(n) - log_factorial(start) - log_factorial(n - start)
                   - n * math.log(2))
-
-    def add_mass(acc: Column, j: Column) -> Column:
-        ratio = F.when(j == 0, F.lit(1.0)).otherwise((n - start - j + 1) / (start + j))
-        mass = acc["mass"] * ratio
-        return F.struct((acc["total"] + mass).alias("total"), mass.alias("mass"))
-
-    relative = F.aggregate(
-        F.sequence(F.lit(0), steps),
-        F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("mass")),
-        add_mass, lambda acc: acc["total"],
-    )
+    relative = F.when(steps < 1, F.lit(1.0)).otherwise(F.aggregate(
+        F.sequence(steps, F.lit(1)), F.lit(1.0),
+        lambda acc, j: 1 + acc * (n - start - j + 1) / (start + j)))
     valid = (x >= 0) & (n >= x)
     return (F.when(valid & (start * 2 == n), F.lit(1.0))
             .when(valid, F.least(F.lit(1.0), 2 * first * relative)))

@@ -100,14 +100,16 @@ def coverage(df: DataFrame, population: DataFrame, person: str = "person_id") ->
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The first row per key in the stated order; needs no sort and no window.
+    """The first row per key in the stated order, reduced before the shuffle.
 
     Ties in ``order_by`` are settled by the remaining columns, so the result
     does not depend on partitioning.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    others = [c for c in df.columns if c not in keys]
+    rest = [c for c in others if c not in order_by]
     order = F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))
                        for c in (*order_by, *rest)])
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
     picked = df.groupBy(*[f"`{k}`" for k in keys]).agg(F.min_by(row, order).alias("__row"))
-    return picked.select("__row.*")
+    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`")
+                           for c in df.columns])

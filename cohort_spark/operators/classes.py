@@ -14,10 +14,10 @@ from cohort_spark.operators.aggregates import count_by, first_per_key
 Rules = Sequence[tuple[str, str]]
 
 
-def manifestation_rows(study: DataFrame, rules: Rules = fixed.MANIFESTATION_RULES,
+def manifestation_rows(terms: DataFrame, rules: Rules = fixed.MANIFESTATION_RULES,
                        name: str = "manifestation") -> DataFrame:
     """Distinct person and diagnosis rows that fall into a class."""
-    rows = study.select("person_id", "case_or_control", "snomed_name", "snomed_code").distinct()
+    rows = terms.select("person_id", "case_or_control", "snomed_name", "snomed_code").distinct()
     return with_class(rows, "snomed_name", rules, name).filter(F.col(name) != "nomatch")
 
 
@@ -29,9 +29,9 @@ def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
         F.asc_nulls_last("snomed_code"))
 
 
-def medication_rows(study_meds: DataFrame, order_by: Sequence[str],
+def medication_rows(meds: DataFrame, order_by: Sequence[str],
                     rules: Rules = fixed.MEDICATION_RULES, name: str = "med_type") -> DataFrame:
     """First medication row per person and class, in the stated order."""
-    classed = (with_class(study_meds, "standard_concept_name", rules, name)
+    classed = (with_class(meds, "standard_concept_name", rules, name)
                .filter(F.col(name) != "nomatch"))
     return first_per_key(classed, ["person_id", name], order_by)

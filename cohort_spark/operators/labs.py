@@ -64,13 +64,17 @@ def normalise_lab(named: DataFrame, rule: LabRule) -> DataFrame:
 
 
 def arm_summary(values: DataFrame, arms: DataFrame, rules: Sequence[LabRule] = fixed.LAB_RULES,
-                arm: str = "case_or_ctrl", person: str = "person_id") -> DataFrame:
+                arm: str = "case_or_ctrl", person: str = "person_id",
+                study_only: bool = True) -> DataFrame:
     """Per lab and arm: persons, mean and sd of each person's lowest or highest value.
 
-    ``arms`` has one row per person; persons it lacks form the NULL arm.
+    ``arms`` has one row per person.  Persons it lacks are left out, or form the
+    NULL arm with ``study_only=False``.
     """
     per_person = (values.groupBy(person, "lab_name")
                   .agg(F.min("lab_val").alias("__min"), F.max("lab_val").alias("__max")))
+    if study_only:  # after the aggregate, where Catalyst can move it below
+        per_person = per_person.join(arms.select(person), person, "left_semi")
     low_labs = [r.lab for r in rules if r.extreme == "min"]
     extreme = F.when(F.col("lab_name").isin(low_labs), F.col("__min")).otherwise(F.col("__max"))
     joined = natural_join(per_person.select(person, "lab_name", extreme.alias("extreme")),

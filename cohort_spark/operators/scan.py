@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions.dates import round_half_even
 from cohort_spark.functions.exact import fisher_tests
-from cohort_spark.operators.joins import flag_in, natural_join, semi
+from cohort_spark.operators.joins import natural_join
 
 
 def arm_totals(arms: DataFrame) -> DataFrame:
@@ -25,11 +25,22 @@ def arm_totals(arms: DataFrame) -> DataFrame:
                     F.count_if(~F.col("is_case")).alias("n_control"))
 
 
+def in_study(rows: DataFrame, arms: DataFrame, person: str = "person_id",
+             name: str = "__case") -> DataFrame:
+    """Rows of study persons with their case flag.
+
+    The semi join adds nothing to the result.  Over an aggregate Catalyst can
+    move it, unlike the inner join, below the aggregate when the arms are small
+    enough to broadcast; otherwise both joins share one partitioning.
+    """
+    rows = rows.join(arms.select(person), person, "left_semi")
+    return rows.join(arms.select(person, F.col("is_case").alias(name)), person)
+
+
 def flag_study(events: DataFrame, arms: DataFrame, person: str = "person_id",
                name: str = "case_or_control") -> DataFrame:
     """Rows of study persons with the text ``case`` or ``control``."""
-    cases = arms.filter("is_case").select(person)
-    flagged = flag_in(semi(events, arms, person), cases, person, "__case")
+    flagged = in_study(events, arms, person)
     return (flagged.withColumn(name, F.when(F.col("__case"), "case").otherwise("control"))
             .drop("__case"))
 
@@ -56,25 +67,22 @@ def scan_counts(events: DataFrame, arms: DataFrame, term: str | Sequence[str],
     if flag:
         rows = rows.withColumn("__case", F.col(flag) == "case")
     else:
-        rows = semi(rows, arms, person)
-        rows = rows.join(arms.select(person, F.col("is_case").alias("__case")), person)
+        rows = in_study(rows, arms, person)
 
+    # both branches of a labelled scan read the same columns of ``rows``, so that
+    # they share its exchange
     counted = rows
-    if unit == "rows":
-        weight = F.col("__rows")
-    else:
-        weight = F.lit(1).cast("bigint")
-        if label and label not in units:
-            counted = rows.groupBy(*units, "__case").agg(F.lit(1))
+    if label and label not in units:
+        counted = rows.groupBy(*units, "__case").agg(F.sum("__rows").alias("__rows"))
+    weight = F.col("__rows") if unit == "rows" else F.least(F.col("__rows"), F.lit(1))
     counts = counted.groupBy(*terms).agg(
         F.sum(F.when(F.col("__case"), weight).otherwise(0)).alias("case_w"),
-        F.sum(F.when(F.col("__case"), 0).otherwise(weight)).alias("control_w"))
+        F.sum(F.when(~F.col("__case"), weight).otherwise(0)).alias("control_w"))
     if label:
-        named = (rows.filter(F.col(label).isNotNull()).groupBy(*terms, label)
-                 .agg(F.sum("__rows").alias("__n"))
+        missing_last = F.struct(F.col(label).isNull(), -F.col("__n"), F.col(label))
+        named = (rows.groupBy(*terms, label).agg(F.sum("__rows").alias("__n"))
                  .groupBy(*terms)
-                 .agg(F.min_by(F.col(label), F.struct(-F.col("__n"), F.col(label)))
-                      .alias(f"commonest_{label}")))
+                 .agg(F.min_by(F.col(label), missing_last).alias(f"commonest_{label}")))
         counts = natural_join(counts, named, "left", on=terms)
     totals = arm_totals(arms)
     return (counts

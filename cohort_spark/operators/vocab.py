@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions.text import first_field, remove_first, to_number
 from cohort_spark.operators.aggregates import count_by, first_per_key
-from cohort_spark.operators.joins import flag_in, join_on
+from cohort_spark.operators.joins import join_on
 from cohort_spark.operators.scan import flag_study
 from cohort_spark.operators.sets import bind_rows
 
@@ -25,11 +25,16 @@ def study_dx(dx: DataFrame, arms: DataFrame) -> DataFrame:
     return renamed.select(*[c for c in renamed.columns if not c.startswith("standard")])
 
 
-def dx_terms(study: DataFrame) -> DataFrame:
-    """Distinct person, SNOMED and source code combinations."""
-    source = [c for c in study.columns if c.startswith("source_")]
-    return study.select("person_id", "case_or_control", "snomed_name", "snomed_code",
-                        *source).distinct()
+def study_terms(dx: DataFrame, arms: DataFrame) -> DataFrame:
+    """Distinct person, SNOMED and source code combinations of the study.
+
+    Rows are made distinct before the arms are joined, so a person with very
+    many rows is reduced to their codes first.
+    """
+    source = [c for c in dx.columns if c.startswith("source_")]
+    distinct = dx.select("person_id", F.col("standard_concept_name").alias("snomed_name"),
+                         F.col("standard_concept_code").alias("snomed_code"), *source).distinct()
+    return flag_study(distinct, arms)
 
 
 def vocab_audit(terms: DataFrame) -> DataFrame:
@@ -94,29 +99,26 @@ def map_snomed(terms: DataFrame, mapping: DataFrame, match_name: bool = False) -
     return join_on(snomed, crosswalk, keys)
 
 
-def harmonise(terms: DataFrame, gem: DataFrame, mapping: DataFrame, cases: DataFrame,
+def harmonise(terms: DataFrame, gem: DataFrame, mapping: DataFrame,
               normal_form: bool = True, match_name: bool = False,
               keep_snomed_person: bool = True,
               order_by: tuple[str, ...] = ("icd10_code",)) -> DataFrame:
-    """Person, ICD-10 code, name and arm from all three vocabularies.
+    """Person, arm, ICD-10 code and name from all three vocabularies.
 
     ``keep_snomed_person=False`` leaves the person of SNOMED rows out, which
     makes all of them controls.
     """
+    who = ["person_id", "case_or_control"]
     native = (terms.filter(F.col("source_vocabulary") == "ICD10CM")
-              .select("person_id", F.col("source_concept_code").alias("icd10_code"),
+              .select(*who, F.col("source_concept_code").alias("icd10_code"),
                       F.col("source_concept_name").alias("icd10_name")))
-    from_icd9 = map_icd9(terms, gem, order_by=order_by).select(
-        "person_id", "icd10_code", "icd10_name")
-    person = ["person_id"] if keep_snomed_person else []
+    from_icd9 = map_icd9(terms, gem, order_by=order_by).select(*who, "icd10_code", "icd10_name")
     from_snomed = map_snomed(terms, mapping, match_name).select(
-        *person, F.col("icd_code").alias("icd10_code"), F.col("icd_name").alias("icd10_name"))
+        *who, F.col("icd_code").alias("icd10_code"), F.col("icd_name").alias("icd10_name"))
+    if not keep_snomed_person:
+        from_snomed = from_snomed.withColumn("case_or_control", F.lit("control")).drop("person_id")
     rows = bind_rows(native, from_icd9, from_snomed)
-    rows = rows.withColumn("icd10_code", code_form(F.col("icd10_code"), normal_form))
-    flagged = flag_in(rows, cases, "person_id", "__case")
-    return (flagged.withColumn("case_or_control",
-                               F.when(F.col("__case"), "case").otherwise("control"))
-            .drop("__case"))
+    return rows.withColumn("icd10_code", code_form(F.col("icd10_code"), normal_form))
 
 
 def to_phecodes(icd10_rows: DataFrame, phecodes: DataFrame, normal_form: bool = True) -> DataFrame:

@@ -243,14 +243,14 @@ def phecode_scan(spark, sf_dir):
 @query(with_ctes("""SELECT person_id, case_or_control, snomed_name, snomed_code, manifestation
     FROM manifestations""", "manifestations"))
 def manifestation_rows(spark, sf_dir):
-    return classes.manifestation_rows(shared_study(spark, sf_dir).diagnoses)
+    return classes.manifestation_rows(shared_study(spark, sf_dir).terms)
 
 
 @query(with_ctes("""SELECT manifestation, snomed_name, snomed_code, count(*) AS n
     FROM manifestations GROUP BY ALL ORDER BY manifestation, n DESC""", "manifestations"))
 def class_dictionary(spark, sf_dir):
     return classes.class_dictionary(
-        classes.manifestation_rows(shared_study(spark, sf_dir).diagnoses))
+        classes.manifestation_rows(shared_study(spark, sf_dir).terms))
 
 
 _MANIFESTATION_SQL = f"SELECT manifestation, {_BY_FLAG} FROM manifestations GROUP BY 1"

@@ -25,7 +25,6 @@ from cohort_spark.operators import (
     vocab,
 )
 from cohort_spark.operators.cohort import build_cohort
-from cohort_spark.operators.joins import semi
 from cohort_spark.operators.scan import association_scan, flag_study
 from cohort_spark.sources.stages import stage
 from cohort_spark.sources.variants import GENE_COLUMN
@@ -103,8 +102,8 @@ class Study:
     # --- labs ---------------------------------------------------------------
     @cached_property
     def lab_values(self) -> DataFrame:
-        named = lab_ops.name_labs(semi(self.sources.labs, self.arms, "person_id"))
-        return lab_ops.normalise_labs(named)
+        """Ruled lab values of all persons; study persons are picked after aggregation."""
+        return lab_ops.normalise_labs(lab_ops.name_labs(self.sources.labs))
 
     def lab_summary(self) -> DataFrame:
         return lab_ops.arm_summary(self.lab_values, self.labelled)
@@ -116,19 +115,19 @@ class Study:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return stage(vocab.dx_terms(self.diagnoses), "diagnosis_terms")
+        return stage(vocab.study_terms(self.sources.diagnoses, self.arms), "diagnosis_terms")
 
     @cached_property
     def icd10_rows(self) -> DataFrame:
-        return vocab.harmonise(self.terms, self.sources.gem, self.sources.snomed_map,
-                               self.arms.filter("is_case"))
+        return vocab.harmonise(self.terms, self.sources.gem, self.sources.snomed_map)
 
     def history_summary(self) -> DataFrame:
         return history.history_summary(self.sources.diagnoses, self.cohort,
                                        as_of_year=self.as_of_year)
 
     def history_by_arm(self) -> DataFrame:
-        return history.history_by_arm(self.diagnoses, self.labelled, as_of_year=self.as_of_year)
+        return history.history_by_arm(self.sources.diagnoses, self.labelled,
+                                      code="standard_concept_name", as_of_year=self.as_of_year)
 
     def scan(self, rows: DataFrame, term: str | Sequence[str], **options: object) -> DataFrame:
         return association_scan(rows, self.arms, term, **options)
@@ -150,14 +149,14 @@ class Study:
         return self.scan(rows, "phecode_str", **options)
 
     def manifestation_scan(self, **options: object) -> DataFrame:
-        return self.scan(classes.manifestation_rows(self.diagnoses), "manifestation",
+        return self.scan(classes.manifestation_rows(self.terms), "manifestation",
                          flag="case_or_control", **options)
 
     # --- medications --------------------------------------------------------
     @cached_property
     def medication_rows(self) -> DataFrame:
-        study = flag_study(self.sources.medications, self.arms)
-        return classes.medication_rows(study, self.medication_order)
+        first = classes.medication_rows(self.sources.medications, self.medication_order)
+        return flag_study(first, self.arms)
 
     def medication_scan(self, **options: object) -> DataFrame:
         return self.scan(self.medication_rows, "med_type", label="standard_concept_name",

@@ -303,7 +303,7 @@ def test_lab_summary_takes_each_persons_extreme(frame):
     arms = frame([(1, "case_male"), (2, "case_male"), (3, "ctrl_male")],
                  "person_id int, case_or_ctrl string")
     named = labs.normalise_labs(labs.name_labs(frame(rows, LABS)))
-    assert values(labs.arm_summary(named, arms)) == [
+    assert values(labs.arm_summary(named, arms, study_only=False)) == [
         ("mcv", "case_male", 1, 95.0, None), ("mcv", None, 1, 70.0, None),
         ("wbc", "case_male", 2, 3.5, 0.7), ("wbc", "ctrl_male", 1, 9.0, None)]
     assert len(values(labs.person_labs(named, 1))) == 4
@@ -334,7 +334,7 @@ def test_history(frame):
     strict = history.history_summary(dx, people, propagate_null=True).first()
     assert strict["mean_years"] is None and strict["mean_codes"] == 2
     arms = frame([(1, "case_male")], "person_id int, case_or_ctrl string")
-    got = values(history.history_by_arm(dx, arms, code="standard_concept_name"),
+    got = values(history.history_by_arm(dx, arms, "standard_concept_name", study_only=False),
                  "case_or_ctrl", "num_pts", "emr_dur", "mean_num_codes", "num_codes_q50")
     assert got == [("case_male", 1, 23.0, 2.0, 2.0), (None, 1, 18.0, 2.0, 2.0)]
 
@@ -359,14 +359,13 @@ def vocabularies(frame):
                      (8, "w", "D04", None, 1, 1)],
                     "referencedComponentId long, referencedComponentName string, "
                     "mapTarget string, mapTargetName string, mapGroup int, mapPriority int")
-    cases = frame([(1,)], "person_id int")
-    return terms, gem, mapping, cases
+    return terms, gem, mapping
 
 
 def test_harmonised_rows_share_one_code_form(vocabularies):
     got = values(vocab.harmonise(*vocabularies))
-    assert got == [(1, "A011", "alpha", "case")] * 3 + [(2, "B02", "beta", "control"),
-                                                       (2, "D04", None, "control")]
+    assert got == [(1, "case", "A011", "alpha")] * 3 + [(2, "control", "B02", "beta"),
+                                                       (2, "control", "D04", None)]
 
 
 def test_harmonise_options(vocabularies):
