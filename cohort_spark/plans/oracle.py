@@ -214,7 +214,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "crosswalk": (("gem",), "SELECT icd9cm AS icd9_code, min(icd10cm) AS icd10_code FROM gem "
                             "GROUP BY icd9cm"),
     "snomed_map": ((), f"""
-        SELECT id, map_group, map_priority, min(name) AS name, min(target) AS target
+        SELECT id, map_group, map_priority, max(name) AS name, min(target) AS target
         FROM (SELECT {_SNOMED} AS id, 1 + {_BRAND} % 2 AS map_group, 1 + p_size % 2 AS map_priority,
           {_DISEASE} || CASE WHEN p_size % 9 = 0 THEN ' (disorder)' ELSE '' END AS name,
           {_icd10("p_partkey % 2")} AS target FROM part)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cohort_spark.operators.sets import bind_rows
 from cohort_spark.plans import stand_in
-from cohort_spark.plans.registry import query
+from cohort_spark.plans.oracle import scan_sql
+from cohort_spark.plans.registry import query, rounded_tests
+from cohort_spark.plans.study import Study
 from cohort_spark.session import shared_folder
 from cohort_spark.sources import (
     load_calls,
@@ -20,6 +22,7 @@ from cohort_spark.sources import (
     stage,
     write_table,
 )
+from cohort_spark.sources import study_tables
 from cohort_spark.streaming import stream_variants
 
 _CALL_COLUMNS = ["Sample", "Start", "Gene.refGene", "AAChange.refGene", "DP", "minAD", "AF"]
@@ -141,3 +144,19 @@ def stream_ingest(spark, sf_dir):
                              f"{path}/progress", max_files=4)
     stream.awaitTermination()
     return _call_output(spark.read.schema(calls.schema).parquet(f"{path}/out"))
+
+
+@query(scan_sql("""SELECT standard_concept_name,
+    count(DISTINCT CASE WHEN is_case THEN person_id END) AS case_w,
+    count(DISTINCT CASE WHEN NOT is_case THEN person_id END) AS control_w
+    FROM dx JOIN arms USING (person_id) GROUP BY 1""", "standard_concept_name", "dx", "arms"))
+def study_from_files(spark, sf_dir):
+    """A whole study over delimited files: cases, controls and the diagnosis scan."""
+    root, given = _fresh(spark, "study-files"), stand_in.sources(spark, sf_dir)
+    needed = ("demographics", "ancestry", "metrics", "calls", "diagnoses")
+    for name in needed:
+        write_table(getattr(given, name), f"{root}/{name}",
+                    sep="\t" if name in study_tables.TAB_SEPARATED else ",")
+    sources = study_tables.read_sources(spark, {name: f"{root}/{name}" for name in needed})
+    study = Study(sources, stand_in.GENE, stand_in.SITE_PATTERN, ratio=stand_in.RATIO)
+    return rounded_tests(study.snomed_scan())

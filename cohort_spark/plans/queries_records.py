@@ -218,6 +218,21 @@ def icd10_row_counts(spark, sf_dir):
                        flag="case_or_control").drop("case_wo", "control_wo")
 
 
+@query(with_ctes("""
+    SELECT person_id, case_or_control, source_concept_code AS icd10_code,
+      source_concept_name AS icd10_name FROM terms WHERE source_vocabulary = 'ICD10CM'
+    UNION ALL SELECT person_id, case_or_control, icd10_code, icd10_name FROM from_icd9
+    UNION ALL SELECT -1, 'control', icd_code, icd_name FROM from_snomed
+      WHERE snomed_name = map_name""", "terms", "from_icd9", "from_snomed"))
+def vocab_union_literal(spark, sf_dir):
+    """Source spellings, two-key SNOMED match, mapped SNOMED rows without a person."""
+    study = shared_study(spark, sf_dir)
+    return vocab.harmonise(study.terms, study.sources.gem, study.sources.snomed_map,
+                           normal_form=False, match_name=True, keep_snomed_person=False).select(
+        F.coalesce("person_id", F.lit(-1)).alias("person_id"), "case_or_control", "icd10_code",
+        "icd10_name")
+
+
 @query(scan_sql(f"""SELECT icd10_base, {_BY_FLAG}, any_value(commonest) AS commonest_icd10_name
     FROM (SELECT *, substr(icd10_code, 1, 3) AS icd10_base FROM icd10_rows
       WHERE icd10_name IS NOT NULL)
@@ -243,14 +258,13 @@ def phecode_scan(spark, sf_dir):
 @query(with_ctes("""SELECT person_id, case_or_control, snomed_name, snomed_code, manifestation
     FROM manifestations""", "manifestations"))
 def manifestation_rows(spark, sf_dir):
-    return classes.manifestation_rows(shared_study(spark, sf_dir).terms)
+    return shared_study(spark, sf_dir).manifestation_rows
 
 
 @query(with_ctes("""SELECT manifestation, snomed_name, snomed_code, count(*) AS n
     FROM manifestations GROUP BY ALL ORDER BY manifestation, n DESC""", "manifestations"))
 def class_dictionary(spark, sf_dir):
-    return classes.class_dictionary(
-        classes.manifestation_rows(shared_study(spark, sf_dir).terms))
+    return classes.class_dictionary(shared_study(spark, sf_dir).manifestation_rows)
 
 
 _MANIFESTATION_SQL = f"SELECT manifestation, {_BY_FLAG} FROM manifestations GROUP BY 1"
@@ -263,6 +277,16 @@ def class_scan(spark, sf_dir):
     return top_terms(rounded_tests(scan), fixed.TOP_MANIFESTATIONS, "manifestation")
 
 
+@query(with_ctes("""SELECT manifestation, count(*) FILTER (case_or_control = 'case') AS case_w,
+    count(*) FILTER (case_or_control <> 'case') AS control_w FROM manifestations GROUP BY 1""",
+                 "manifestations"))
+def class_row_counts(spark, sf_dir):
+    """Cells that count (person, diagnosis) rows of a class."""
+    study = shared_study(spark, sf_dir)
+    return scan_counts(study.manifestation_rows, study.arms, "manifestation", unit="rows",
+                       flag="case_or_control").drop("case_wo", "control_wo")
+
+
 def _shown(col: str) -> str:
     rounded = f"round_even({col}, 1)"
     return (f"CASE WHEN {rounded} = floor({rounded}) THEN printf('%.0f', {rounded}) "

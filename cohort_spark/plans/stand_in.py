@@ -13,7 +13,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_spark.plans.study import LazySources, Study
+from cohort_spark.plans.study import Study
+from cohort_spark.sources.study_tables import LazySources
 
 GENE = "Brand#7"
 SITE_PATTERN = "E[0-9]+[A-Z]"
@@ -198,7 +199,7 @@ def snomed_map(spark, sf_dir) -> DataFrame:
                     (1 + brand % 2).alias("mapGroup"), (1 + size % 2).alias("mapPriority"),
                     icd10(brand, size, part % 2).alias("mapTarget"))
             .groupBy("referencedComponentId", "mapGroup", "mapPriority")
-            .agg(F.min("referencedComponentName").alias("referencedComponentName"),
+            .agg(F.max("referencedComponentName").alias("referencedComponentName"),
                  F.min("mapTarget").alias("mapTarget"))
             .withColumn("mapTargetName", F.concat(F.lit("Condition "), F.col("mapTarget"))))
 

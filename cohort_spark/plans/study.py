@@ -7,8 +7,7 @@ instead of recomputing the scans above it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -25,49 +24,27 @@ from cohort_spark.operators import (
     vocab,
 )
 from cohort_spark.operators.cohort import build_cohort
-from cohort_spark.operators.scan import association_scan, flag_study
-from cohort_spark.sources.stages import stage
+from cohort_spark.operators.scan import association_scan, flag_study, forest_table
+from cohort_spark.operators.table_one import table_one, table_one_tests
+from cohort_spark.sources.stages import save_named, stage
+from cohort_spark.sources.study_tables import LazySources, Sources
 from cohort_spark.sources.variants import GENE_COLUMN
 
 
-@dataclass(frozen=True)
-class Sources:
-    """Input tables; a step touches only the ones it needs."""
-
-    demographics: DataFrame
-    ancestry: DataFrame
-    metrics: DataFrame
-    calls: DataFrame
-    labs: DataFrame
-    diagnoses: DataFrame
-    gem: DataFrame
-    snomed_map: DataFrame
-    phecodes: DataFrame
-    medications: DataFrame
-
-
-class LazySources:
-    """The same tables, each made by its function when first asked for."""
-
-    def __init__(self, **makers: Callable[[], DataFrame]):
-        self._makers = makers
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in self._makers:
-            raise AttributeError(name)
-        setattr(self, name, self._makers[name]())
-        return self.__dict__[name]
-
-
 class Study:
     def __init__(self, sources: Sources | LazySources, gene: str, site_pattern: str,
                  ratio: int = fixed.CONTROLS_PER_CASE, seed: int = 1,
                  strata: Sequence[str] = fixed.MATCH_STRATA,
                  as_of_year: int = fixed.AS_OF_YEAR,
-                 medication_order: Sequence[str] = ("standard_concept_name",)):
+                 medication_order: Sequence[str] = ("standard_concept_name",),
+                 literal: bool = False):
+        """``literal`` counts rows and (person, code) pairs where persons are the
+        better unit, keeps each source's code spelling, matches SNOMED targets by
+        code and name, and leaves mapped SNOMED rows without a person."""
         self.sources, self.gene, self.site_pattern = sources, gene, site_pattern
         self.ratio, self.seed, self.strata = ratio, seed, tuple(strata)
         self.as_of_year, self.medication_order = as_of_year, tuple(medication_order)
+        self.literal = literal
 
     # --- calls to cases -----------------------------------------------------
     @cached_property
@@ -119,7 +96,10 @@ class Study:
 
     @cached_property
     def icd10_rows(self) -> DataFrame:
-        return vocab.harmonise(self.terms, self.sources.gem, self.sources.snomed_map)
+        return vocab.harmonise(
+            self.terms, self.sources.gem, self.sources.snomed_map,
+            normal_form=not self.literal, match_name=self.literal,
+            keep_snomed_person=not self.literal)
 
     def history_summary(self) -> DataFrame:
         return history.history_summary(self.sources.diagnoses, self.cohort,
@@ -132,25 +112,40 @@ class Study:
     def scan(self, rows: DataFrame, term: str | Sequence[str], **options: object) -> DataFrame:
         return association_scan(rows, self.arms, term, **options)
 
-    def snomed_scan(self) -> DataFrame:
-        return self.scan(self.sources.diagnoses, "standard_concept_name")
+    def _unit(self) -> dict[str, object]:
+        return {"unit": "rows"} if self.literal else {}
+
+    def snomed_scan(self, **options: object) -> DataFrame:
+        if self.literal:
+            options.setdefault("unit_cols", ["standard_concept_code"])
+        return self.scan(self.sources.diagnoses, "standard_concept_name", **options)
 
     def icd10_scan(self, **options: object) -> DataFrame:
         return self.scan(self.icd10_rows, ["icd10_name", "icd10_code"],
-                         flag="case_or_control", **options)
+                         flag="case_or_control", **self._unit(), **options)
+
+    def category_rows(self) -> DataFrame:
+        code = vocab.icd10_category(F.col("icd10_code"), normal_form=not self.literal)
+        return (self.icd10_rows.filter(F.col("icd10_name").isNotNull())
+                .withColumn("icd10_base", code))
 
     def category_scan(self, **options: object) -> DataFrame:
-        rows = (self.icd10_rows.filter(F.col("icd10_name").isNotNull())
-                .withColumn("icd10_base", vocab.icd10_category(F.col("icd10_code"))))
-        return self.scan(rows, "icd10_base", label="icd10_name", flag="case_or_control", **options)
+        return self.scan(self.category_rows(), "icd10_base", label="icd10_name",
+                         flag="case_or_control", **self._unit(), **options)
 
     def phecode_scan(self, **options: object) -> DataFrame:
-        rows = vocab.to_phecodes(self.icd10_rows, self.sources.phecodes)
-        return self.scan(rows, "phecode_str", **options)
+        rows = vocab.to_phecodes(self.icd10_rows, self.sources.phecodes,
+                                 normal_form=not self.literal)
+        units = {"unit_cols": ["phecode"]} if self.literal else {}
+        return self.scan(rows, "phecode_str", **units, **options)
+
+    @cached_property
+    def manifestation_rows(self) -> DataFrame:
+        return classes.manifestation_rows(self.terms)
 
     def manifestation_scan(self, **options: object) -> DataFrame:
-        return self.scan(classes.manifestation_rows(self.terms), "manifestation",
-                         flag="case_or_control", **options)
+        return self.scan(self.manifestation_rows, "manifestation", flag="case_or_control",
+                         **self._unit(), **options)
 
     # --- medications --------------------------------------------------------
     @cached_property
@@ -161,3 +156,42 @@ class Study:
     def medication_scan(self, **options: object) -> DataFrame:
         return self.scan(self.medication_rows, "med_type", label="standard_concept_name",
                          flag="case_or_control", **options)
+
+    # --- results ------------------------------------------------------------
+    def results(self) -> dict[str, DataFrame]:
+        """Every table of the study by name, none of them computed yet."""
+        scans = {
+            "snomed_scan": self.snomed_scan(), "icd10_scan": self.icd10_scan(),
+            "category_scan": self.category_scan(), "phecode_scan": self.phecode_scan(),
+            "manifestation_scan": self.manifestation_scan(),
+            "medication_scan": self.medication_scan(),
+        }
+        forests = {
+            "manifestation_forest": forest_table(scans["manifestation_scan"],
+                                                 fixed.FOREST_MAX_HIGH_DIAGNOSES),
+            "medication_forest": forest_table(scans["medication_scan"],
+                                              fixed.FOREST_MAX_HIGH_MEDICATIONS),
+        }
+        return {
+            "passing_calls": self.passing, "calls_at_site": self.cases,
+            "variant_counts": call_ops.variant_counts(self.cases),
+            "controls": matching.controls_frame(self.cohort, self.controls),
+            "match_deficit": matching.match_deficit(self.cases, self.cohort, self.passing,
+                                                    self.strata, self.ratio),
+            "arms": self.labelled, "age_range": arm_ops.age_range(self.labelled),
+            "table_one": table_one(self.cohort),
+            "table_one_arms": table_one(self.labelled, strata="case_or_ctrl"),
+            "table_one_tests": table_one_tests(self.labelled, "case_or_ctrl"),
+            "lab_summary": self.lab_summary(), "history_summary": self.history_summary(),
+            "history_by_arm": self.history_by_arm(), "study_diagnoses": self.diagnoses,
+            "vocab_audit": vocab.vocab_audit(self.terms),
+            "class_dictionary": classes.class_dictionary(self.manifestation_rows),
+            **scans, **forests,
+        }
+
+    def save(self, roots: Sequence[str], names: Sequence[str] | None = None,
+             fmt: str = "csv") -> dict[str, list[str]]:
+        """Write results under their names to every root."""
+        results = self.results()
+        return {name: save_named(results[name], name, roots, fmt)
+                for name in (names if names is not None else results)}

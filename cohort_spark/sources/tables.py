@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CODE_TYPES = {"c": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(),
@@ -26,16 +27,46 @@ def schema_from_codes(names: Sequence[str], codes: str) -> tuple[T.StructType, l
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
-               sep: str = ",", keep: Sequence[str] | None = None) -> DataFrame:
-    """Read delimited files with a header; a header in another order is an error."""
+               sep: str = ",", keep: Sequence[str] | None = None,
+               by_name: bool = False) -> DataFrame:
+    """Read delimited files with a header.
+
+    Columns bind by position and a header in another order is an error.
+    ``by_name`` takes the order from the header of the first file instead:
+    columns the schema lacks are left out, columns the file lacks are NULL, and
+    a later file with another header is still an error.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    df = (spark.read.schema(schema)
-          .option("header", True).option("sep", sep).option("nullValue", "NA")
-          .option("enforceSchema", False)
-          .csv(paths))
+    if by_name:
+        header = spark.read.option("header", True).option("sep", sep).csv(paths).columns
+        df = read_layout(spark, paths, header, schema, sep)
+    else:
+        df = _reader(spark, schema, sep).csv(paths)
     return df if keep is None else df.select(*[f"`{name}`" for name in keep])
 
 
+def _reader(spark: SparkSession, schema: T.StructType | str, sep: str) -> DataFrameReader:
+    return (spark.read.schema(schema)
+            .option("header", True).option("sep", sep).option("nullValue", "NA")
+            .option("enforceSchema", False))
+
+
+def as_schema(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def read_layout(spark: SparkSession, paths: Sequence[str], header: Sequence[str],
+                schema: T.StructType | str, sep: str = ",") -> DataFrame:
+    """Files that share one header, as the columns of ``schema``."""
+    fields = as_schema(schema).fields
+    types = {field.name: field.dataType for field in fields}
+    layout = T.StructType([T.StructField(name, types.get(name, T.StringType()))
+                           for name in header])
+    return _reader(spark, layout, sep).csv(list(paths)).select(*[
+        F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in fields])
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """Write delimited files with a header, missing values as ``NA``."""
     (df.write.mode(mode)

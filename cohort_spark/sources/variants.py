@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort_spark.operators.sets import bind_rows
-from cohort_spark.sources.tables import read_table
+from cohort_spark.sources.tables import read_layout, read_table
 
 GENE_COLUMN = "Gene.refGene"
 
@@ -48,15 +48,9 @@ def _read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
                .filter(F.array_contains("fields", names[0]) & (known >= min(2, len(names))))
                .groupBy(F.to_json("fields").alias("layout"))
                .agg(F.first("fields").alias("fields"), F.collect_set("file").alias("files")))
-    types = {field.name: field.dataType for field in schema.fields}
-    scans = []
-    for row in headers.orderBy("layout").collect():
-        layout = T.StructType([T.StructField(name, types.get(name, T.StringType()))
-                               for name in row["fields"]])
-        scan = read_table(spark, sorted(row["files"]), layout, sep=sep)
-        scans.append(scan.select(*[f"`{n}`" for n in row["fields"] if n in types]))
-    empty = spark.createDataFrame([], schema)
-    return bind_rows(empty, *scans).select(*[f"`{name}`" for name in names])
+    scans = [read_layout(spark, sorted(row["files"]), row["fields"], schema, sep)
+             for row in headers.orderBy("layout").collect()]
+    return bind_rows(spark.createDataFrame([], schema), *scans)
 
 
 def _regex_literal(sep: str) -> str:
