@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohort_spark.plans.study import Study
 from cohort_spark.sources.study_tables import LazySources
 
-GENE = "Brand#7"
+GENE = "Brand#12"
 SITE_PATTERN = "E[0-9]+[A-Z]"
 RATIO = 2
 
