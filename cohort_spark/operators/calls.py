@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +58,6 @@ def calls_at_site(calls: DataFrame, pattern: str, too_many: str = "error") -> Da
 def variant_counts(site_calls: DataFrame) -> DataFrame:
     """Calls per gene, ploidy, sex and change, most frequent first."""
     keys = ["gene_name", "dragen_sex_ploidy", "sex_at_birth", "dna1", "protein1"]
-    site_calls = (site_calls if "gene_name" in site_calls.columns
-                  else site_calls.withColumnRenamed("gene_name1", "gene_name"))
     return (site_calls.groupBy(*keys).agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), *[F.asc_nulls_last(k) for k in keys]))
 
@@ -86,8 +82,3 @@ def call_audit(split_calls: DataFrame) -> DataFrame:
         F.count_if(F.col("protein1") != F.col("protein2")).alias("n_protein_differs"),
     )
 
-
-def call_columns(names: Sequence[str], keep: Sequence[str]) -> list[str]:
-    """Columns a call scan must read for the operators here."""
-    needed = {*CALL_NAMES, "Sample", "maxAD", "minAD", *fixed.STRAND_COUNTS}
-    return [n for n in names if n in needed or n in keep]

@@ -63,7 +63,10 @@ def scan_counts(events: DataFrame, arms: DataFrame, term: str | Sequence[str],
     units = list(dict.fromkeys([person, *terms, *unit_cols]))
     known = [flag] if flag else []
     keys = list(dict.fromkeys([*units, *known, *([label] if label else [])]))
-    rows = events.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    if unit == "persons" and not label:
+        rows = events.select(*keys).distinct().withColumn("__rows", F.lit(1).cast("bigint"))
+    else:
+        rows = events.groupBy(*keys).agg(F.count("*").alias("__rows"))
     if flag:
         rows = rows.withColumn("__case", F.col(flag) == "case")
     else:

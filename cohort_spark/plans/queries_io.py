@@ -15,10 +15,10 @@ from cohort_spark.plans.study import Study
 from cohort_spark.session import shared_folder
 from cohort_spark.sources import (
     load_calls,
+    read_positional,
     read_table,
     save_named,
     scan_variants,
-    schema_from_codes,
     stage,
     write_table,
 )
@@ -82,8 +82,7 @@ def positional_scan(spark, sf_dir):
         F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"),
         F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part"),
         F.col("l_linestatus").alias("unused")), path)
-    schema, keep = schema_from_codes(["flag", "line", "quantity", "part", "unused"], "cidi_")
-    return read_table(spark, path, schema, keep=keep)
+    return read_positional(spark, path, "cidi_")
 
 
 @query(_CALL_SQL)

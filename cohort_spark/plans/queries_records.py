@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_spark import fixed_values as fixed
-from cohort_spark.operators import classes, history, labs as lab_ops, vocab
+from cohort_spark.operators import labs as lab_ops, vocab
+from cohort_spark.operators.classes import class_dictionary as class_dictionary_of
+from cohort_spark.operators.joins import semi
 from cohort_spark.operators.scan import forest_table, scan_counts, top_terms
 from cohort_spark.plans import stand_in
 from cohort_spark.plans.oracle import scan_sql, with_ctes
@@ -264,7 +266,7 @@ def manifestation_rows(spark, sf_dir):
 @query(with_ctes("""SELECT manifestation, snomed_name, snomed_code, count(*) AS n
     FROM manifestations GROUP BY ALL ORDER BY manifestation, n DESC""", "manifestations"))
 def class_dictionary(spark, sf_dir):
-    return classes.class_dictionary(shared_study(spark, sf_dir).manifestation_rows)
+    return class_dictionary_of(shared_study(spark, sf_dir).manifestation_rows)
 
 
 _MANIFESTATION_SQL = f"SELECT manifestation, {_BY_FLAG} FROM manifestations GROUP BY 1"
@@ -321,8 +323,10 @@ def medication_scan(spark, sf_dir):
     return rounded_tests(shared_study(spark, sf_dir).medication_scan())
 
 
-@query(with_ctes("SELECT * FROM med_rows WHERE person_id = 10", "med_rows"))
+@query(with_ctes("""SELECT * FROM med_rows WHERE person_id = (SELECT person_id FROM site
+    ORDER BY af DESC NULLS LAST, person_id LIMIT 1)""", "med_rows", "site"))
 def person_medications(spark, sf_dir):
-    """Drill-down to the classed medications of one person."""
-    from cohort_spark.operators.columns import for_person
-    return for_person(shared_study(spark, sf_dir).medication_rows, 10)
+    """Drill-down to the classed medications of the case with the highest allele fraction."""
+    study = shared_study(spark, sf_dir)
+    highest = study.cases.orderBy(F.desc_nulls_last("AF"), "person_id").select("person_id").limit(1)
+    return semi(study.medication_rows, highest, "person_id")

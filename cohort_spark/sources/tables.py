@@ -38,13 +38,24 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     """
     paths = [path] if isinstance(path, str) else list(path)
     if by_name:
-        header = spark.read.option("header", True).option("sep", sep).csv(paths).columns
-        df = read_layout(spark, paths, header, schema, sep)
+        df = read_layout(spark, paths, header_of(spark, paths, sep), schema, sep)
     else:
         df = _reader(spark, schema, sep).csv(paths)
     return df if keep is None else df.select(*[f"`{name}`" for name in keep])
 
 
+def header_of(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> list[str]:
+    """Column names in the first line of the first file; reads no further."""
+    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+
+
+def read_positional(spark: SparkSession, path: str | Sequence[str], codes: str,
+                    sep: str = ",") -> DataFrame:
+    """Names from the header, types from one code per column position."""
+    schema, keep = schema_from_codes(header_of(spark, path, sep), codes)
+    return read_table(spark, path, schema, sep=sep, keep=keep)
+
+
 def _reader(spark: SparkSession, schema: T.StructType | str, sep: str) -> DataFrameReader:
     return (spark.read.schema(schema)
             .option("header", True).option("sep", sep).option("nullValue", "NA")

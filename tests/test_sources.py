@@ -3,8 +3,10 @@ import uuid
 import pytest
 from pyspark.sql import types as T
 
+from cohort_spark import fixed_values as fixed
 from cohort_spark.session import shared_folder
 from cohort_spark.sources import (
+    read_positional,
     read_table,
     save_named,
     scan_variants,
@@ -44,6 +46,12 @@ def test_positional_codes(spark, frame, place):
     assert [f.dataType.simpleString() for f in schema.fields] == ["string", "int", "double", "string"]
     write_table(frame([("x", 1, 2.5, "y")], schema), place)
     assert values(read_table(spark, place, schema, keep=keep)) == [("x", 1, 2.5)]
+    assert values(read_positional(spark, place, "cid_")) == [("x", 1, 2.5)]
+    names = [f"c{i}" for i in range(44)]
+    full, kept = schema_from_codes(names, fixed.CALL_TYPE_CODES)
+    assert kept == names[:-1] and len(full.fields) == 44
+    assert [full.fields[i].dataType for i in (28, 33, 35)] == [
+        T.IntegerType(), T.IntegerType(), T.DoubleType()]
     with pytest.raises(ValueError):
         schema_from_codes(["a"], "cc")
     with pytest.raises(ValueError):
