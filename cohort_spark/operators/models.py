@@ -8,10 +8,11 @@ are those of the fit over persons, but each pass reads covariate patterns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.operators.joins import flag_in
@@ -35,13 +36,23 @@ def _varying(patterns: DataFrame, covariates: Sequence[str]) -> list[str]:
     return [c for c in covariates if seen[c]]
 
 
-def logistic(df: DataFrame, outcome: str, covariates: Sequence[str],
-             max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
-    """Coefficient table: term, estimate, standard error, z and p.
+@dataclass(frozen=True)
+class LogisticFit:
+    """``coefficients``: term, estimate, standard error, z and p.  ``statistics``:
+    one row with persons, deviances, their degrees of freedom and AIC."""
+
+    coefficients: DataFrame
+    statistics: DataFrame
+
+
+def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str],
+                 max_iter: int = 50, tol: float = 1e-10) -> LogisticFit:
+    """Fit by iterated reweighting over covariate patterns.
 
     Text covariates are coded against their alphabetically first level; rows
     with a missing covariate are left out.
     """
+    spark = df.sparkSession
     patterns = _patterns(df, outcome, covariates).persist()
     try:
         used = _varying(patterns, covariates)
@@ -51,7 +62,7 @@ def logistic(df: DataFrame, outcome: str, covariates: Sequence[str],
         coded = formula.fit(patterns).transform(patterns)
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="__features", labelCol="__label",
-            weightCol="__n", maxIter=max_iter, tol=tol).fit(coded)
+            weightCol="__n", predictionCol="__mu", maxIter=max_iter, tol=tol).fit(coded)
         names = _feature_names(coded)
         summary = model.summary
         # the intercept comes last in every list of the summary
@@ -60,10 +71,45 @@ def logistic(df: DataFrame, outcome: str, covariates: Sequence[str],
                 for name, estimate, se, z, p in zip(
                     [*names, "(Intercept)"], estimates, summary.coefficientStandardErrors,
                     summary.tValues, summary.pValues)]
+        statistics = _statistics(model.transform(coded), outcome, len(rows)).first()
+        schema = statistics_schema()
     finally:
         patterns.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, std_error double, z_value double, p_val double")
+    return LogisticFit(
+        spark.createDataFrame(rows, "term string, estimate double, std_error double, "
+                                    "z_value double, p_val double"),
+        spark.createDataFrame([statistics], schema))
+
+
+def statistics_schema() -> str:
+    return ("n bigint, null_deviance double, null_df bigint, residual_deviance double, "
+            "residual_df bigint, aic double")
+
+
+def _statistics(predicted: DataFrame, outcome: str, n_terms: int) -> DataFrame:
+    """Deviances over persons, each of whom is a case or not."""
+    yes = F.col("__n") * F.col(outcome)
+    no = F.col("__n") - yes
+
+    def term(count: Column, share: Column) -> Column:
+        return F.when(count > 0, count * F.log(share)).otherwise(0.0)
+
+    sums = predicted.agg(
+        F.sum("__n").alias("n"), F.sum(yes).alias("yes"), F.sum(no).alias("no"),
+        (-2 * F.sum(term(yes, F.col("__mu")) + term(no, 1 - F.col("__mu")))).alias("residual"))
+    null = -2 * (term(F.col("yes"), F.col("yes") / F.col("n"))
+                 + term(F.col("no"), F.col("no") / F.col("n")))
+    n = F.col("n").cast("bigint")
+    return sums.select(
+        n.alias("n"), null.alias("null_deviance"), (n - 1).alias("null_df"),
+        F.col("residual").alias("residual_deviance"), (n - n_terms).alias("residual_df"),
+        (F.col("residual") + 2 * n_terms).alias("aic"))
+
+
+def logistic(df: DataFrame, outcome: str, covariates: Sequence[str],
+             **options: object) -> DataFrame:
+    """Coefficient table of :func:`fit_logistic`."""
+    return fit_logistic(df, outcome, covariates, **options).coefficients
 
 
 def _feature_names(coded: DataFrame) -> list[str]:

@@ -115,4 +115,18 @@ def table_one_tests(df: DataFrame, strata: str, continuous: Sequence[str] = CONT
                     categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Statistic, degrees of freedom and p of every variable across strata."""
     tests = anova(df, continuous, strata).unionByName(chi_square(df, categorical, strata))
-    return tests.withColumn("p_val", upper_tail("statistic", "df1", "df2"))
+    tested = tests.withColumn("p_val", upper_tail("statistic", "df1", "df2"))
+    return tested.withColumn("p_text", p_text(F.col("p_val")))
+
+
+def table_one_text(table: DataFrame) -> DataFrame:
+    """Add the printed form: ``mean (sd)`` or ``n (percent)``."""
+    numbers = F.format_string("%.2f (%.2f)", "mean", "sd")
+    shares = F.format_string("%d (%.1f)", "n", "pct")
+    return table.withColumn("text", F.when(F.col("level").isNull(), numbers).otherwise(shares))
+
+
+def p_text(p_val: Column) -> Column:
+    """Three decimals, or ``<0.001``."""
+    return F.when(p_val < 0.001, "<0.001").when(p_val.isNotNull(),
+                                                F.format_string("%.3f", p_val))

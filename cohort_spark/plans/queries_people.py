@@ -190,6 +190,15 @@ def table_one_arms(spark, sf_dir):
                                            strata="case_or_ctrl"))
 
 
+@query(with_ctes(f"""SELECT stratum, variable, level, CASE WHEN level IS NULL
+    THEN printf('%.2f (%.2f)', mean, sd) ELSE printf('%d (%.1f)', n, pct) END AS text
+    FROM ({_table_one_sql("labelled", "case_or_ctrl")})""", "labelled"))
+def table_one_printed(spark, sf_dir):
+    """The baseline table in its printed form."""
+    table = tables.table_one(shared_study(spark, sf_dir).labelled, strata="case_or_ctrl")
+    return tables.table_one_text(table).select("stratum", "variable", "level", "text")
+
+
 _TEST_PAIRS = " UNION ALL ".join(
     f"SELECT case_or_ctrl AS stratum, '{c}' AS variable, {c} AS level FROM labelled "
     f"WHERE {c} IS NOT NULL" for c in tables.CATEGORICAL)
@@ -234,7 +243,7 @@ def table_one_statistics(spark, sf_dir):
 def table_one_p(spark, sf_dir):
     """The same tests with their p values (no SQL: incomplete beta and gamma)."""
     tests = tables.table_one_tests(shared_study(spark, sf_dir).labelled, "case_or_ctrl")
-    return tests.select("variable", "test", r6("statistic"), "df1", "df2", r6("p_val"))
+    return tests.select("variable", "test", r6("statistic"), "df1", "df2", r6("p_val"), "p_text")
 
 
 # --- models ------------------------------------------------------------------------
@@ -249,6 +258,12 @@ def _flagged(spark, sf_dir):
     return models.case_flag(study.cohort, study.cases)
 
 
+_GROUPS = """
+    SELECT ancestry_pred, CAST(count(*) AS DOUBLE) AS n,
+      CAST(count(*) FILTER (person_id IN (SELECT person_id FROM site)) AS DOUBLE) AS y
+    FROM cohort WHERE ancestry_pred IS NOT NULL GROUP BY 1"""
+
+
 @query(with_ctes("""
     SELECT '(Intercept)' AS term, round(ln(y / (n - y)), 4) AS estimate,
       round(sqrt(1 / y + 1 / (n - y)), 4) AS std_error,
@@ -260,15 +275,28 @@ def _flagged(spark, sf_dir):
             sqrt(1 / g.y + 1 / (g.n - g.y) + 1 / b.y + 1 / (b.n - b.y)) AS se
           FROM groups g, (SELECT * FROM groups WHERE ancestry_pred =
             (SELECT min(ancestry_pred) FROM groups)) b
-          WHERE g.ancestry_pred <> b.ancestry_pred) g""", "cohort", "site", extra={"groups": """
-    SELECT ancestry_pred, CAST(count(*) AS DOUBLE) AS n,
-      CAST(count(*) FILTER (person_id IN (SELECT person_id FROM site)) AS DOUBLE) AS y
-    FROM cohort WHERE ancestry_pred IS NOT NULL GROUP BY 1"""}))
+          WHERE g.ancestry_pred <> b.ancestry_pred) g""", "cohort", "site", extra={"groups": _GROUPS}))
 def logistic_factor(spark, sf_dir):
     """One factor: the fit has a closed form, the log odds of its levels."""
     return _coefficients(models.logistic(_flagged(spark, sf_dir), "is_case", ["ancestry_pred"]))
 
 
+@query(with_ctes("""
+    SELECT CAST(n AS BIGINT) AS n, round(null_dev, 4) AS null_deviance,
+      CAST(n - 1 AS BIGINT) AS null_df, round(res_dev, 4) AS residual_deviance,
+      CAST(n - g AS BIGINT) AS residual_df, round(res_dev + 2 * g, 4) AS aic
+    FROM (SELECT sum(n) AS n, count(*) AS g,
+        -2 * (sum(y) * ln(sum(y) / sum(n)) + sum(n - y) * ln(sum(n - y) / sum(n))) AS null_dev,
+        -2 * sum(CASE WHEN y > 0 THEN y * ln(y / n) ELSE 0 END
+          + CASE WHEN n > y THEN (n - y) * ln((n - y) / n) ELSE 0 END) AS res_dev
+      FROM groups)""", "cohort", "site", extra={"groups": _GROUPS}))
+def logistic_statistics(spark, sf_dir):
+    """Deviances and AIC of the one-factor fit, which have a closed form."""
+    stats = models.fit_logistic(_flagged(spark, sf_dir), "is_case", ["ancestry_pred"]).statistics
+    return stats.withColumns({c: F.round(c, 4)
+                              for c in ("null_deviance", "residual_deviance", "aic")})
+
+
 @query(with_ctes("""
     SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
       round(estimate / std_error, 3) AS z_value
