@@ -80,9 +80,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             ELSE 'Group B' END AS ethnicity
         FROM customer"""),
     "ancestry": ((), """
-        SELECT c_custkey AS person_id, r_name AS ancestry_pred
+        SELECT c_custkey AS person_id,
+          CASE WHEN c_custkey % 53 <> 3 THEN r_name END AS ancestry_pred
         FROM customer JOIN nation ON c_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 53 <> 3"""),
+        JOIN region ON n_regionkey = r_regionkey"""),
     "metrics": ((), """
         SELECT o_custkey AS person_id,
           CASE WHEN o_custkey % 31 = 0 THEN NULL WHEN o_custkey % 29 = 0 THEN 'XXY'

@@ -9,7 +9,7 @@ from cohort_spark.operators import arms as arm_ops
 from cohort_spark.operators import calls as call_ops
 from cohort_spark.operators import matching, models, table_one as tables
 from cohort_spark.operators.cohort import build_cohort
-from cohort_spark.operators.columns import for_person
+from cohort_spark.operators.joins import semi
 from cohort_spark.plans import stand_in
 from cohort_spark.plans.oracle import with_ctes
 from cohort_spark.plans.registry import query, r6, shared_study
@@ -153,9 +153,13 @@ def arm_order(spark, sf_dir):
             .orderBy("arm_rank"))
 
 
-@query(with_ctes(f"SELECT {_PERSON} FROM cohort WHERE person_id = 10", "cohort"))
+@query(with_ctes(f"""SELECT {_PERSON} FROM cohort WHERE person_id = (SELECT person_id FROM site
+    ORDER BY af DESC NULLS LAST, person_id LIMIT 1)""", "cohort", "site"))
 def person_record(spark, sf_dir):
-    return _person(for_person(shared_study(spark, sf_dir).cohort, 10))
+    """Cohort row of the case with the highest allele fraction."""
+    study = shared_study(spark, sf_dir)
+    highest = study.cases.orderBy(F.desc_nulls_last("AF"), "person_id").select("person_id").limit(1)
+    return _person(semi(study.cohort, highest, "person_id"))
 
 
 # --- baseline tables ---------------------------------------------------------------

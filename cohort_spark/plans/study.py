@@ -55,7 +55,7 @@ class Study:
     @cached_property
     def passing(self) -> DataFrame:
         calls = self.sources.calls.filter(F.col(f"`{GENE_COLUMN}`") == self.gene)
-        return stage(call_ops.passing_calls(calls, self.cohort), "passing_calls")
+        return stage(call_ops.passing_calls(calls, self.cohort), "passing_calls", compact=True)
 
     @cached_property
     def cases(self) -> DataFrame:

@@ -16,9 +16,15 @@ from cohort_spark.session import shared_folder
 from cohort_spark.sources.tables import write_table
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh place in the shared folder and read it back."""
+def stage(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` to a fresh place in the shared folder and read it back.
+
+    ``compact`` rebalances first, for few rows left over from a scan of very
+    many splits, each of which would otherwise write its own small file.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.hint("rebalance")
     path = f"{shared_folder(spark)}/stages/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

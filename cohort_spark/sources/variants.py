@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,21 +36,24 @@ def _read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     """Read each header layout as its own scan and union the scans by name.
 
     Only file names and the distinct header lines reach the driver, which lists
-    the files anyway.  A header line is one that names the first schema column
-    and at least one other.
+    the files anyway.  A header line is one that holds two or more schema names;
+    a file without one is an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
     names = [field.name for field in schema.fields]
     fields = F.transform(F.split(F.col("value"), _regex_literal(sep)),
                          lambda text: F.trim(F.regexp_replace(text, '^"|"$', "")))
     known = F.size(F.array_intersect(fields, F.lit(names)))
-    headers = (spark.read.text(paths)
-               .select(F.col("_metadata.file_path").alias("file"), "value", fields.alias("fields"))
-               .filter(F.array_contains("fields", names[0]) & (known >= min(2, len(names))))
-               .groupBy(F.to_json("fields").alias("layout"))
-               .agg(F.first("fields").alias("fields"), F.collect_set("file").alias("files")))
-    scans = [read_layout(spark, sorted(row["files"]), row["fields"], schema, sep)
-             for row in headers.orderBy("layout").collect()]
+    layouts = (spark.read.text(paths)
+               .groupBy(F.col("_metadata.file_path").alias("file"))
+               .agg(F.min(F.when(known >= min(2, len(names)), F.to_json(fields))).alias("layout"))
+               .groupBy("layout").agg(F.collect_set("file").alias("files"))
+               .orderBy("layout").collect())
+    scans = []
+    for layout, files in layouts:
+        if layout is None:
+            raise ValueError(f"no header line in {len(files)} files such as {min(files)}")
+        scans.append(read_layout(spark, sorted(files), json.loads(layout), schema, sep))
     return bind_rows(spark.createDataFrame([], schema), *scans)
 
 

@@ -23,13 +23,16 @@ def read_variant_stream(spark: SparkSession, path: str, schema: T.StructType, ge
 
 def stream_variants(spark: SparkSession, path: str, schema: T.StructType, gene: str,
                     out: str, checkpoint: str, max_files: int = 1000,
-                    **options: object) -> StreamingQuery:
+                    out_files: int | None = None, **options: object) -> StreamingQuery:
     """Append the gene's calls of all files not seen before, then stop.
 
     The checkpoint records the files done, so a restarted or repeated run
-    neither loses nor repeats a file.
+    neither loses nor repeats a file.  ``out_files`` bounds the files a batch
+    writes; without it every split that kept a call writes one.
     """
     calls = read_variant_stream(spark, path, schema, gene, max_files, **options)
+    if out_files is not None:
+        calls = calls.repartition(out_files)
     return (calls.writeStream.format("parquet").outputMode("append")
             .option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -70,11 +70,22 @@ def test_headers_in_another_order(spark, frame, place):
                    ("s3", "G", None, None)]
 
 
+def test_a_file_without_its_first_column_is_kept_and_one_without_header_refused(spark, frame, place):
+    df = frame(ROWS, SCHEMA)
+    write_table(df.select("DP", "`Gene.refGene`"), f"{place}/a")
+    got = values(scan_variants(spark, f"{place}/a", SCHEMA, "G", by_name=True))
+    assert got == [(None, "G", None, 20), (None, "G", None, None)]
+    frame([("s1,G,0.1,20",)], "value string").write.text(f"{place}/b")
+    with pytest.raises(ValueError, match="no header line"):
+        scan_variants(spark, [f"{place}/a", f"{place}/b"], SCHEMA, "G", by_name=True)
+
+
 def test_named_sinks_and_stages(spark, frame, place):
     df = frame(ROWS, SCHEMA)
     for path in save_named(df, "calls", [f"{place}/x", f"{place}/y/"]):
         assert path.endswith("/calls") and values(read_table(spark, path, SCHEMA)) == values(df)
     assert values(stage(df, "calls")) == values(df)
+    assert values(stage(df.repartition(3), "calls", compact=True)) == values(df)
     with pytest.raises(TypeError):
         save_named([1], "list", [place])
     with pytest.raises(Exception):
@@ -84,7 +95,7 @@ def test_named_sinks_and_stages(spark, frame, place):
 def test_stream_takes_each_file_once(spark, frame, place):
     def run():
         stream_variants(spark, f"{place}/in", SCHEMA, "G", f"{place}/out", f"{place}/progress",
-                        max_files=1).awaitTermination()
+                        max_files=1, out_files=1).awaitTermination()
         return values(spark.read.schema(SCHEMA).parquet(f"{place}/out"), "Sample")
 
     df = frame(ROWS, SCHEMA)
