@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_spark.functions.dates import round_half_even
 from cohort_spark.functions.tails import upper_tail
 
 CONTINUOUS = ("age_at_biosample",)
@@ -120,9 +121,10 @@ def table_one_tests(df: DataFrame, strata: str, continuous: Sequence[str] = CONT
 
 
 def table_one_text(table: DataFrame) -> DataFrame:
-    """Add the printed form: ``mean (sd)`` or ``n (percent)``."""
-    numbers = F.format_string("%.2f (%.2f)", "mean", "sd")
-    shares = F.format_string("%d (%.1f)", "n", "pct")
+    """Add the printed form: ``mean (sd)`` or ``n (percent)``, ties to the even digit."""
+    numbers = F.format_string("%.2f (%.2f)", round_half_even(F.col("mean"), 2),
+                              round_half_even(F.col("sd"), 2))
+    shares = F.format_string("%d (%.1f)", "n", round_half_even(F.col("pct"), 1))
     return table.withColumn("text", F.when(F.col("level").isNull(), numbers).otherwise(shares))
 
 

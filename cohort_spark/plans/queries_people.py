@@ -195,7 +195,8 @@ def table_one_arms(spark, sf_dir):
 
 
 @query(with_ctes(f"""SELECT stratum, variable, level, CASE WHEN level IS NULL
-    THEN printf('%.2f (%.2f)', mean, sd) ELSE printf('%d (%.1f)', n, pct) END AS text
+    THEN printf('%.2f (%.2f)', round_even(mean, 2), round_even(sd, 2))
+    ELSE printf('%d (%.1f)', n, round_even(pct, 1)) END AS text
     FROM ({_table_one_sql("labelled", "case_or_ctrl")})""", "labelled"))
 def table_one_printed(spark, sf_dir):
     """The baseline table in its printed form."""

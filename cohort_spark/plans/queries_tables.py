@@ -80,7 +80,7 @@ def null_rules(spark, sf_dir):
 
 
 _TEXT_RULES = (("license|copyright", "licence"), ("@[a-z]+", "contact"), ("https?://", "link"),
-               ("\\bthe\\b", "english"), ("\\bder\\b|\\bdie\\b", "german"), ("[0-9]{3}", "figures"))
+               (" the ", "english"), (" der | die ", "german"), ("[0-9]{3}", "figures"))
 
 
 @query(f"""SELECT lang, label, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
