@@ -23,12 +23,16 @@ def classify(col: Column, rules: Sequence[tuple[str, str]], default: str = "noma
 
 
 def with_class(df: DataFrame, text: str, rules: Sequence[tuple[str, str]], name: str,
-               default: str = "nomatch") -> DataFrame:
+               default: str = "nomatch", keep_default: bool = True) -> DataFrame:
     """Add the label as a column that later filters read instead of recomputing.
 
     A plain column would be copied, regexes and all, into every predicate that
-    Catalyst pushes below it; exploding a one-element array computes it once
-    per row and keeps such predicates above, while filters on other columns
-    still reach the scan.
+    Catalyst pushes below it.  Exploding a one-element array computes it once
+    per row, while filters and semi joins on other columns still move to the
+    scan.  Rows without a label are left out by ``keep_default=False``; their
+    array is empty, so no filter stands in the way of such a semi join.
     """
-    return df.withColumn(name, F.explode(F.array(classify(F.col(text), rules, default))))
+    labels = F.array(classify(F.col(text), rules, default))
+    if not keep_default:
+        labels = F.array_remove(labels, default)
+    return df.withColumn(name, F.explode(labels))

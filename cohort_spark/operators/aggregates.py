@@ -99,11 +99,14 @@ def coverage(df: DataFrame, population: DataFrame, person: str = "person_id") ->
                       F.concat(F.col("n_persons"), F.lit(" ( "), pct, F.lit(" %)")).alias("text"))
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+                  members: DataFrame | None = None) -> DataFrame:
     """The first row per key in the stated order, reduced before the shuffle.
 
     Ties in ``order_by`` are settled by the remaining columns, so the result
-    does not depend on partitioning.
+    does not depend on partitioning.  ``members`` keeps the first key's values
+    that it lists; the semi join stands right on the aggregate, where Catalyst
+    can move it below.
     """
     others = [c for c in df.columns if c not in keys]
     rest = [c for c in others if c not in order_by]
@@ -111,5 +114,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
                        for c in (*order_by, *rest)])
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     picked = df.groupBy(*[f"`{k}`" for k in keys]).agg(F.min_by(row, order).alias("__row"))
+    if members is not None:
+        picked = picked.join(members.select(keys[0]), keys[0], "left_semi")
     return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`")
                            for c in df.columns])

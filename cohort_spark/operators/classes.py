@@ -18,7 +18,7 @@ def manifestation_rows(terms: DataFrame, rules: Rules = fixed.MANIFESTATION_RULE
                        name: str = "manifestation") -> DataFrame:
     """Distinct person and diagnosis rows that fall into a class."""
     rows = terms.select("person_id", "case_or_control", "snomed_name", "snomed_code").distinct()
-    return with_class(rows, "snomed_name", rules, name).filter(F.col(name) != "nomatch")
+    return with_class(rows, "snomed_name", rules, name, keep_default=False)
 
 
 def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
@@ -30,8 +30,11 @@ def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
 
 
 def medication_rows(meds: DataFrame, order_by: Sequence[str],
-                    rules: Rules = fixed.MEDICATION_RULES, name: str = "med_type") -> DataFrame:
-    """First medication row per person and class, in the stated order."""
-    classed = (with_class(meds, "standard_concept_name", rules, name)
-               .filter(F.col(name) != "nomatch"))
-    return first_per_key(classed, ["person_id", name], order_by)
+                    rules: Rules = fixed.MEDICATION_RULES, name: str = "med_type",
+                    members: DataFrame | None = None) -> DataFrame:
+    """First medication row per person and class, in the stated order.
+
+    ``members`` keeps the persons it lists.
+    """
+    classed = with_class(meds, "standard_concept_name", rules, name, keep_default=False)
+    return first_per_key(classed, ["person_id", name], order_by, members)

@@ -87,15 +87,15 @@ def _sd(name: str) -> Column:
 def history_by_arm(dx: DataFrame, arms: DataFrame, code: str = "snomed_name",
                    arm: str = "case_or_ctrl", as_of_year: int = AS_OF_YEAR,
                    person: str = "person_id", propagate_null: bool = False,
-                   study_only: bool = True, probs: Sequence[float] = PROBS) -> DataFrame:
+                   members: DataFrame | None = None, probs: Sequence[float] = PROBS) -> DataFrame:
     """Record length and codes per person, summarised per arm.
 
-    Persons ``arms`` lacks are left out, or form the NULL arm with
-    ``study_only=False``.
+    ``members`` keeps the persons it lists; without it persons the arms lack
+    form the NULL arm.
     """
     persons = person_history(dx, code, person=person, propagate_null=propagate_null)
-    if study_only:  # after the aggregate, where Catalyst can move it below
-        persons = persons.join(arms.select(person), person, "left_semi")
+    if members is not None:  # after the aggregate, where Catalyst can move it below
+        persons = persons.join(members.select(person), person, "left_semi")
     joined = natural_join(persons, arms.select(person, arm), "left", on=[person])
     years = as_of_year - F.col("first_year")
     mean_years, _ = mean_sd(years, 0, propagate_null)

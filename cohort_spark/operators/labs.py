@@ -27,36 +27,41 @@ def name_labs(labs: DataFrame, rules: Sequence[tuple[str, str]] = fixed.LAB_NAME
                     F.col("unit_concept_name").alias("units"), "measurement_datetime"))
 
 
-def _scaled(rule: LabRule) -> Column:
+def _scaled(rule: LabRule, units: Column) -> Column:
     value = F.col("lab_val")
     if rule.scale_unit is None:
         return value
-    return (F.when(F.col("units") == rule.scale_unit, value / rule.divide_by * rule.multiply_by)
+    return (F.when(units == rule.scale_unit, value / rule.divide_by * rule.multiply_by)
             .otherwise(value))
 
 
-def _kept(rule: LabRule) -> Column:
-    test = F.col("lab_name") == rule.lab
+def _kept(rule: LabRule, scaled: Column, units: Column) -> Column:
+    test = scaled.isNotNull()
     if rule.units_kept is not None:
-        test = test & is_in(F.col("units"), rule.units_kept)
+        test = test & is_in(units, rule.units_kept)
     for unit in rule.units_dropped:
-        test = test & (F.col("units") != unit)
+        test = test & (units != unit)
     if rule.low is not None:
-        test = test & F.col("lab_val").between(rule.low, rule.high)
+        test = test & scaled.between(rule.low, rule.high)
     return test
 
 
 def normalise_labs(named: DataFrame, rules: Sequence[LabRule] = fixed.LAB_RULES) -> DataFrame:
-    """Rows of the ruled labs in one unit each, out-of-range values removed."""
-    scaled, kept = None, None
+    """Rows of the ruled labs in one unit each, out-of-range values removed.
+
+    A value that is not kept explodes from a missing array, that is into no
+    row; a later semi join on the person can still move below all the rules.
+    """
+    units = missing_to(F.col("units"), fixed.NO_UNIT)
+    values = None
     for rule in rules:
+        scaled = _scaled(rule, units)
+        value = F.when(_kept(rule, scaled, units), F.array(scaled))
         here = F.col("lab_name") == rule.lab
-        scaled = F.when(here, _scaled(rule)) if scaled is None else scaled.when(here, _scaled(rule))
-        kept = _kept(rule) if kept is None else kept | _kept(rule)
-    return (named.filter(is_in(F.col("lab_name"), [rule.lab for rule in rules]))
-            .withColumn("units", missing_to(F.col("units"), fixed.NO_UNIT))
-            .withColumn("lab_val", scaled)
-            .filter(kept))
+        values = F.when(here, value) if values is None else values.when(here, value)
+    replaced = {"lab_val": F.col("__value").alias("lab_val"), "units": units.alias("units")}
+    return (named.withColumn("__value", F.explode(values))
+            .select(*[replaced.get(c, F.col(c)) for c in named.columns]))
 
 
 def normalise_lab(named: DataFrame, rule: LabRule) -> DataFrame:
@@ -65,16 +70,16 @@ def normalise_lab(named: DataFrame, rule: LabRule) -> DataFrame:
 
 def arm_summary(values: DataFrame, arms: DataFrame, rules: Sequence[LabRule] = fixed.LAB_RULES,
                 arm: str = "case_or_ctrl", person: str = "person_id",
-                study_only: bool = True) -> DataFrame:
+                members: DataFrame | None = None) -> DataFrame:
     """Per lab and arm: persons, mean and sd of each person's lowest or highest value.
 
-    ``arms`` has one row per person.  Persons it lacks are left out, or form the
-    NULL arm with ``study_only=False``.
+    ``arms`` has one row per person.  ``members`` keeps the persons it lists;
+    without it persons the arms lack form the NULL arm.
     """
     per_person = (values.groupBy(person, "lab_name")
                   .agg(F.min("lab_val").alias("__min"), F.max("lab_val").alias("__max")))
-    if study_only:  # after the aggregate, where Catalyst can move it below
-        per_person = per_person.join(arms.select(person), person, "left_semi")
+    if members is not None:  # after the aggregate, where Catalyst can move it below
+        per_person = per_person.join(members.select(person), person, "left_semi")
     low_labs = [r.lab for r in rules if r.extreme == "min"]
     extreme = F.when(F.col("lab_name").isin(low_labs), F.col("__min")).otherwise(F.col("__max"))
     joined = natural_join(per_person.select(person, "lab_name", extreme.alias("extreme")),

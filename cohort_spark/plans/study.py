@@ -83,7 +83,7 @@ class Study:
         return lab_ops.normalise_labs(lab_ops.name_labs(self.sources.labs))
 
     def lab_summary(self) -> DataFrame:
-        return lab_ops.arm_summary(self.lab_values, self.labelled)
+        return lab_ops.arm_summary(self.lab_values, self.labelled, members=self.arms)
 
     # --- diagnoses ----------------------------------------------------------
     @cached_property
@@ -107,7 +107,8 @@ class Study:
 
     def history_by_arm(self) -> DataFrame:
         return history.history_by_arm(self.sources.diagnoses, self.labelled,
-                                      code="standard_concept_name", as_of_year=self.as_of_year)
+                                      code="standard_concept_name", as_of_year=self.as_of_year,
+                                      members=self.arms)
 
     def scan(self, rows: DataFrame, term: str | Sequence[str], **options: object) -> DataFrame:
         return association_scan(rows, self.arms, term, **options)
@@ -150,7 +151,8 @@ class Study:
     # --- medications --------------------------------------------------------
     @cached_property
     def medication_rows(self) -> DataFrame:
-        first = classes.medication_rows(self.sources.medications, self.medication_order)
+        first = classes.medication_rows(self.sources.medications, self.medication_order,
+                                        members=self.arms)
         return flag_study(first, self.arms)
 
     def medication_scan(self, **options: object) -> DataFrame:

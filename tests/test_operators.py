@@ -303,10 +303,12 @@ def test_lab_summary_takes_each_persons_extreme(frame):
     arms = frame([(1, "case_male"), (2, "case_male"), (3, "ctrl_male")],
                  "person_id int, case_or_ctrl string")
     named = labs.normalise_labs(labs.name_labs(frame(rows, LABS)))
-    assert values(labs.arm_summary(named, arms, study_only=False)) == [
+    assert values(labs.arm_summary(named, arms)) == [
         ("mcv", "case_male", 1, 95.0, None), ("mcv", None, 1, 70.0, None),
         ("wbc", "case_male", 2, 3.5, 0.7), ("wbc", "ctrl_male", 1, 9.0, None)]
     assert len(values(labs.person_labs(named, 1))) == 4
+    assert [r[1] for r in values(labs.arm_summary(named, arms, members=arms))] == [
+        "case_male", "case_male", "ctrl_male"]
 
 
 def test_labs_normalise_one_at_a_time_as_together(frame):
@@ -334,7 +336,7 @@ def test_history(frame):
     strict = history.history_summary(dx, people, propagate_null=True).first()
     assert strict["mean_years"] is None and strict["mean_codes"] == 2
     arms = frame([(1, "case_male")], "person_id int, case_or_ctrl string")
-    got = values(history.history_by_arm(dx, arms, "standard_concept_name", study_only=False),
+    got = values(history.history_by_arm(dx, arms, "standard_concept_name"),
                  "case_or_ctrl", "num_pts", "emr_dur", "mean_num_codes", "num_codes_q50")
     assert got == [("case_male", 1, 23.0, 2.0, 2.0), (None, 1, 18.0, 2.0, 2.0)]
 

@@ -67,6 +67,15 @@ def test_semi_join_moves_below_the_aggregate_only_when_it_broadcasts(spark, requ
     assert semi < aggregate
 
 
+def test_only_study_rows_are_classified(spark):
+    study = shared_study(spark, SF_DIR)
+    for df in (study.lab_summary(), study.medication_rows):
+        lines = optimized(df).splitlines()
+        semi = max(i for i, line in enumerate(lines) if "LeftSemi" in line)
+        labels = max(i for i, line in enumerate(lines) if "Generate explode" in line)
+        assert semi > labels
+
+
 def test_both_join_regimes_agree(spark, request):
     study = shared_study(spark, SF_DIR)
 
