@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohort_spark.llm import language, language_model
 from cohort_spark.llm.mixing import mix, word_count
 from cohort_spark.llm.sharding import shard
-from cohort_spark.llm.tables import table
+from cohort_spark.llm.tables import fold, table
 from cohort_spark.llm.token_counts import count_tokens
 from cohort_spark.sources.stages import stage
 
@@ -19,6 +20,8 @@ ORACLES: dict[str, str] = {}
 
 #: The model whose tokens op4 counts, and the tokens a document may have.
 TOKEN_MODEL, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
+#: The vocabulary of the lattices of op8 and op10.
+PIECES = "piece_bpe_32k.model"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -58,3 +61,19 @@ def op7_sharding(spark, sf_dir):
     sharded = shard(table(spark, sf_dir, "documents"), 24)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                           F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    languages = language.learn(docs.where(~held_out), vocabulary(PIECES))
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), languages).drop("text")
+
+
+@query()
+def op10_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 10) == 0
+    model = language_model.learn(docs.where(~held_out), vocabulary(PIECES))
+    return language_model.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
