@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_spark.llm import language, language_model
+from cohort_spark.llm.decontamination import CONTAINED_SQL, contained
+from cohort_spark.llm.lines import LINES_SQL, dedup_lines
 from cohort_spark.llm.mixing import mix, word_count
 from cohort_spark.llm.sharding import shard
 from cohort_spark.llm.tables import fold, table
@@ -39,6 +41,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(CONTAINED_SQL)
+def op2_decontamination(spark, sf_dir):
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(LINES_SQL)
+def op3_line_dedup(spark, sf_dir):
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
