@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm import language, language_model
 from cohort_spark.llm.decontamination import CONTAINED_SQL, contained
+from cohort_spark.llm.jaccard_join import jaccard_join, with_components
 from cohort_spark.llm.lines import LINES_SQL, dedup_lines
 from cohort_spark.llm.mixing import mix, word_count
 from cohort_spark.llm.sharding import shard
@@ -41,6 +42,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_ngram_jaccard_join(spark, sf_dir):
+    classes, _ = jaccard_join(table(spark, sf_dir, "documents"))
+    return with_components(classes)
+
+
 @query(CONTAINED_SQL)
 def op2_decontamination(spark, sf_dir):
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
