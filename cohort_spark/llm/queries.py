@@ -12,6 +12,7 @@ from cohort_spark.llm.decontamination import CONTAINED_SQL, contained
 from cohort_spark.llm.jaccard_join import jaccard_join, with_components
 from cohort_spark.llm.lines import LINES_SQL, dedup_lines
 from cohort_spark.llm.mixing import mix, word_count
+from cohort_spark.llm.neighbours import neighbours
 from cohort_spark.llm.sharding import shard
 from cohort_spark.llm.tables import fold, table
 from cohort_spark.llm.token_counts import count_tokens
@@ -67,6 +68,11 @@ def op4_token_counts(spark, sf_dir):
                           "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query()
+def op5_nearest_neighbours(spark, sf_dir):
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
