@@ -196,7 +196,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
                  k: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Classes of documents linked by similar n-gram sets, and the links that span them.
 
-    Returns (doc_id, n_shingles, vertex, class) per row of ``docs`` and (a, b)
+    Returns (doc_id, th, n_shingles, vertex, class) per row of ``docs``, ``th``
+    being a hash of the text, and (a, b)
     between vertices.  Rows of equal sets have one vertex; ``class`` is the
     smallest vertex reachable, null for a row without words, which is linked
     with nothing.  Missing and repeated ids stay as they are, rows are joined by
@@ -254,7 +255,25 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
 
     found = (vertices.select("key", "vid").join(labels.withColumnRenamed("v", "vid"), "vid", "left")
              .select("key", F.col("vid").alias("vertex"), F.coalesce("label", "vid").alias("class")))
-    return (rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(found, "key", "left").drop("key"), links)
+    return (rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "key").join(found, "key", "left").drop("key"), links)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id (a missing one is smallest), then text hash.
+
+    Rows without words stay.  Of rows repeated with id and text one stays, in
+    its other columns any of them.
+    """
+    classes, _ = jaccard_join(docs, text, doc_id, percent, k)
+    # keys without nulls, so that the repeated rows and the join share one shuffle of the texts
+    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("_null")]
+    best = (classes.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+            .select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.doc_id").isNull().alias("_null"),
+                    F.col("k.th").alias("_th")))
+    with_words = F.coalesce(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = docs.where(with_words).select("*", *keys, _text_hash(text).alias("_th"))
+    kept = rows.dropDuplicates(["_id", "_null", "_th"]).join(stage(best, "kept"), ["_id", "_null", "_th"], "left_semi")
+    return kept.select(docs.columns).union(docs.where(~with_words))
 
 
 def with_components(classes: DataFrame) -> DataFrame:

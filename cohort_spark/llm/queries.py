@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_spark.llm import language, language_model
+from cohort_spark.llm import chat, language, language_model
 from cohort_spark.llm.decontamination import CONTAINED_SQL, contained
 from cohort_spark.llm.jaccard_join import jaccard_join, with_components
 from cohort_spark.llm.lines import LINES_SQL, dedup_lines
@@ -97,6 +97,12 @@ def op8_language_id(spark, sf_dir):
     return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), languages).drop("text")
 
 
+@query()
+def op9_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return chat.parse(turns, chat.learn(turns))
+
+
 @query()
 def op10_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -1,7 +1,69 @@
-"""A corpus pipeline over ``documents``, built from the operators of ``cohort_spark.llm``."""
-STAGES = []
+"""A corpus pipeline over ``documents``, built from the operators of ``cohort_spark.llm``.
+
+Language ID, near duplicates, decontamination, mixing and sharding, in this
+order.  ``run`` writes each stage's rows to the shared folder and hands them to
+the next, so a lost executor costs no finished stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohort_spark.llm import language
+from cohort_spark.llm.decontamination import without_contaminated
+from cohort_spark.llm.jaccard_join import one_of_each
+from cohort_spark.llm.mixing import mix
+from cohort_spark.llm.queries import PIECES, vocabulary
+from cohort_spark.llm.sharding import shard
+from cohort_spark.llm.tables import fold, table
+from cohort_spark.sources.stages import stage
+
+#: Words of a shingle and similarity (percent) of near duplicates; shards written.
+WORDS, PERCENT, SHARDS = 5, 80, 24
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without text or letters go."""
+    languages = language.learn(docs.where(fold("doc_id", 4) != 2), vocabulary(PIECES))
+    return language.identify(docs, languages).where("lang_pred <> 'und'").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    return one_of_each(docs, percent=PERCENT, k=WORDS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of ``benchmark``."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times or not at all."""
+    mixed = mix(docs).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and the place in it."""
+    return shard(docs, SHARDS)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Training and rounding have no SQL; the tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
