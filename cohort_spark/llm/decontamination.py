@@ -20,6 +20,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohort_spark.llm.tables import spare
 from cohort_spark.sources.stages import stage
 
 #: Words of a shingle and the share of an item's shingles that a document must hold.
@@ -111,8 +112,9 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id",
                          k: int = WORDS, share: float = SHARE) -> DataFrame:
     """``docs`` without those that contain an item; rows of one id go together."""
-    found = contained(docs, items, text, doc_id, k, share).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(stage(found, "contaminated"), F.col(doc_id).eqNullSafe(F.col("_d")), "left_anti")
+    other = f"{spare(docs)}d"
+    found = contained(docs, items, text, doc_id, k, share).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(stage(found, "contaminated"), F.col(doc_id).eqNullSafe(F.col(other)), "left_anti")
 
 
 #: DuckDB SQL for op2 over the tables ``documents`` and ``benchmark``.

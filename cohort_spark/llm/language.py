@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.llm.lattice import Lattice, Weights
-from cohort_spark.llm.tables import mixed
+from cohort_spark.llm.tables import mixed, spare
 from cohort_spark.sources.stages import stage
 
 #: Bound of the training sample and the rounds of training.
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     rest = docs.drop("lang_pred", "score")
-    return (rest.withColumn("_found", winner(F.col(text)))
-            .select(*rest.columns, F.when(has_letter(text), F.col("_found.lang_pred")).otherwise("und").alias("lang_pred"),
-                    F.when(has_letter(text), F.col("_found.score")).otherwise(0.0).alias("score")))
+    found = f"{spare(rest)}found"
+    return (rest.withColumn(found, winner(F.col(text)))
+            .select(*rest.columns, F.when(has_letter(text), F.col(f"{found}.lang_pred")).otherwise("und").alias("lang_pred"),
+                    F.when(has_letter(text), F.col(f"{found}.score")).otherwise(0.0).alias("score")))

@@ -177,8 +177,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
             .groupBy("doc_id").agg(F.collect_set(F.md5("key")).alias("_gone")).withColumnRenamed("doc_id", "_id"))
     names = [c for c in base.columns if c != text]
     row = F.struct(*(names or [F.lit(0).alias("none")])).alias("row")
-    held = (base.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left")
-            .select(row, F.col(text).alias("text"), "_gone"))
+    held = base.select(row, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    held = held.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "_gone")
     kinds = held.schema["row"].dataType.simpleString()
     done = held.mapInArrow(_drop_lines(least_chars), f"row {kinds}, text string, n_lines long, n_dropped long")
     return done.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in base.columns],

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.llm.ranks import ranked
+from cohort_spark.llm.tables import spare
 from cohort_spark.sources.stages import stage
 
 #: A document is taken so many times at most.
@@ -35,15 +36,14 @@ MOST_COPIES = 3
 STEPS, MISS = 60, 1e-9
 
 
-@F.pandas_udf("long")
-def _word_counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _count_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield pd.Series([len(x.encode().split()) if x else 0 for x in part], dtype="int64")
+        yield pd.Series([len(x.encode("utf-8", "surrogatepass").split()) if x else 0 for x in part], dtype="int64")
 
 
 def word_count(text: str | Column) -> Column:
     """Runs of characters other than blank, tab, line feed, vertical tab, form feed, return."""
-    return _word_counts(F.col(text) if isinstance(text, str) else text)
+    return F.pandas_udf(_count_words, "long")(F.col(text) if isinstance(text, str) else text)
 
 
 def fair_shares(sizes: list[float], weights: list[float], most: float = MOST_COPIES) -> list[float]:
@@ -156,11 +156,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), size: str
                      .otherwise(F.least(F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean")),
                                         F.lit(float(MOST_COPIES)))).alias("rate")))
     planned = rates.groupBy("source").applyInPandas(whole_copies, "source string, size long, n long, copies long")
+    p = spare(base)
     plan = stage(planned.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source")))
-                 .select("_s", F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("copies").alias("_copies"),
-                         "source_size", "target"), "plan")
-    dealt = ranked(base, [source, "size"], [doc_id], "_rank")
-    fair = F.expr("_copies div _n") + (F.col("_rank") < F.col("_copies") % F.col("_n")).cast("long")
-    return (dealt.join(plan, dealt[source].eqNullSafe(plan["_s"]) & (dealt["size"] == plan["_size"]))
+                 .select(F.col("_s").alias(f"{p}s"), F.col("size").alias(f"{p}size"), F.col("n").alias(f"{p}n"),
+                         F.col("copies").alias(f"{p}copies"), "source_size", "target"), "plan")
+    dealt = ranked(base, [source, "size"], [doc_id], f"{p}at")
+    fair = F.expr(f"{p}copies div {p}n") + (F.col(f"{p}at") < F.col(f"{p}copies") % F.col(f"{p}n")).cast("long")
+    return (dealt.join(plan, F.col(source).eqNullSafe(F.col(f"{p}s")) & (F.col("size") == F.col(f"{p}size")))
             .withColumn("copies", fair.cast("int"))
-            .drop("_s", "_size", "_n", "_copies", "_rank"))
+            .drop(f"{p}s", f"{p}size", f"{p}n", f"{p}copies", f"{p}at"))

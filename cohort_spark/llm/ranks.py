@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.tables import mixed
+from cohort_spark.llm.tables import mixed, spare
 
 
 def ranked(df: DataFrame, groups: list[str], by: list[str], name: str = "slot",
@@ -23,18 +23,19 @@ def ranked(df: DataFrame, groups: list[str], by: list[str], name: str = "slot",
     agree in the other columns too.
     """
     # keys without nulls, so that count, window and join share one partitioning
-    kinds, keys = dict(df.dtypes), [f"_g{i}" for i in range(len(groups))]
+    p, kinds = spare(df), dict(df.dtypes)
+    keys, mix, bucket, turn, first = [f"{p}g{i}" for i in range(len(groups))], f"{p}mix", f"{p}bucket", f"{p}turn", f"{p}first"
     held = df
     for key, g in zip(keys, groups):
         zero = F.lit("") if kinds[g] == "string" else F.lit(0).cast(kinds[g])
         held = held.withColumn(key, F.coalesce(F.col(g), zero)).withColumn(f"{key}n", F.col(g).isNull())
     keys += [f"{key}n" for key in keys]
-    held = held.withColumn("_mix", mixed(*by)).withColumn("_bucket", F.shiftrightunsigned("_mix", 40) % buckets)
-    counts = held.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_mix", *by)
-    return (held.withColumn("_turn", F.row_number().over(within) - 1)
-            .join(first, [*keys, "_bucket"])
-            .withColumn(name, (F.col("_first") + F.col("_turn")).cast("long"))
-            .drop(*keys, "_mix", "_bucket", "_turn", "_first"))
+    held = held.withColumn(mix, mixed(*by)).withColumn(bucket, F.shiftrightunsigned(mix, 40) % buckets)
+    counts = held.groupBy(*keys, bucket).agg(F.count("*").alias(first))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, bucket, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(*keys, bucket).orderBy(mix, *by)
+    return (held.withColumn(turn, F.row_number().over(within) - 1)
+            .join(starts, [*keys, bucket])
+            .withColumn(name, (F.col(first) + F.col(turn)).cast("long"))
+            .drop(*keys, mix, bucket, turn, first))

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.llm.ranks import ranked
-from cohort_spark.llm.tables import mixed
+from cohort_spark.llm.tables import mixed, spare
 from cohort_spark.sources.stages import stage
 
 #: Part of a shard's bytes that a unit may hold, and by which a cut may miss.
@@ -149,36 +149,37 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    spark: SparkSession = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = (docs.drop("size", "text_crc32", "shard", "slot")
-            .withColumn("size", (F.octet_length(whole) + ROW_BYTES).cast("long"))
-            .withColumn("text_crc32", F.crc32(whole.cast("binary")))
-            .withColumn("_group", F.xxhash64(whole, F.lit(1)))
-            .withColumn("_piece", F.shiftrightunsigned(mixed(doc_id), 33)))
-    slim = stage(base.select("_group", "_piece", "size", "text_crc32",
+    rest = docs.drop("size", "text_crc32", "shard", "slot")
+    p = spare(rest)
+    group, crc, piece = f"{p}group", "text_crc32", f"{p}piece"
+    base = (rest.withColumn("size", (F.octet_length(whole) + ROW_BYTES).cast("long"))
+            .withColumn(crc, F.crc32(whole.cast("binary")))
+            .withColumn(group, F.xxhash64(whole, F.lit(1)))
+            .withColumn(piece, F.shiftrightunsigned(mixed(doc_id), 33)))
+    slim = stage(base.select(group, piece, "size", crc,
                              _axis(F.col(lang)).alias("lang"), _axis(F.col(source)).alias("source")), "slim")
     total = slim.agg(F.sum("size")).first()[0] or 0
     most = max(1.0, SLACK * total / shards)
     # heavy groups are cut into so many pieces that one weighs no more than ``most``
-    heavy = (slim.groupBy("_group", "text_crc32").agg(F.sum("size").alias("w")).where(F.col("w") > most)
-             .select(F.col("_group").alias("_hg"), F.col("text_crc32").alias("_hc"), F.ceil(F.col("w") / most * 2).alias("pieces")))
+    heavy = (slim.groupBy(group, crc).agg(F.sum("size").alias("w")).where(F.col("w") > most)
+             .select(F.col(group).alias(f"{p}hg"), F.col(crc).alias(f"{p}hc"), F.ceil(F.col("w") / most * 2).alias(f"{p}pieces")))
     heavy = stage(heavy, "heavy")
 
     def pieced(rows: DataFrame) -> DataFrame:
-        return (rows.join(heavy, (F.col("_group") == F.col("_hg")) & (F.col("text_crc32") == F.col("_hc")), "left")
-                .withColumn("_piece", F.coalesce(F.col("_piece") % F.col("pieces"), F.lit(0)))
-                .drop("_hg", "_hc", "pieces"))
+        return (rows.join(heavy, (F.col(group) == F.col(f"{p}hg")) & (F.col(crc) == F.col(f"{p}hc")), "left")
+                .withColumn(piece, F.coalesce(F.col(piece) % F.col(f"{p}pieces"), F.lit(0)))
+                .drop(f"{p}hg", f"{p}hc", f"{p}pieces"))
 
-    units = (pieced(slim).groupBy("_group", "text_crc32", "_piece")
+    units = (pieced(slim).groupBy(group, crc, piece)
              .agg(F.sum("size").alias("weight"), (F.log(F.min("size")) / 40.0).alias("size"),
                   F.min("lang").alias("lang"), F.min("source").alias("source")))
-    tie = F.shiftrightunsigned(mixed("_group", "_piece"), 32) / float(1 << 32)
-    units = stage(units.select("_group", "text_crc32", "_piece", "weight",
+    tie = F.shiftrightunsigned(mixed(group, piece), 32) / float(1 << 32)
+    units = stage(units.select(group, crc, piece, "weight",
                                *[((F.floor(F.col(d) * LEVELS) + tie) / LEVELS).alias(f"k_{d}")
                                  for d in ("size", "lang", "source")]), "units")
-    placed = stage(units.select("_group", "text_crc32", "_piece", place(build(units, shards)).alias("shard")), "placed")
-    keyed = pieced(base)
-    out = keyed.join(placed.withColumnsRenamed({"_group": "_g", "text_crc32": "_c", "_piece": "_p"}),
-                     (F.col("_group") == F.col("_g")) & (F.col("text_crc32") == F.col("_c")) & (F.col("_piece") == F.col("_p")))
-    return ranked(out.drop("_group", "_piece", "_g", "_c", "_p"), ["shard"], [doc_id])
+    placed = stage(units.select(F.col(group).alias(f"{p}g"), F.col(crc).alias(f"{p}c"), F.col(piece).alias(f"{p}p"),
+                                place(build(units, shards)).alias("shard")), "placed")
+    same = (F.col(group) == F.col(f"{p}g")) & (F.col(crc) == F.col(f"{p}c")) & (F.col(piece) == F.col(f"{p}p"))
+    out = pieced(base).join(placed, same).drop(group, piece, f"{p}g", f"{p}c", f"{p}p")
+    return ranked(out, ["shard"], [doc_id])

@@ -24,6 +24,14 @@ def mixed(*cols: str | Column) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
+def spare(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns that an operator adds and drops."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def tasks_for(spark: SparkSession) -> int:
     """Tasks that keep a whole cluster busy, at least the shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
