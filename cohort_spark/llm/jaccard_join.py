@@ -24,15 +24,17 @@ the mean set size entries.  Their number decides speed only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_spark.llm.components import components
+from cohort_spark.llm.tables import spare
 from cohort_spark.sources.stages import stage
 
 #: Words of an n-gram; the similarity as a percentage.
@@ -41,8 +43,8 @@ WORDS, PERCENT = 3, 90
 MOST_SHARED, VERIFY = 6, 40
 #: A token is frequent if one in SHARES documents holds it; documents of one count.
 SHARES, CHUNK_DOCS, CHUNK_LEAST = 2048, 2000, 4
-#: Words whose hash a worker keeps.
-CACHED = 400_000
+#: Words whose hash a worker keeps; bits of the filter for candidates' texts (8 MB).
+CACHED, MOST_BITS = 400_000, 1 << 26
 
 
 class _Hashes(dict):
@@ -167,29 +169,78 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _maybe_in(spark: SparkSession, wanted: DataFrame, col: str) -> Callable[[Column], Column]:
+    """A filter for hashes in ``wanted``: a bit for each, up to MOST_BITS, so what tasks get is bounded.
+
+    It lets all wanted ones pass and a few others, which a join then takes out.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 16 * wanted.count() // 64 * 64))
+    words = (wanted.select(F.pmod(F.col(col), F.lit(bits)).alias("at"))
+             .groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("set"))
+             .toPandas())
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words["word"]] = words["set"]
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(dtype=np.int64) % bits
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return passes
+
+
 def _verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """The linked ones among candidate ``pairs`` (a, b), by the whole texts of both."""
     pairs = stage(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct()
     wanted = stage(vertices.select("vid", "rep").join(ids, "vid")
                    .select("vid", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")), "wanted")
-    texts = stage(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    maybe = _maybe_in(docs.sparkSession, wanted, "_th")
+    texts = stage(docs.where(maybe(F.col("th")))
+                  .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                   .select("vid", "text").dropDuplicates(["vid"]), "texts")
     sides = (pairs.join(texts.withColumnsRenamed({"vid": "a", "text": "left"}), "a")
              .join(texts.withColumnsRenamed({"vid": "b", "text": "right"}), "b").select("a", "b", "left", "right"))
     return stage(sides.mapInArrow(_links(percent, k), "a long, b long"), "links")
 
 
-def _probe(x: str, y: str) -> Column:
+def _probe() -> Column:
     """Shared tokens asked for by the larger of two vertices, the one that probes."""
-    return F.when((F.col(f"n_{x}") > F.col(f"n_{y}")) | ((F.col(f"n_{x}") == F.col(f"n_{y}")) & (F.col(x) > F.col(y))),
-                  F.col(f"l_{x}")).otherwise(F.col(f"l_{y}"))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    return F.when(larger, F.col("l_a")).otherwise(F.col("l_b"))
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """Pairs that share as many tokens within their prefixes as their prober asks for."""
-    asked = met.withColumn("asked", _probe("a", "b")).where("level_a <= asked and level_b <= asked")
-    return asked.groupBy("a", "b", "asked").agg(F.count("*").alias("met")).where("met >= asked").select("a", "b")
+def _can_link(percent: int) -> Column:
+    """Whether two sizes allow a link, and the tokens that could be in the overlap.
+
+    Up to the end of the shorter prefix these are tokens that stand in another
+    prefix as well (``met``); beyond it at most the rest of that set.
+    """
+    most = F.least("met_a", "met_b") + F.greatest("rest_a", "rest_b")
+    return ((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))))
+
+
+def _counted(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many tokens within their prefixes as their prober asks for.
+
+    Tokens after both prefixes add at most the longer rest, ``o - l``, to the
+    overlap; pairs that cannot reach a link's overlap with it go too.
+    """
+    asked = met.withColumn("asked", _probe()).where("level_a <= asked and level_b <= asked")
+    # a pair may be met in either order, by different tokens
+    pairs = asked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "asked",
+                          (F.col("n_a") + F.col("n_b")).alias("both"), F.greatest("n_a", "n_b").alias("larger"))
+    most = F.col("met") + F.ceil(F.col("larger") * percent / 100.0) - F.col("asked")
+    return (pairs.agg(F.count("*").alias("met"))
+            .where((F.col("met") >= F.col("asked")) & ((100 + percent) * most >= percent * F.col("both")))
+            .select("a", "b"))
+
+
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("token", *more, F.col("vid").alias(side),
+                       *[F.col(c).alias(f"{c}_{side}") for c in ("n", "l", "level", "met", "rest", "label") if c in rows.columns])
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
@@ -197,8 +248,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     """Classes of documents linked by similar n-gram sets, and the links that span them.
 
     Returns (doc_id, th, n_shingles, vertex, class) per row of ``docs``, ``th``
-    being a hash of the text, and (a, b)
-    between vertices.  Rows of equal sets have one vertex; ``class`` is the
+    being a hash of the text, and (a, b) between vertices.  Rows of equal sets have one vertex; ``class`` is the
     smallest vertex reachable, null for a row without words, which is linked
     with nothing.  Missing and repeated ids stay as they are, rows are joined by
     their texts; an empty table gives empty results.
@@ -214,43 +264,39 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     # the written number of a vertex is the same wherever the table is read
     vertices = stage(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
+    # a posting is a token with its vertex and level, in two numbers
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
+    level = F.greatest(F.lit(1), F.col("pos") - first + 1).cast("long")
     posted = (vertices.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
-              .select("token", "vid", "n", F.greatest(F.lit(1), F.col("pos") - first + 1).cast("int").alias("level")))
+              .select("token", F.shiftleft("vid", 4).bitwiseOR(level).alias("at")))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = stage(posted.join(often, "token"), "shared")
+    shared = stage(posted.join(often, "token").select("token", F.shiftright("at", 4).alias("vid"),
+                                                      F.expr("cast(at & 15 as int)").alias("level"), "df"), "shared")
     postings = [F.sum(F.when(F.col("level") <= l, F.col("df") - 1).otherwise(0)).alias(f"s{l}") for l in range(1, MOST_SHARED + 1)]
-    costs = F.array(*[F.col(f"s{l}") * (1 + VERIFY / l) for l in range(1, MOST_SHARED + 1)])
-    chosen = (shared.groupBy("vid").agg(*postings)
-              .select("vid", F.array_position(costs, F.array_min(costs)).cast("int").alias("l")))
+    # a link overlaps in o = size - first tokens at least, so no more can be asked for
+    costs = F.array(*[F.when(F.col("n") - first >= l, F.col(f"s{l}") * (1 + VERIFY / l)) for l in range(1, MOST_SHARED + 1)])
+    chosen = (shared.groupBy("vid").agg(*postings, F.count("*").alias("met"))
+              .join(vertices.select("vid", "n", F.size("prefix").alias("size")), "vid")
+              .select("vid", "n", F.array_position(costs, F.array_min(costs)).cast("int").alias("l"),
+                      "met", (F.col("n") - F.col("size")).alias("rest")))
     band = F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))) if percent < 100 else F.col("n")
-    held = stage(shared.where("level <= %d" % MOST_SHARED).join(chosen, "vid").withColumn("band", band), "held")
-
-    hubs = held.groupBy("token", "band").agg(F.min("vid").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    hub_rows = (held.join(hubs.drop("c"), ["token", "band"]).where("vid = hub")
-                .select("token", "band", F.col("vid").alias("a"), F.col("n").alias("n_a"),
-                        F.col("l").alias("l_a"), F.col("level").alias("level_a")))
-    others = held.select("token", "band", F.col("vid").alias("b"), F.col("n").alias("n_b"),
-                         F.col("l").alias("l_b"), F.col("level").alias("level_b"))
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    stars = _counted(others.join(hub_rows, ["token", "band"]).where((F.col("a") != F.col("b")) & near))
-    links = _verified(stars, vertices, docs, percent, k)
+    held = stage(shared.drop("df").join(chosen, "vid").withColumn("band", band), "held")
+
+    hubs = held.groupBy("token", "band").agg(F.min("vid").alias("vid"), F.count("*").alias("c")).where("c > 1")
+    hub_rows = _side(held.join(hubs.drop("c"), ["token", "band", "vid"]), "a", "band")
+    met = _side(held, "b", "band").join(hub_rows, ["token", "band"]).where((F.col("a") != F.col("b")) & _can_link(percent))
+    links = _verified(_counted(met, percent), vertices, docs, percent, k)
     labels = components(links)
 
-    named = (held.drop("band", "df").join(labels.withColumnRenamed("v", "vid"), "vid", "left")
-             .withColumn("label", F.coalesce("label", "vid")))
-    named = stage(named, "named")
+    named = stage(held.drop("band").join(labels.withColumnRenamed("v", "vid"), "vid", "left")
+                  .withColumn("label", F.coalesce("label", "vid")), "named")
     per = named.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = (per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("labels"))
              .where("labels > 1").drop("labels"))
     open_ = stage(named.join(major, "token").withColumn("is_major", F.expr("label = major")), "open")
-    left = open_.where("not is_major").select("token", F.col("vid").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"),
-                                              F.col("level").alias("level_a"), F.col("label").alias("label_a"))
-    right = open_.select("token", F.col("vid").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"),
-                         F.col("level").alias("level_b"), F.col("label").alias("label_b"), "is_major")
-    rest = _counted(left.join(right, "token").where(F.expr("label_a <> label_b and (is_major or a < b)") & near))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stage(links.union(_verified(rest, vertices, docs, percent, k)), "all_links")
+    met = (_side(open_.where("not is_major"), "a").join(_side(open_, "b", "is_major"), "token")
+           .where(F.expr("label_a <> label_b and (is_major or a < b)") & _can_link(percent)))
+    links = stage(links.union(_verified(_counted(met, percent), vertices, docs, percent, k)), "all_links")
     labels = components(links)
 
     found = (vertices.select("key", "vid").join(labels.withColumnRenamed("v", "vid"), "vid", "left")
@@ -266,13 +312,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     """
     classes, _ = jaccard_join(docs, text, doc_id, percent, k)
     # keys without nulls, so that the repeated rows and the join share one shuffle of the texts
-    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("_null")]
+    p = spare(docs)
+    names = [f"{p}id", f"{p}null", f"{p}th"]
     best = (classes.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-            .select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.doc_id").isNull().alias("_null"),
-                    F.col("k.th").alias("_th")))
+            .select(F.coalesce("k.doc_id", F.lit(0)).alias(names[0]), F.col("k.doc_id").isNull().alias(names[1]),
+                    F.col("k.th").alias(names[2])))
     with_words = F.coalesce(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    rows = docs.where(with_words).select("*", *keys, _text_hash(text).alias("_th"))
-    kept = rows.dropDuplicates(["_id", "_null", "_th"]).join(stage(best, "kept"), ["_id", "_null", "_th"], "left_semi")
+    rows = docs.where(with_words).select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias(names[0]),
+                                         F.col(doc_id).isNull().alias(names[1]), _text_hash(text).alias(names[2]))
+    kept = rows.dropDuplicates(names).join(stage(best, "kept"), names, "left_semi")
     return kept.select(docs.columns).union(docs.where(~with_words))
 
 
