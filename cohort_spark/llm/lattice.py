@@ -45,12 +45,16 @@ class Lattice:
 
     def __init__(self, pieces: list[str], weights: np.ndarray):
         self.prior = np.asarray(weights, dtype=np.float64) / np.sum(weights)
-        self.root: dict = {}  # letter to the next node; the empty key holds a piece's number
+        # a node holds the next nodes by letter and the number of the piece that ends there, 0 for none
+        self.root: tuple[dict, int] = ({}, 0)
+        self.single = {piece for piece in pieces[1:] if len(piece) == 1}
+        whole: dict = {}
         for i, piece in enumerate(pieces[1:], 1):
-            node = self.root
+            node = whole
             for letter in piece:
                 node = node.setdefault(letter, {})
             node[""] = i
+        self.root = _packed(whole)
 
     @classmethod
     def of_model(cls, path: str, lower: bool = False) -> Lattice:
@@ -75,26 +79,46 @@ class Lattice:
     def __len__(self) -> int:
         return len(self.prior)
 
+    def _unknown(self, letter: str) -> int:
+        return len(self) - 1 + min(4, len(letter.encode("utf-8", "surrogatepass")))
+
     def edges(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
         """The places of a word and its edges (start, end, piece), by start."""
-        text, root, out = MARK + word, self.root, []
-        n = len(text)
-        for s in range(n):
-            node, alone = root, False
-            for e in range(s, n):
-                node = node.get(text[e])
-                if node is None:
+        text, root, out = MARK + word, self.root[0], []
+        for s, letter in enumerate(text):
+            kids, e = root, s
+            for following in text[s:]:
+                hit = kids.get(following)
+                if hit is None:
+                    break
+                kids, piece = hit
+                e += 1
+                if piece:
+                    out.append((s, e, piece))
+            if letter not in self.single:  # a character outside the vocabulary
+                out.append((s, s + 1, self._unknown(letter)))
+        return len(text), out
+
+    def _score_short(self, text: str, weight: list[float]) -> float:
+        root, single, sums = self.root[0], self.single, [1.0] + [0.0] * len(text)
+        for s, letter in enumerate(text):
+            kids, e, here = root, s, sums[s]
+            for following in text[s:]:
+                hit = kids.get(following)
+                if hit is None:
                     break
-                piece = node.get("")
-                if piece is not None:
-                    out.append((s, e + 1, piece))
-                    alone |= e == s
-            if not alone:  # a character outside the vocabulary
-                out.append((s, s + 1, len(self) - 1 + min(4, len(text[s].encode("utf-8", "surrogatepass")))))
-        return n, out
+                kids, piece = hit
+                e += 1
+                if piece:
+                    sums[e] += here * weight[piece]
+            if letter not in single:
+                sums[s + 1] += here * weight[self._unknown(letter)]
+        return log(sums[-1])
 
     def score(self, word: str, models: list[Weights]) -> list[float]:
         """Natural log likelihood of the word under each model."""
+        if len(models) == 1 and len(word) < SHORT:
+            return [self._score_short(MARK + word, models[0].linear)]
         n, edges = self.edges(word)
         out = []
         for model in models:
@@ -135,3 +159,7 @@ class Lattice:
     def fitted(self, uses: np.ndarray, kept: float = 1000.0) -> np.ndarray:
         """Log probabilities from expected uses and ``kept`` uses by the vocabulary's own weights."""
         return np.log((uses + kept * self.prior) / (uses.sum() + kept))
+
+
+def _packed(node: dict) -> tuple[dict, int]:
+    return {letter: _packed(child) for letter, child in node.items() if letter}, node.get("", 0)
