@@ -34,9 +34,11 @@ def binom_p(x: Column, n: Column) -> Column:
     """Two-sided exact binomial p at one half.
 
     The upper tail from ``max(x, n - x)`` is its first mass times
-    1 + r1 (1 + r2 (1 + ...)) with r the ratios of neighbouring masses.  After
-    j steps a mass is below exp(-2 j^2 / n) of the first, so ``6 sqrt(n) + 10``
-    steps reach the last bit of a double.
+    1 + r1 (1 + r2 (1 + ...)) with r the ratios of neighbouring masses.  This
+    loses nothing a double holds: from a start at n / 2 or above, the mass after
+    j steps is below exp(-2 j^2 / n) of the first (each ratio is at most
+    (n - 2 i + 2) / (n + 2 i) at step i), so after ``6 sqrt(n) + 10`` steps what
+    is left out is below exp(-72) times sqrt(n).
     """
     x, n = x.cast("double"), n.cast("double")
     start = F.greatest(x, n - x)
@@ -55,9 +57,9 @@ def binom_p(x: Column, n: Column) -> Column:
 # Cell x = case_w of a table with case total m, control total n and k rows
 # with the term; weights C(m,x) C(n,k-x) exp(theta x), theta = log odds ratio.
 
-_FULL_SUPPORT = 2048        # wider supports are cut where the mass is negligible
 _BLOCK_CELLS = 1_000_000    # terms are worked in blocks of about this many cells
-_SOLVE_NATS, _P_NATS = 60.0, 745.0
+_SOLVE_NATS, _P_NATS = 60.0, 745.0   # masses smaller by more are lost in a double anyway
+_STEPS = 200                # Newton or halving steps before a solve counts as failed
 
 
 def _log_fact(z: np.ndarray) -> np.ndarray:
@@ -80,19 +82,14 @@ def _bisect(low: np.ndarray, high: np.ndarray, keep) -> np.ndarray:
 
 
 class _Tables:
-    """A block of 2x2 tables that share one padded array of support values."""
+    """A block of 2x2 tables, each worked on the part of its support that has mass."""
 
-    def __init__(self, m, n, k, x, base=None):
+    def __init__(self, m, n, k, x):
         self.m, self.n, self.k, self.x = m, n, k, x
         self.lo, self.hi = np.maximum(0.0, k - n), np.minimum(k, m)
-        self.full = (self.hi - self.lo).max(initial=0) < _FULL_SUPPORT
-        self.base = base
-        if self.full and base is None:
-            self.base = self._log_weights(self.lo, self.hi, 0.0)
 
     def take(self, rows):
-        base = None if self.base is None else tuple(part[rows] for part in self.base)
-        return _Tables(self.m[rows], self.n[rows], self.k[rows], self.x[rows], base)
+        return _Tables(self.m[rows], self.n[rows], self.k[rows], self.x[rows])
 
     def _log_weights(self, start, end, theta):
         steps = np.arange(int((end - start).max(initial=0)) + 1, dtype=float)
@@ -125,11 +122,7 @@ class _Tables:
 
     def masses(self, theta, nats=_SOLVE_NATS):
         """Support values and their probabilities, one padded row per table."""
-        if self.full:
-            v, log_w = self.base
-            log_w = log_w + np.reshape(theta, (-1, 1)) * (v - self.lo[:, None])
-        else:
-            v, log_w = self._log_weights(*self._window(theta, nats), theta)
+        v, log_w = self._log_weights(*self._window(theta, nats), theta)
         w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
         w /= w.sum(axis=1, keepdims=True)
         return v, w
@@ -178,7 +171,7 @@ class _Tables:
                 bound[wrong] += sign * step
                 step *= 2
         active = np.arange(len(theta))
-        for _ in range(200):
+        for _ in range(_STEPS):
             here = theta[active]
             value, slope = gap(self.take(active), here)
             low[active] = np.where(value < 0, here, low[active])
@@ -190,8 +183,8 @@ class _Tables:
             moved = np.abs(theta[active] - here) > 1e-12 * (1 + np.abs(here))
             active = active[moved]
             if not len(active):
-                break
-        return np.exp(theta)
+                return np.exp(theta)
+        raise RuntimeError(f"{len(active)} exact tests have not settled after {_STEPS} steps")
 
     def estimates(self, alpha):
         """Conditional odds ratio and exact confidence limits."""
@@ -216,15 +209,17 @@ def fisher_numpy(case_w, control_w, case_wo, control_wo, confidence: float = 0.9
         raise ValueError("negative cell: a term is counted more often than its arm has "
                          "persons; count persons, not rows")
     m, n, k = a + b, c + d, a + c
-    width = np.minimum(k, m) - np.maximum(0.0, k - n) + 1
+    # the count is a sum of independent 0/1 draws, at most as many as the smallest margin, so its
+    # variance is below a quarter of that whatever the odds ratio
+    width = np.minimum(np.minimum(k, m) - np.maximum(0.0, k - n),
+                       2 * np.sqrt(_P_NATS * np.minimum(np.minimum(m, n), np.minimum(k, m + n - k)) / 2)) + 1
     out = np.zeros((4, len(a)))
     order = np.argsort(width, kind="stable")
     begin = 0
     while begin < len(order):
         end, size = begin + 1, 1
         while end < len(order):
-            widest = width[order[end]]
-            if (widest > _FULL_SUPPORT) or (size + 1) * widest > _BLOCK_CELLS:
+            if (size + 1) * width[order[end]] > _BLOCK_CELLS:
                 break
             end, size = end + 1, size + 1
         rows = order[begin:end]

@@ -98,19 +98,25 @@ def association_scan(events: DataFrame, arms: DataFrame, term: str | Sequence[st
                      **options: object) -> DataFrame:
     """Cells, conditional odds ratio, exact limits and two-sided p of every term.
 
-    ``test_partitions`` spreads the tests of very many terms over more tasks
-    than their few bytes would get.
+    The tests are dealt over ``test_partitions`` tasks, one a core of the cluster
+    by default: a term is a few bytes but much work, so partitions chosen by
+    size would leave all terms in one task.
     """
     counts = scan_counts(events, arms, term, **options)
-    if test_partitions is not None:
-        counts = counts.repartition(test_partitions)
-    return fisher_tests(counts, confidence)
+    tasks = test_partitions or counts.sparkSession.sparkContext.defaultParallelism
+    return fisher_tests(counts.repartition(tasks), confidence)
 
 
 def top_terms(scan: DataFrame, k: int, term: str | Sequence[str]) -> DataFrame:
-    """The k smallest p values, terms in order on a tie."""
+    """The k smallest p values, terms in order on a tie.
+
+    p is compared unrounded but for the last digits: to ten significant ones, so
+    that terms with equal cells tie.
+    """
     terms = [term] if isinstance(term, str) else list(term)
-    return scan.orderBy(F.asc_nulls_last("p_val"), *[F.asc_nulls_last(t) for t in terms]).limit(k)
+    p = F.format_string("%.9e", F.col("p_val")).cast("double")
+    return scan.orderBy(F.when(F.col("p_val").isNotNull(), p).asc_nulls_last(),
+                        *[F.asc_nulls_last(t) for t in terms]).limit(k)
 
 
 def _plain(col: Column) -> Column:

@@ -322,9 +322,16 @@ _STEPS = """
                             FROM steps s JOIN support USING (id) WHERE s.i < 60))))"""
 
 
-def scan_sql(counts: str, keys: str, *names: str, order: str = "", limit: int | None = None,
+def scan_sql(counts: str, keys: str, *names: str, top: str = "", limit: int | None = None,
              tests: bool = True, digits: int = 6, wrap: str = "SELECT * FROM scan") -> str:
-    """A scan over a ``counts`` query that gives ``keys``, case_w and control_w."""
+    """A scan over a ``counts`` query that gives ``keys``, case_w and control_w.
+
+    With ``top``, the ``limit`` smallest p, unrounded, then in the order of those columns.
+    """
+    p = f"round({_P}, {digits}) AS p_val"
+    if top:
+        p = f"CAST(printf('%.6e', {_P}) AS DOUBLE) AS p_val, CAST(printf('%.9e', {_P}) AS DOUBLE) AS p_rank"
+        wrap = "SELECT * EXCLUDE (p_rank) FROM scan"
     full = {
         "counted": counts,
         "counts": "SELECT c.*, n_case - case_w AS case_wo, n_control - control_w AS control_wo "
@@ -333,7 +340,7 @@ def scan_sql(counts: str, keys: str, *names: str, order: str = "", limit: int |
     }
     cols = f"{keys}, case_w, control_w, case_wo, control_wo"
     if not tests:
-        full["scan"] = f"SELECT {cols}, round({_P}, {digits}) AS p_val FROM support"
+        full["scan"] = f"SELECT {cols}, {p} FROM support"
     else:
         full["steps"] = _STEPS
         full["roots"] = """SELECT id, max(CASE WHEN kind = 1 THEN exp((a + b) / 2) END) AS r1,
@@ -346,7 +353,7 @@ def scan_sql(counts: str, keys: str, *names: str, order: str = "", limit: int |
               AS odds_ratio,
             round(CASE WHEN case_w = lo THEN 0 ELSE r2 END, {digits}) AS or_low,
             round(CASE WHEN case_w = hi THEN {inf} ELSE r3 END, {digits}) AS or_hi,
-            round({_P}, {digits}) AS p_val
+            {p}
             FROM support JOIN roots USING (id)"""
-    tail = (f" ORDER BY {order}" if order else "") + (f" LIMIT {limit}" if limit else "")
+    tail = f" ORDER BY p_rank, {top} LIMIT {limit}" if top else ""
     return with_ctes(wrap + tail, "arm_n", *names, extra=full)

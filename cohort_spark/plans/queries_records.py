@@ -11,7 +11,7 @@ from cohort_spark.operators.joins import semi
 from cohort_spark.operators.scan import forest_table, scan_counts, top_terms
 from cohort_spark.plans import stand_in
 from cohort_spark.plans.oracle import scan_sql, with_ctes
-from cohort_spark.plans.registry import query, r6, rounded_tests, shared_study
+from cohort_spark.plans.registry import query, r6, rounded_tests, shared_study, shown_tests
 
 
 # --- labs ------------------------------------------------------------------------
@@ -198,10 +198,10 @@ def term_scan_tests(spark, sf_dir):
 
 
 @query(scan_sql(_SNOMED_SQL, "standard_concept_name", "dx", "arms",
-                order="p_val, standard_concept_name", limit=fixed.TOP_SNOMED))
+                top="standard_concept_name", limit=fixed.TOP_SNOMED))
 def term_scan_top(spark, sf_dir):
     scan = shared_study(spark, sf_dir).snomed_scan()
-    return top_terms(rounded_tests(scan), fixed.TOP_SNOMED, "standard_concept_name")
+    return shown_tests(top_terms(scan, fixed.TOP_SNOMED, "standard_concept_name"))
 
 
 @query(scan_sql(f"""SELECT icd10_name, icd10_code, {_BY_FLAG} FROM icd10_rows GROUP BY 1, 2""",
@@ -273,10 +273,10 @@ _MANIFESTATION_SQL = f"SELECT manifestation, {_BY_FLAG} FROM manifestations GROU
 
 
 @query(scan_sql(_MANIFESTATION_SQL, "manifestation", "manifestations",
-                order="p_val, manifestation", limit=fixed.TOP_MANIFESTATIONS))
+                top="manifestation", limit=fixed.TOP_MANIFESTATIONS))
 def class_scan(spark, sf_dir):
     scan = shared_study(spark, sf_dir).manifestation_scan()
-    return top_terms(rounded_tests(scan), fixed.TOP_MANIFESTATIONS, "manifestation")
+    return shown_tests(top_terms(scan, fixed.TOP_MANIFESTATIONS, "manifestation"))
 
 
 @query(with_ctes("""SELECT manifestation, count(*) FILTER (case_or_control = 'case') AS case_w,

@@ -40,6 +40,12 @@ def r6(col: str | Column, name: str | None = None) -> Column:
     return rounded.alias(name or col) if isinstance(col, str) or name else rounded
 
 
-def rounded_tests(scan: DataFrame) -> DataFrame:
+def shown_tests(scan: DataFrame) -> DataFrame:
+    """Estimates to six places and p to seven significant digits, so that small p stay apart."""
+    return rounded_tests(scan, "odds_ratio", "or_low", "or_hi").withColumn(
+        "p_val", F.format_string("%.6e", F.col("p_val")).cast("double"))
+
+
+def rounded_tests(scan: DataFrame, *cols: str) -> DataFrame:
     return scan.withColumns({c: F.round(c, 6)
-                             for c in ("odds_ratio", "or_low", "or_hi", "p_val")})
+                             for c in cols or ("odds_ratio", "or_low", "or_hi", "p_val")})

@@ -28,25 +28,27 @@ def schema_from_codes(names: Sequence[str], codes: str) -> tuple[T.StructType, l
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
                sep: str = ",", keep: Sequence[str] | None = None,
-               by_name: bool = False) -> DataFrame:
-    """Read delimited files with a header.
+               by_name: bool = False, strict: bool = False) -> DataFrame:
+    """Read delimited files with a header; a quote within a quoted field is doubled.
 
     Columns bind by position and a header in another order is an error.
     ``by_name`` takes the order from the header of the first file instead:
     columns the schema lacks are left out, columns the file lacks are NULL, and
-    a later file with another header is still an error.
+    a later file with another header is still an error.  ``strict`` fails on a
+    value that is not of its column's type or a row of another length, which
+    otherwise read as missing.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if by_name:
-        df = read_layout(spark, paths, header_of(spark, paths, sep), schema, sep)
+        df = read_layout(spark, paths, header_of(spark, paths, sep), schema, sep, strict)
     else:
-        df = _reader(spark, schema, sep).csv(paths)
+        df = _reader(spark, schema, sep, strict).csv(paths)
     return df if keep is None else df.select(*[f"`{name}`" for name in keep])
 
 
 def header_of(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> list[str]:
     """Column names in the first line of the first file; reads no further."""
-    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+    return spark.read.options(**delimited(sep)).csv(path).columns
 
 
 def read_positional(spark: SparkSession, path: str | Sequence[str], codes: str,
@@ -56,10 +58,14 @@ def read_positional(spark: SparkSession, path: str | Sequence[str], codes: str,
     return read_table(spark, path, schema, sep=sep, keep=keep)
 
 
-def _reader(spark: SparkSession, schema: T.StructType | str, sep: str) -> DataFrameReader:
-    return (spark.read.schema(schema)
-            .option("header", True).option("sep", sep).option("nullValue", "NA")
-            .option("enforceSchema", False))
+def delimited(sep: str) -> dict[str, object]:
+    """The one dialect of readers, sinks and streams: quotes inside a field are doubled."""
+    return {"header": True, "sep": sep, "nullValue": "NA", "quote": '"', "escape": '"'}
+
+
+def _reader(spark: SparkSession, schema: T.StructType | str, sep: str, strict: bool = False) -> DataFrameReader:
+    return (spark.read.schema(schema).options(**delimited(sep)).option("enforceSchema", False)
+            .option("mode", "FAILFAST" if strict else "PERMISSIVE"))
 
 
 def as_schema(schema: T.StructType | str) -> T.StructType:
@@ -67,19 +73,17 @@ def as_schema(schema: T.StructType | str) -> T.StructType:
 
 
 def read_layout(spark: SparkSession, paths: Sequence[str], header: Sequence[str],
-                schema: T.StructType | str, sep: str = ",") -> DataFrame:
+                schema: T.StructType | str, sep: str = ",", strict: bool = False) -> DataFrame:
     """Files that share one header, as the columns of ``schema``."""
     fields = as_schema(schema).fields
     types = {field.name: field.dataType for field in fields}
     layout = T.StructType([T.StructField(name, types.get(name, T.StringType()))
                            for name in header])
-    return _reader(spark, layout, sep).csv(list(paths)).select(*[
+    return _reader(spark, layout, sep, strict).csv(list(paths)).select(*[
         F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
         for f in fields])
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """Write delimited files with a header, missing values as ``NA``."""
-    (df.write.mode(mode)
-       .option("header", True).option("sep", sep).option("nullValue", "NA")
-       .csv(path))
+    df.write.mode(mode).options(**delimited(sep)).csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from cohort_spark.sources.tables import delimited
 from cohort_spark.sources.variants import GENE_COLUMN
 
 
@@ -15,8 +16,7 @@ def read_variant_stream(spark: SparkSession, path: str, schema: T.StructType, ge
                         sep: str = ",") -> DataFrame:
     """Streaming scan of a growing directory, ``max_files`` per batch."""
     return (spark.readStream.schema(schema)
-            .option("header", True).option("sep", sep).option("nullValue", "NA")
-            .option("enforceSchema", False).option("maxFilesPerTrigger", max_files)
+            .options(**delimited(sep)).option("enforceSchema", False).option("maxFilesPerTrigger", max_files)
             .csv(path)
             .filter(F.col(f"`{gene_column}`") == gene))
 

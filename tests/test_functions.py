@@ -188,16 +188,28 @@ def test_fisher_swaps_with_the_arms():
     assert other[3] == pytest.approx(one_way[3], rel=1e-9)
 
 
-def test_fisher_wide_support_equals_narrow_method():
+def test_fisher_window_equals_whole_support(monkeypatch):
     import cohort_spark.functions.exact as exact
     cells = ([900, 2000], [3000, 9000], [5100, 4000], [21000, 21000])
     wide = fisher_numpy(*cells)
-    before, exact._FULL_SUPPORT = exact._FULL_SUPPORT, 10**6
-    try:
-        full = fisher_numpy(*cells)
-    finally:
-        exact._FULL_SUPPORT = before
-    assert np.allclose(wide, full, rtol=1e-8, atol=0)
+    monkeypatch.setattr(exact._Tables.masses, "__defaults__", (10**6,))
+    assert np.allclose(wide, fisher_numpy(*cells), rtol=1e-8, atol=0)
+
+
+def test_fisher_of_many_wide_tables_is_one_block():
+    """A few hundred tables of large arms together cost about as much as one."""
+    import time
+    m, n, a = 3000, 30000, np.arange(100, 300)
+    began = time.process_time()
+    fisher_numpy(a, 10 * a, m - a, n - 10 * a)
+    assert time.process_time() - began < 10
+
+
+def test_fisher_that_does_not_settle_raises(monkeypatch):
+    import cohort_spark.functions.exact as exact
+    monkeypatch.setattr(exact, "_STEPS", 1)
+    with pytest.raises(RuntimeError, match="have not settled"):
+        fisher_numpy([14], [40], [60], [700])
 
 
 def test_negative_cell_is_refused():
