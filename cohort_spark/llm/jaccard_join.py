@@ -17,7 +17,15 @@ emits all its pairs: first each vertex meets one hub a token and size band, and
 verified pairs are joined into components; then the vertices of a token that
 still lie in different components meet each other, except those within the
 token's largest component.  Every link between sets of different components is
-found, so the components are exact.  Frequent tokens come last in the order;
+found, so the components are exact.
+
+Near copies just short of a link are in no common component, and all of them
+share tokens.  Each vertex has a parity sketch: one bit for each residue of its
+tokens, set if their number is odd.  A token in both sets leaves no trace in the
+difference of two sketches, so the bits that differ are never more than the
+tokens that differ, and pairs with too many go before they are made.
+
+Frequent tokens come last in the order;
 they are found in a pass over all texts whose list has at most ``SHARES`` times
 the mean set size entries.  Their number decides speed only.
 """
@@ -30,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.llm.components import components
@@ -45,6 +53,8 @@ MOST_SHARED, VERIFY = 6, 40
 SHARES, CHUNK_DOCS, CHUNK_LEAST = 2048, 2000, 4
 #: Words whose hash a worker keeps; bits of the filter for candidates' texts (8 MB).
 CACHED, MOST_BITS = 400_000, 1 << 26
+#: Longs of a parity sketch, 64 bits each.
+SKETCH = 4
 
 
 class _Hashes(dict):
@@ -114,12 +124,13 @@ def _signatures(sent, k: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, often = sent.value
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 tokens = shingles(text, k)
                 n = len(tokens)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                sketches.append(parity_sketch(tokens))
                 kept = n - least_overlap(n, percent) + MOST_SHARED
                 if not joinable(n, percent):
                     prefixes.append(tokens[:0])
@@ -133,11 +144,30 @@ def _signatures(sent, k: int, percent: int):
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *prefixes])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "th", "n", "key", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                 *map(pa.array, np.array(sketches, dtype=np.int64).reshape(-1, SKETCH).T)],
+                names=["doc_id", "th", "n", "key", "prefix", *sketch_columns()])
     return task
 
 
+def sketch_columns(side: str = "") -> list[str]:
+    return [f"sketch{i}{side}" for i in range(SKETCH)]
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Longs whose bits tell whether a residue occurs an odd number of times."""
+    odd = np.bincount(tokens & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _near_sketches(percent: int) -> Column:
+    """Whether the sketches of a pair allow the overlap of a link; true for every link."""
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(sketch_columns("_a"), sketch_columns("_b"))), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    # the overlap is half of both sizes less the tokens that differ
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
 def joinable(n: int, percent: int) -> bool:
     """Whether a set of n tokens can be linked with a different one (of n + 1 tokens or less)."""
     return n > 0 and (100 * n >= percent * (n + 1) or 100 * (n - 1) >= percent * n)
@@ -239,8 +269,15 @@ def _counted(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
-    return rows.select("token", *more, F.col("vid").alias(side),
-                       *[F.col(c).alias(f"{c}_{side}") for c in ("n", "l", "level", "met", "rest", "label") if c in rows.columns])
+    own = ("n", "l", "level", "met", "rest", "label", *sketch_columns())
+    return rows.select("token", *more, F.col("vid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in own if c in rows.columns])
+
+
+def _sketched(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose sketches allow a link."""
+    for side in ("a", "b"):
+        pairs = pairs.join(vertices.select(F.col("vid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *sketch_columns())]), side)
+    return pairs.where(_near_sketches(percent)).select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
@@ -257,45 +294,54 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("th", _text_hash("text"))
     sent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
     sign = _signatures(sent, k, percent)
+    longs = ", ".join(f"{c} long" for c in sketch_columns())
     rows = stage(docs.select("doc_id", "th", "text").mapInArrow(
-        sign, "doc_id long, th long, n long, key binary, prefix array<long>"), "rows")
-    reps = (rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"),
-                                                   F.first("prefix").alias("prefix")))
+        sign, f"doc_id long, th long, n long, key binary, prefix array<long>, {longs}"), "rows")
+    reps = (rows.where("n > 0").groupBy("key")
+            .agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", *sketch_columns())]))
     # the written number of a vertex is the same wherever the table is read
-    vertices = stage(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
+    vertices = stage(reps.withColumn("size", F.size("prefix").cast("long")).withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
     # a posting is a token with its vertex and level, in two numbers
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     level = F.greatest(F.lit(1), F.col("pos") - first + 1).cast("long")
     posted = (vertices.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
-              .select("token", F.shiftleft("vid", 4).bitwiseOR(level).alias("at")))
-    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = stage(posted.join(often, "token").select("token", F.shiftright("at", 4).alias("vid"),
-                                                      F.expr("cast(at & 15 as int)").alias("level"), "df"), "shared")
-    postings = [F.sum(F.when(F.col("level") <= l, F.col("df") - 1).otherwise(0)).alias(f"s{l}") for l in range(1, MOST_SHARED + 1)]
+              .select("token", F.shiftleft("vid", 4).bitwiseOR(level).alias("at")).repartition("token"))
+    # counted and joined in one shuffle of the postings; two of a token are never equal
+    often = (posted.groupBy("token").agg(F.count("*").alias("df"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+             .where("lo < hi").select("token", "df"))
+    shared = posted.join(often, "token").select("token", F.shiftright("at", 4).alias("vid"),
+                                                F.expr("cast(at & 15 as int)").alias("level"), "df")
+    own = Window.partitionBy("vid")
+    postings = [F.sum(F.when(F.col("level") <= l, F.col("df") - 1).otherwise(0)).over(own).alias(f"s{l}") for l in range(1, MOST_SHARED + 1)]
     # a link overlaps in o = size - first tokens at least, so no more can be asked for
     costs = F.array(*[F.when(F.col("n") - first >= l, F.col(f"s{l}") * (1 + VERIFY / l)) for l in range(1, MOST_SHARED + 1)])
-    chosen = (shared.groupBy("vid").agg(*postings, F.count("*").alias("met"))
-              .join(vertices.select("vid", "n", F.size("prefix").alias("size")), "vid")
-              .select("vid", "n", F.array_position(costs, F.array_min(costs)).cast("int").alias("l"),
-                      "met", (F.col("n") - F.col("size")).alias("rest")))
     band = F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))) if percent < 100 else F.col("n")
-    held = stage(shared.drop("df").join(chosen, "vid").withColumn("band", band), "held")
-
-    hubs = held.groupBy("token", "band").agg(F.min("vid").alias("vid"), F.count("*").alias("c")).where("c > 1")
-    hub_rows = _side(held.join(hubs.drop("c"), ["token", "band", "vid"]), "a", "band")
-    met = _side(held, "b", "band").join(hub_rows, ["token", "band"]).where((F.col("a") != F.col("b")) & _can_link(percent))
-    links = _verified(_counted(met, percent), vertices, docs, percent, k)
+    held = stage(shared.select("token", "vid", "level", *postings, F.count("*").over(own).alias("met"))
+                 .join(vertices.select("vid", "n", "size"), "vid")
+                 .select("token", "vid", "level", "n", F.array_position(costs, F.array_min(costs)).cast("int").alias("l"),
+                         "met", (F.col("n") - F.col("size")).alias("rest"), band.alias("band")), "held")
+
+    # the hub is the vertex that others share most of, as the text that near copies come from
+    hubs = (held.groupBy("token", "band").agg(F.max(F.struct("met", "vid", "n", "l", "level", "rest")).alias("hub"), F.count("*").alias("c"))
+            .where("c > 1").select("token", "band", "hub.*"))
+    met = (_side(held, "b", "band").join(_side(hubs, "a", "band"), ["token", "band"])
+           .where((F.col("a") != F.col("b")) & _can_link(percent)))
+    links = _verified(_sketched(_counted(met, percent), vertices, percent), vertices, docs, percent, k)
     labels = components(links)
 
-    named = stage(held.drop("band").join(labels.withColumnRenamed("v", "vid"), "vid", "left")
-                  .withColumn("label", F.coalesce("label", "vid")), "named")
+    of_vertex = stage(held.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("n", "l", "met", "rest")])
+                      .join(vertices.select("vid", *sketch_columns()), "vid")
+                      .join(labels.withColumnRenamed("v", "vid"), "vid", "left")
+                      .withColumn("label", F.coalesce("label", "vid")), "of_vertex")
+    named = stage(held.select("token", "vid", "level").join(of_vertex.select("vid", "label"), "vid"), "named")
     per = named.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = (per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("labels"))
              .where("labels > 1").drop("labels"))
-    open_ = stage(named.join(major, "token").withColumn("is_major", F.expr("label = major")), "open")
+    open_ = stage(named.join(major, "token").select("token", "vid", "level", F.expr("label = major").alias("is_major"))
+                  .join(of_vertex, "vid"), "open")
     met = (_side(open_.where("not is_major"), "a").join(_side(open_, "b", "is_major"), "token")
-           .where(F.expr("label_a <> label_b and (is_major or a < b)") & _can_link(percent)))
+           .where(F.expr("label_a <> label_b and (is_major or a < b)") & _can_link(percent) & _near_sketches(percent)))
     links = stage(links.union(_verified(_counted(met, percent), vertices, docs, percent, k)), "all_links")
     labels = components(links)
 

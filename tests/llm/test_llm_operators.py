@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from cohort_spark.llm import chat, language_model, lines, mixing, neighbours, queries, sharding
 from cohort_spark.llm.components import components
 from cohort_spark.llm.lattice import Lattice, Weights
-from cohort_spark.llm.jaccard_join import jaccard_join, one_of_each, with_components
+from cohort_spark.llm.jaccard_join import jaccard_join, one_of_each, parity_sketch, with_components
 from cohort_spark.llm.ranks import ranked
 from cohort_spark.llm.tables import table
 from cohort_spark.llm.token_counts import Lengths, count_tokens, pre_tokens
@@ -367,3 +367,12 @@ def test_kept_text_hash(spark, docs):
     for i, t in zip(docs.doc_id, docs.text):
         stay = [x for x in (t or "").split("\n") if len(held[strip(x)]) < 3 or max(held[strip(x)]) == i]
         assert got.loc[i].kept_sha256 == hashlib.sha256("\n".join(stay).encode()).hexdigest()
+
+
+def test_parity_sketches_never_differ_in_more_bits_than_tokens():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 300, 3000):
+        a = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        b = np.union1d(a[n // 5:], rng.integers(-2**63, 2**63 - 1, n // 7))
+        differ = np.bitwise_xor(parity_sketch(a), parity_sketch(b)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in differ) <= len(np.setxor1d(a, b))
