@@ -13,7 +13,9 @@ from cohort_spark.llm.jaccard_join import jaccard_join, with_components
 from cohort_spark.llm.lines import LINES_SQL, dedup_lines
 from cohort_spark.llm.mixing import mix, word_count
 from cohort_spark.llm.neighbours import neighbours
+from cohort_spark.llm.phrases import COLLOCATIONS_SQL, collocations
 from cohort_spark.llm.sharding import shard
+from cohort_spark.llm.simhash import digits, simhash_groups
 from cohort_spark.llm.tables import fold, table
 from cohort_spark.llm.token_counts import count_tokens
 from cohort_spark.sources.stages import stage
@@ -109,3 +111,14 @@ def op10_lm_scoring(spark, sf_dir):
     held_out = fold("doc_id", 10) == 0
     model = language_model.learn(docs.where(~held_out), vocabulary(PIECES))
     return language_model.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
+@query(COLLOCATIONS_SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_simhash_near_dedup(spark, sf_dir):
+    groups, _ = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", digits("fp").alias("fingerprint"), "component_id")

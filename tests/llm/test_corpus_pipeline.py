@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from cohort_spark.llm import mixing
 from cohort_spark.sources.stages import stage
-from test_llm_operators import classes_by_hand, grams
+from llm.test_llm_operators import classes_by_hand, grams
 
 SF = "/root/testdata/sf0.001"
 
