@@ -14,6 +14,7 @@ from cohort_spark.llm.lines import LINES_SQL, dedup_lines
 from cohort_spark.llm.mixing import mix, word_count
 from cohort_spark.llm.neighbours import neighbours
 from cohort_spark.llm.phrases import COLLOCATIONS_SQL, collocations
+from cohort_spark.llm.repair import REPAIR_SQL, damaged_and_repaired
 from cohort_spark.llm.sharding import shard
 from cohort_spark.llm.simhash import digits, simhash_groups
 from cohort_spark.llm.tables import fold, table
@@ -118,6 +119,11 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+@query(REPAIR_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op13_simhash_near_dedup(spark, sf_dir):
     groups, _ = simhash_groups(table(spark, sf_dir, "documents"))
