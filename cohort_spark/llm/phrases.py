@@ -35,8 +35,10 @@ from cohort_spark.sources.stages import stage
 
 #: Occurrences a candidate has; words of the longest; percent at which a longer one absorbs it; phrases listed a language.
 SUPPORT, LONGEST, ABSORB, LISTED = 30, 4, 80, 2000
+#: Rows of a batch that a task sends.
+SENT = 1 << 16
 #: Words of a shard; bytes worked at a time; bits of the candidates' filter (16 MB) and bits for each of them.
-SHARD_WORDS, RUN_BYTES, MOST_BITS, BITS_EACH = 2_000_000, 1 << 20, 1 << 27, 16
+SHARD_WORDS, RUN_BYTES, MOST_BITS, BITS_EACH = 1_000_000, 1 << 20, 1 << 27, 16
 
 _U = np.uint64
 _BASE, _MIX = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -234,17 +236,21 @@ def _mine(langs, most: int, lengths: tuple[int, ...], sent):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _Filter(sent.value) if sent is not None else None
         for shard in _shards(batches, langs, most):
-            yield _mined(np.zeros(len(shard.support), np.int64), np.arange(len(shard.support)), shard.support - 1, 0)
+            yield from _mined(np.zeros(len(shard.support), np.int64), np.arange(len(shard.support)), shard.support - 1, 0)
             stands: dict[int, np.ndarray] = {}
             for k in lengths:
                 keys, n, code, stands[k] = shard.frequent(k, _allowed(shard, k, stands, pairs))
-                yield _mined(keys.view(np.int64), code, n - shard.support[code] + 1, k)
+                shard.gram.pop(k - 2, None)
+                yield from _mined(keys.view(np.int64), code, n - shard.support[code] + 1, k)
     return task
 
 
-def _mined(keys, code, n, k) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(code.astype(np.int32)),
-                                       pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["k", "code", "key", "n"])
+def _mined(keys, code, n, k) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), SENT):
+        part = slice(at, at + SENT)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys[part]), k, np.int32)), pa.array(code[part].astype(np.int32)),
+             pa.array(keys[part], pa.int64()), pa.array(n[part].astype(np.int64))], names=["k", "code", "key", "n"])
 
 
 def _count(langs, most: int, lengths: tuple[int, ...], sent):
