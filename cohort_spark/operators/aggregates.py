@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.dates import round_half_even
+from cohort_spark.operators.ranking import exact_quantiles
 
 
 def count_by(df: DataFrame, *cols: str, name: str = "n") -> DataFrame:
@@ -42,8 +43,8 @@ def distinct_per_key(df: DataFrame, key: str, col: str, name: str = "n") -> Data
 def collect_ids(df: DataFrame, group: Sequence[str], col: str, name: str = "ids") -> DataFrame:
     """Ids of each group as a sorted array.
 
-    For small result groups only: an array is one row, so use the matching
-    operator, which keeps ids as rows, for anything that grows.
+    For small result groups only: an array is one row.  A group that grows
+    takes :func:`cohort_spark.operators.ranking.id_pages`.
     """
     return df.groupBy(*group).agg(F.count("*").alias("n"),
                                   F.array_sort(F.collect_list(col)).alias(name))
@@ -60,21 +61,18 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[s
               accuracy: int = 10_000) -> DataFrame:
     """Linearly interpolated quantiles, overall or per group.
 
-    Rows become (group, value, count) first, so the state of the final
-    aggregate grows with the distinct values, not with the rows.  For
-    continuous values at scale ask for ``approximate``.
+    Rows become (group, value, count) first.  The exact quantiles are then
+    selected by place from ranges of the counted values, so no task holds the
+    values of a group; ``approximate`` saves the sort.
     """
     names = names or [f"q{round(100 * p)}" for p in probs]
     if approximate:
         picked = F.percentile_approx(col, list(map(float, probs)), accuracy)
-        source = df
-    else:
-        source = (df.filter(F.col(col).isNotNull()).groupBy(*group, col)
-                  .agg(F.count("*").alias("__times")))
-        picked = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]),
-                              F.col("__times"))
-    out = source.groupBy(*group).agg(picked.alias("__q"))
-    return out.select(*group, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+        out = df.groupBy(*group).agg(picked.alias("__q"))
+        return out.select(*group, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    counts = (df.filter(F.col(col).isNotNull()).groupBy(*group, col)
+              .agg(F.count("*").alias("__times")))
+    return exact_quantiles(counts, col, "__times", probs, group, names)
 
 
 def commonest(df: DataFrame, group: Sequence[str], col: str, name: str) -> DataFrame:

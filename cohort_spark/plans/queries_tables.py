@@ -24,6 +24,7 @@ from cohort_spark.functions import (
 from cohort_spark.operators import aggregates as agg
 from cohort_spark.operators.columns import drop_prefix, for_person, select_prefix
 from cohort_spark.operators.joins import anti, flag_in, join_on, natural_join, semi
+from cohort_spark.operators.ranking import id_pages
 from cohort_spark.operators.sets import bind_rows, key_union
 from cohort_spark.plans import stand_in
 from cohort_spark.plans.oracle import case_rules, with_ctes
@@ -238,11 +239,12 @@ def codes_per_person(spark, sf_dir):
     return agg.distinct_per_key(lines, "o_custkey", "p_name", "n_names")
 
 
-@query("""SELECT n_regionkey, list_sort(list(n_nationkey)) AS ids, count(*) AS n
-          FROM nation GROUP BY 1""")
+@query("""SELECT n_regionkey, page, count(*) AS n, list(n_nationkey ORDER BY n_nationkey) AS ids
+          FROM (SELECT n_regionkey, n_nationkey, (row_number() OVER (PARTITION BY n_regionkey
+            ORDER BY n_nationkey) - 1) // 2 AS page FROM nation) GROUP BY ALL""")
 def nation_ids(spark, sf_dir):
-    """Ids of each small group as an array."""
-    return agg.collect_ids(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey")
+    """Ids of each group as pages of two."""
+    return id_pages(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", 2)
 
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.1), 6) AS q10,
@@ -254,6 +256,32 @@ def quantity_quantiles(spark, sf_dir):
     return out.select("l_returnflag", r6("q10"), r6("q50"), r6("q90"))
 
 
+_PRICE_QUANTILES = ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS q{round(100 * p)}"
+                             for p in (0, 0.1, 0.5, 0.9, 1))
+
+
+@query(f"SELECT l_returnflag, l_linenumber, {_PRICE_QUANTILES} FROM lineitem GROUP BY 1, 2")
+def price_quantiles(spark, sf_dir):
+    """Quantiles of nearly distinct numbers, selected by place."""
+    out = agg.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0, 0.1, 0.5, 0.9, 1],
+                        ["l_returnflag", "l_linenumber"])
+    return out.select("l_returnflag", "l_linenumber", *[r6(f"q{p}") for p in (0, 10, 50, 90, 100)])
+
+
+@query(f"SELECT {_PRICE_QUANTILES} FROM lineitem")
+def price_quantiles_overall(spark, sf_dir):
+    out = agg.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0, 0.1, 0.5, 0.9, 1])
+    return out.select(*[r6(f"q{p}") for p in (0, 10, 50, 90, 100)])
+
+
+@query("""SELECT c_mktsegment, page, count(*) AS n, list(c_custkey ORDER BY c_custkey) AS ids
+          FROM (SELECT c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_mktsegment
+            ORDER BY c_custkey) - 1) // 50 AS page FROM customer) GROUP BY ALL""")
+def segment_id_pages(spark, sf_dir):
+    """Ids of groups larger than a page, as arrays of bounded length."""
+    return id_pages(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 50)
+
+
 @query("""SELECT p_brand, p_name AS commonest_name FROM (
           SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand
             ORDER BY count(*) DESC, p_name) AS rn FROM part GROUP BY p_brand, p_name)
