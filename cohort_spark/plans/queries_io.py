@@ -14,6 +14,8 @@ from cohort_spark.plans.registry import query, rounded_tests
 from cohort_spark.plans.study import Study
 from cohort_spark.session import shared_folder
 from cohort_spark.sources import (
+    land_calls,
+    landed_variants as read_landed,
     load_calls,
     read_positional,
     read_table,
@@ -23,7 +25,7 @@ from cohort_spark.sources import (
     write_table,
 )
 from cohort_spark.sources import study_tables
-from cohort_spark.streaming import stream_variants
+from cohort_spark.streaming import read_ingested, stream_variants
 
 _CALL_COLUMNS = ["Sample", "Start", "Gene.refGene", "AAChange.refGene", "DP", "minAD", "AF"]
 _CALL_SQL = f"""
@@ -142,20 +144,70 @@ def stream_ingest(spark, sf_dir):
     stream = stream_variants(spark, f"{path}/in", calls.schema, stand_in.GENE, f"{path}/out",
                              f"{path}/progress", max_files=4)
     stream.awaitTermination()
-    return _call_output(spark.read.schema(calls.schema).parquet(f"{path}/out"))
+    return _call_output(read_ingested(spark, f"{path}/out", calls.schema))
 
 
-@query(scan_sql("""SELECT standard_concept_name,
+@query(f"{_CALL_SQL} AND p_partkey % 3 > 0")
+def stream_with_odd_files(spark, sf_dir):
+    """Files of another header among the others: they are set aside, the stream goes on."""
+    calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-stream-odd")
+    other = F.col("Start") % 3 == 0
+    write_table(calls.filter(~other).repartition(4, "Sample"), f"{path}/in")
+    write_table(calls.filter(other).select(*[f"`{c}`" for c in reversed(_CALL_COLUMNS)])
+                .coalesce(2), f"{path}/in", mode="append")
+    stream_variants(spark, f"{path}/in", calls.schema, stand_in.GENE, f"{path}/out",
+                    f"{path}/progress", max_files=3).awaitTermination()
+    return _call_output(read_ingested(spark, f"{path}/out", calls.schema))
+
+
+@query(_CALL_SQL)
+def landed_variants(spark, sf_dir):
+    """Calls clustered by gene when they land, then one gene read by range and Bloom filter."""
+    calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-landing")
+    land_calls(calls, path)
+    return _call_output(read_landed(spark, path, calls.schema, stand_in.GENE))
+
+
+_STUDY_SQL = scan_sql("""SELECT standard_concept_name,
     count(DISTINCT CASE WHEN is_case THEN person_id END) AS case_w,
     count(DISTINCT CASE WHEN NOT is_case THEN person_id END) AS control_w
-    FROM dx JOIN arms USING (person_id) GROUP BY 1""", "standard_concept_name", "dx", "arms"))
-def study_from_files(spark, sf_dir):
-    """A whole study over delimited files: cases, controls and the diagnosis scan."""
+    FROM dx JOIN arms USING (person_id) GROUP BY 1""", "standard_concept_name", "dx", "arms")
+
+
+def _study_files(spark, sf_dir, write_calls):
+    """Paths of a study's delimited files; ``write_calls`` writes the calls and says where."""
     root, given = _fresh(spark, "study-files"), stand_in.sources(spark, sf_dir)
-    needed = ("demographics", "ancestry", "metrics", "calls", "diagnoses")
-    for name in needed:
-        write_table(getattr(given, name), f"{root}/{name}",
+    paths = {name: f"{root}/{name}" for name in ("demographics", "ancestry", "metrics", "diagnoses")}
+    for name, path in paths.items():
+        write_table(getattr(given, name), path,
                     sep="\t" if name in study_tables.TAB_SEPARATED else ",")
-    sources = study_tables.read_sources(spark, {name: f"{root}/{name}" for name in needed})
+    return {**paths, "calls": write_calls(given.calls, f"{root}/calls")}
+
+
+def _scan_of_files(spark, paths):
+    sources = study_tables.read_sources(spark, paths)
     study = Study(sources, stand_in.GENE, stand_in.SITE_PATTERN, ratio=stand_in.RATIO)
     return rounded_tests(study.snomed_scan())
+
+
+@query(_STUDY_SQL)
+def study_from_files(spark, sf_dir):
+    """A whole study over delimited files: cases, controls and the diagnosis scan."""
+    def write(calls, path):
+        write_table(calls, path)
+        return path
+
+    return _scan_of_files(spark, _study_files(spark, sf_dir, write))
+
+
+@query(_STUDY_SQL)
+def study_from_mixed_batches(spark, sf_dir):
+    """The same with two batches of calls whose columns stand in another order."""
+    def write(calls, path):
+        early = F.col("DP") < 25
+        write_table(calls.filter(early), f"{path}/first")
+        write_table(calls.filter(~early).select(*[f"`{c}`" for c in sorted(calls.columns)]),
+                    f"{path}/second")
+        return [f"{path}/first", f"{path}/second"]
+
+    return _scan_of_files(spark, _study_files(spark, sf_dir, write))

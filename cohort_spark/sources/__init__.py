@@ -7,7 +7,7 @@ from cohort_spark.sources.tables import (
     schema_from_codes,
     write_table,
 )
-from cohort_spark.sources.variants import load_calls, scan_variants
+from cohort_spark.sources.variants import land_calls, landed_variants, load_calls, scan_variants
 
-__all__ = ["load_calls", "read_positional", "read_table", "save_named", "scan_variants",
-           "schema_from_codes", "stage", "write_table"]
+__all__ = ["land_calls", "landed_variants", "load_calls", "read_positional", "read_table", "save_named",
+           "scan_variants", "schema_from_codes", "stage", "write_table"]

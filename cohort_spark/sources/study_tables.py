@@ -8,7 +8,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort_spark.sources.tables import read_table
+from cohort_spark.sources.tables import as_schema, read_table
+from cohort_spark.sources.variants import GENE_COLUMN, read_by_name
 
 # Columns a study uses, bound by name; files may hold more.
 SCHEMAS = {
@@ -66,11 +67,16 @@ class LazySources:
 
 def _read(spark: SparkSession, name: str, path: str | Sequence[str]) -> DataFrame:
     sep = "\t" if name in TAB_SEPARATED else ","
+    if name == "calls":  # batches of many files, whose headers may differ
+        return read_by_name(spark, path, as_schema(SCHEMAS[name]), sep, required=[GENE_COLUMN])
     return read_table(spark, path, SCHEMAS[name], sep=sep, by_name=True)
 
 
 def read_sources(spark: SparkSession, paths: Mapping[str, str | Sequence[str]]) -> LazySources:
-    """Sources of a study by name; a file is touched when a step asks for it."""
+    """Sources of a study by name; a file is touched when a step asks for it.
+
+    ``calls`` may list several batches, each file bound by its own header.
+    """
     unknown = set(paths) - set(SCHEMAS)
     if unknown:
         raise ValueError(f"unknown sources: {sorted(unknown)}")

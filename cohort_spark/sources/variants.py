@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort_spark.operators.sets import bind_rows
-from cohort_spark.sources.tables import read_layout, read_table
+from cohort_spark.sources.stages import stage
+from cohort_spark.sources.tables import delimited, read_table
 
 GENE_COLUMN = "Gene.refGene"
 
@@ -24,41 +25,78 @@ def scan_variants(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     ``by_name`` binds by header instead, filling absent columns with NULL.
     """
     if by_name:
-        calls = _read_by_name(spark, path, schema, sep)
+        calls = read_by_name(spark, path, schema, sep)
     else:
         calls = read_table(spark, path, schema, sep=sep)
     calls = calls.filter(F.col(f"`{gene_column}`") == gene)
     return calls if keep is None else calls.select(*[f"`{name}`" for name in keep])
 
 
-def _read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
-                  sep: str) -> DataFrame:
-    """Read each header layout as its own scan and union the scans by name.
+def header_catalogue(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line with any text of each file, as it stands.
 
-    Only file names and the distinct header lines reach the driver, which lists
-    the files anyway.  A header line is one that holds two or more schema names;
-    a file without one is an error.
+    Only rows of first blocks are considered, and a file's rows reduce to one
+    before they are shuffled.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.where((F.col("block") == 0) & (F.length(F.trim("value")) > 0))
+    return first.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+                 sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
+    """Files whose headers differ, each row bound by the header of its own file.
+
+    Files are read once, as columns numbered by place, and joined with the
+    catalogue of their headers; a schema column is then the place its name has
+    in that layout.  Only the distinct headers come to the driver.  A column
+    that a file lacks is NULL; a file whose first line holds none of the
+    schema's names, or lacks a ``required`` one, is an error.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    catalogue = stage(header_catalogue(spark, paths), "headers")
+    found = catalogue.groupBy("header").agg(F.count("*").alias("files"), F.min("file").alias("example")).collect()
     names = [field.name for field in schema.fields]
-    fields = F.transform(F.split(F.col("value"), _regex_literal(sep)),
-                         lambda text: F.trim(F.regexp_replace(text, '^"|"$', "")))
-    known = F.size(F.array_intersect(fields, F.lit(names)))
-    layouts = (spark.read.text(paths)
-               .groupBy(F.col("_metadata.file_path").alias("file"))
-               .agg(F.min(F.when(known >= min(2, len(names)), F.to_json(fields))).alias("layout"))
-               .groupBy("layout").agg(F.collect_set("file").alias("files"))
-               .orderBy("layout").collect())
-    scans = []
-    for layout, files in layouts:
-        if layout is None:
-            raise ValueError(f"no header line in {len(files)} files such as {min(files)}")
-        scans.append(read_layout(spark, sorted(files), json.loads(layout), schema, sep))
-    return bind_rows(spark.createDataFrame([], schema), *scans)
-
-
-def _regex_literal(sep: str) -> str:
-    return "\\" + sep if sep in ".|*+?()[]{}^$\\" else sep
+    layouts = {row.header: _fields(row.header, sep) for row in found}
+    for row in found:
+        missing = [name for name in required if name not in layouts[row.header]]
+        if missing or not set(names) & set(layouts[row.header]):
+            what = f"{', '.join(missing)} missing" if missing else "no header line"
+            raise ValueError(f"{what} in {row.files} files such as {row.example}")
+    if not layouts:
+        return spark.createDataFrame([], schema)
+    width = max(map(len, layouts.values()))
+    places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = (spark.read.schema(places).options(**delimited(sep)).csv(paths)
+            .select("*", F.col("_metadata.file_path").alias("file")))
+    named = rows.join(catalogue, "file")
+    return named.select(*[_bound(field, layouts).alias(field.name) for field in schema.fields])
+
+
+def _fields(header: str, sep: str) -> list[str]:
+    return [name.strip() for name in next(csv.reader([header], delimiter=sep))]
+
+
+def _bound(field: T.StructField, layouts: dict[str, list[str]]) -> Column:
+    """The place of a column in the layout of the row's file, as the column's type."""
+    by_place: dict[int, list[str]] = {}
+    for header, names in layouts.items():
+        if field.name in names:
+            by_place.setdefault(names.index(field.name), []).append(header)
+    if not by_place:
+        return F.lit(None).cast(field.dataType)
+    if len(by_place) == 1 and len(next(iter(by_place.values()))) == len(layouts):
+        text = F.col(f"c{next(iter(by_place))}")
+    else:
+        text = None
+        for place, headers in by_place.items():
+            test, value = F.col("header").isin(headers), F.col(f"c{place}")
+            text = F.when(test, value) if text is None else text.when(test, value)
+    return text if isinstance(field.dataType, T.StringType) else text.try_cast(field.dataType)
 
 
 def load_calls(spark: SparkSession, batches: Sequence[str | Sequence[str]],
@@ -67,3 +105,37 @@ def load_calls(spark: SparkSession, batches: Sequence[str | Sequence[str]],
     """All batches of call files under one schema, one gene."""
     return bind_rows(*[scan_variants(spark, batch, schema, gene, keep=keep, **options)
                        for batch in batches])
+
+
+# --- landing ---------------------------------------------------------------------
+def plain_name(name: str) -> str:
+    """A column name without the dots that keep a filter from the scan."""
+    return name.replace(".", "_")
+
+
+def land_calls(calls: DataFrame, path: str, gene_column: str = GENE_COLUMN,
+               order: Sequence[str] = ("Sample", "Start"), files: int | None = None,
+               genes: int = 30_000, mode: str = "errorifexists") -> None:
+    """Write calls so that a gene is found without reading the others.
+
+    Rows are clustered by gene over the files and sorted by it within them, so
+    the range of genes in a file or row group leaves most out; a Parquet Bloom
+    filter leaves out the rest.  A gene with very many calls spreads over
+    several files by ``order``.
+    """
+    given = [c for c in order if c in calls.columns]
+    plain = calls.select(*[F.col(f"`{c}`").alias(plain_name(c)) for c in calls.columns])
+    keys = [F.col(plain_name(c)) for c in (gene_column, *given)]
+    dealt = plain.repartitionByRange(files, *keys) if files else plain.repartitionByRange(*keys)
+    column = plain_name(gene_column)
+    (dealt.sortWithinPartitions(*keys).write.mode(mode)
+     .option(f"parquet.bloom.filter.enabled#{column}", "true")
+     .option(f"parquet.bloom.filter.expected.ndv#{column}", str(genes)).parquet(path))
+
+
+def landed_variants(spark: SparkSession, path: str, schema: T.StructType, gene: str,
+                    gene_column: str = GENE_COLUMN) -> DataFrame:
+    """One gene's calls from a landing, under the names of ``schema``; the filter reaches the scan."""
+    plain = T.StructType([T.StructField(plain_name(f.name), f.dataType) for f in schema.fields])
+    calls = spark.read.schema(plain).parquet(path).filter(F.col(plain_name(gene_column)) == gene)
+    return calls.select(*[F.col(plain_name(f.name)).alias(f.name) for f in schema.fields])

@@ -1,5 +1,5 @@
 """Incremental ingest with Structured Streaming."""
 
-from cohort_spark.streaming.ingest import stream_variants
+from cohort_spark.streaming.ingest import read_ingested, read_quarantine, stream_variants
 
-__all__ = ["stream_variants"]
+__all__ = ["read_ingested", "read_quarantine", "stream_variants"]

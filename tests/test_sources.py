@@ -9,12 +9,15 @@ from cohort_spark.sources import (
     read_positional,
     read_table,
     save_named,
+    land_calls,
+    landed_variants,
     scan_variants,
     schema_from_codes,
     stage,
     write_table,
 )
-from cohort_spark.streaming import stream_variants
+from cohort_spark.sources.variants import header_catalogue, read_by_name
+from cohort_spark.streaming import read_ingested, read_quarantine, stream_variants
 from conftest import values
 
 SCHEMA = T.StructType([T.StructField("Sample", T.StringType()),
@@ -80,6 +83,49 @@ def test_a_file_without_its_first_column_is_kept_and_one_without_header_refused(
         scan_variants(spark, [f"{place}/a", f"{place}/b"], SCHEMA, "G", by_name=True)
 
 
+def test_a_row_of_column_names_is_no_header(spark, frame, place):
+    """The header is the first line, whatever later lines hold."""
+    lines = [("DP,AF,Gene.refGene,Sample",), ("20,0.5,G,S1",), ("21,AF,G,Sample",), ("S2,AF,Sample",),
+             ('22,"0.1,0.2",G,"a ""quoted"" one"',)]
+    frame(lines, "value string").coalesce(1).write.text(place)
+    got = values(scan_variants(spark, place, SCHEMA, "G", by_name=True))
+    assert got == [("S1", "G", "0.5", 20), ("Sample", "G", "AF", 21), ('a "quoted" one', "G", "0.1,0.2", 22)]
+    whole = values(read_by_name(spark, place, SCHEMA))
+    assert len(whole) == 4 and (None, "Sample", "AF", None) in whole
+    assert [r.header for r in header_catalogue(spark, place).collect()] == [lines[0][0]]
+
+
+def test_a_required_column(spark, frame, place):
+    write_table(frame(ROWS, SCHEMA).select("Sample", "DP"), place)
+    with pytest.raises(ValueError, match="Gene.refGene missing"):
+        read_by_name(spark, place, SCHEMA, required=["Gene.refGene"])
+
+
+def test_quotes_within_quotes_read_by_hand(spark, frame, place):
+    frame([("Sample\tGene.refGene\tAF\tDP",), ('"say ""hi"" now"\tG\t"a\tb"\t3',), ('""""\t""\tNA\t4',)],
+          "value string").coalesce(1).write.text(place)
+    got = values(read_table(spark, place, SCHEMA, sep="\t"))
+    assert got == [('"', "", None, 4), ('say "hi" now', "G", "a\tb", 3)]
+
+
+def test_landing_lets_the_gene_reach_the_scan(spark, frame, place):
+    import glob
+
+    import pyarrow.parquet as pq
+    rows = [(f"s{i}", f"G{i % 40:02d}", "0.5", i) for i in range(4000)]
+    land_calls(frame(rows, SCHEMA), place, files=8)
+    gene = landed_variants(spark, place, SCHEMA, "G07")
+    assert values(gene) == sorted(r for r in rows if r[1] == "G07")
+    plan = gene._jdf.queryExecution().toString()
+    assert "EqualTo(Gene_refGene,G07)" in plan
+    ranges = []
+    for path in glob.glob(f"{place}/*.parquet"):
+        group = pq.ParquetFile(path).metadata.row_group(0)
+        stats = next(c for c in map(group.column, range(group.num_columns)) if c.path_in_schema == "Gene_refGene").statistics
+        ranges.append((stats.min, stats.max))
+    assert len(ranges) > 4 and sum(low <= "G07" <= high for low, high in ranges) <= 2
+
+
 def test_named_sinks_and_stages(spark, frame, place):
     df = frame(ROWS, SCHEMA)
     for path in save_named(df, "calls", [f"{place}/x", f"{place}/y/"]):
@@ -96,7 +142,7 @@ def test_stream_takes_each_file_once(spark, frame, place):
     def run():
         stream_variants(spark, f"{place}/in", SCHEMA, "G", f"{place}/out", f"{place}/progress",
                         max_files=1, out_files=1).awaitTermination()
-        return values(spark.read.schema(SCHEMA).parquet(f"{place}/out"), "Sample")
+        return values(read_ingested(spark, f"{place}/out", SCHEMA), "Sample")
 
     df = frame(ROWS, SCHEMA)
     write_table(df.repartition(3), f"{place}/in")
@@ -104,3 +150,27 @@ def test_stream_takes_each_file_once(spark, frame, place):
     write_table(df.limit(1), f"{place}/in", mode="append")
     assert run() == [("s1",), ("s1",), ("s3",)]
     assert run() == [("s1",), ("s1",), ("s3",)]
+
+
+def test_odd_files_are_listed_and_an_unrecorded_batch_leaves_nothing_twice(spark, frame, place):
+    from pathlib import Path
+
+    def run():
+        stream_variants(spark, f"{place}/in", SCHEMA, "G", f"{place}/out", f"{place}/progress",
+                        max_files=2).awaitTermination()
+        return values(read_ingested(spark, f"{place}/out", SCHEMA), "Sample", "AF")
+
+    df = frame(ROWS, SCHEMA)
+    write_table(df.repartition(3), f"{place}/in")
+    write_table(df.select("DP", "Sample", "`Gene.refGene`", "AF").coalesce(1), f"{place}/in", mode="append")
+    want = [("s1", "0.1,0.2"), ("s3", None)]
+    assert run() == want
+    listed = read_quarantine(spark, f"{place}/out-quarantine").collect()
+    assert [r.header for r in listed] == ["DP,Sample,Gene.refGene,AF"]
+    # as if the driver was lost after the last batch was written and before it was recorded
+    commits = sorted((p for p in Path(f"{place}/progress/commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last = commits[-1].name
+    for p in (commits[-1], commits[-1].with_name(f".{last}.crc")):
+        p.unlink(missing_ok=True)
+    assert run() == want
+    assert len(read_quarantine(spark, f"{place}/out-quarantine").collect()) == 1
