@@ -9,7 +9,8 @@ from cohort_spark import fixed_values as fixed
 from cohort_spark.functions.exact import binom_p
 from cohort_spark.functions.text import first_integer, matches, split_fields, to_number
 from cohort_spark.operators.columns import drop_prefix
-from cohort_spark.operators.joins import natural_join, semi
+from cohort_spark.operators.joins import join_on, natural_join, semi
+from cohort_spark.sources.stages import stage
 
 CALL_NAMES = {
     "Chr": "chr", "Start": "pos", "Ref": "ref", "Alt": "alt",
@@ -27,24 +28,43 @@ def supported_calls(calls: DataFrame) -> DataFrame:
     return drop_prefix(calls, "Other").filter(test)
 
 
-def test_calls(calls: DataFrame) -> DataFrame:
-    """Person, renamed call columns, numeric allele fraction and binomial p."""
+def read_counts(calls: DataFrame) -> DataFrame:
+    """Person, renamed call columns, numeric allele fraction, and the counts to test."""
     renamed = [F.col(f"`{old}`").alias(new) for old, new in CALL_NAMES.items() if old != "AF"]
     return calls.select(
         first_integer(F.col("Sample")).alias("person_id"), *renamed,
         to_number(F.col("AF")).alias("AF"),
-        binom_p(F.col("maxAD"), F.col("maxAD") + F.col("minAD")).alias("binom_p_val"),
+        F.col("maxAD").alias("__x"), (F.col("maxAD") + F.col("minAD")).alias("__n"),
     )
 
 
+def with_binomial(counted: DataFrame, pairs: DataFrame | None = None,
+                  name: str = "binom_p_val") -> DataFrame:
+    """Add the exact p of ``__x`` out of ``__n`` and drop the two.
+
+    Read counts repeat, so each distinct pair is tested once and written; calls
+    then look their pair up.  ``pairs`` may be any frame that holds the pairs
+    of ``counted``, such as the calls before a join that only removes some.
+    """
+    distinct = (counted if pairs is None else pairs).select("__x", "__n").distinct()
+    memo = stage(distinct.withColumn(name, binom_p(F.col("__x"), F.col("__n"))), "binomial",
+                 compact=True)
+    return join_on(counted, memo, {"__x": "__x", "__n": "__n"}, "left").drop("__x", "__n")
+
+
+def test_calls(calls: DataFrame) -> DataFrame:
+    """Person, renamed call columns, numeric allele fraction and binomial p."""
+    return with_binomial(read_counts(calls))
+
+
 def passing_calls(calls: DataFrame, cohort: DataFrame) -> DataFrame:
     """Supported calls of cohort persons that are not plain heterozygous.
 
     One-copy persons pass outright; the others need a binomial p under 0.01.
     """
-    joined = natural_join(test_calls(supported_calls(calls)), cohort, "inner",
-                          on=["person_id"])
-    return joined.filter((F.col("dragen_sex_ploidy") == fixed.SINGLE_COPY_PLOIDY)
+    counted = read_counts(supported_calls(calls))
+    joined = natural_join(counted, cohort, "inner", on=["person_id"])
+    return with_binomial(joined, pairs=counted).filter((F.col("dragen_sex_ploidy") == fixed.SINGLE_COPY_PLOIDY)
                          | (F.col("binom_p_val") < fixed.MAX_BINOMIAL_P))
 
 
