@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_spark.llm.tables import tasks_for
 from cohort_spark.sources.stages import stage
 
 #: Occurrences a candidate has; words of the longest; percent at which a longer one absorbs it; phrases listed a language.
@@ -293,7 +294,9 @@ def _round(docs: DataFrame, langs, most: int, slack: dict[int, int], lengths: tu
     spark = docs.sparkSession
     while True:
         hidden = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for item in slack.items() for v in item]), F.col("code")), F.lit(0))
-        mined = stage(docs.mapInArrow(_mine(langs, most, lengths, pairs), _MINED).groupBy("k", "code", "key").agg(F.sum("n").alias("n"))
+        # a shard reports each phrase once, so there is nothing to combine before the shuffle
+        reports = docs.mapInArrow(_mine(langs, most, lengths, pairs), _MINED).repartition(tasks_for(spark), "key")
+        mined = stage(reports.groupBy("k", "code", "key").agg(F.sum("n").alias("n"))
                       .where((F.col("k") == 0) | (F.col("n") + hidden >= SUPPORT)), "mined")
         found = {r.code: r.n for r in mined.where("k = 0").groupBy("code").agg(F.sum("n").alias("n")).collect()}
         if all(n <= slack.get(code, 0) for code, n in found.items()):
