@@ -357,3 +357,56 @@ def scan_sql(counts: str, keys: str, *names: str, top: str = "", limit: int | No
             FROM support JOIN roots USING (id)"""
     tail = f" ORDER BY p_rank, {top} LIMIT {limit}" if top else ""
     return with_ctes(wrap + tail, "arm_n", *names, extra=full)
+
+
+# --- logistic regression ------------------------------------------------------
+_INVERSE = """list_reduce(
+    list_prepend(h, list_transform(range(1, len(h) + 1), lambda k: [[CAST(k AS DOUBLE)]])),
+    lambda m, e: list_transform(m, lambda r, i: CASE WHEN i = CAST(e[1][1] AS INTEGER)
+      THEN list_transform(r, lambda v: v / r[CAST(e[1][1] AS INTEGER)])
+      ELSE list_transform(r, lambda v, j: v - r[CAST(e[1][1] AS INTEGER)]
+        * m[CAST(e[1][1] AS INTEGER)][j] / m[CAST(e[1][1] AS INTEGER)][CAST(e[1][1] AS INTEGER)])
+      END))"""
+
+
+def _sums(states: str) -> str:
+    """Information (beside a unit matrix, for its inverse) and gradient at each state's beta."""
+    return f"""
+        SELECT i, beta, list(row ORDER BY a) AS h, list(g ORDER BY a) AS g FROM (
+          SELECT i, beta, a, any_value(g) AS g,
+            list(v ORDER BY b) || list(CAST(a = b AS DOUBLE) ORDER BY b) AS row FROM (
+              SELECT i, beta, a, b, sum(x[a] * x[b] * n * mu * (1 - mu)) AS v,
+                sum(x[a] * (y - n * mu)) AS g
+              FROM (SELECT i, beta, x, n, y, 1 / (1 + exp(-list_dot_product(x, beta))) AS mu
+                    FROM {states}, points) s, places pa(a), places pb(b)
+              GROUP BY i, beta, a, b) GROUP BY i, beta, a) GROUP BY i, beta"""
+
+
+def logistic_ctes(numbers: tuple[str, ...], factors: tuple[str, ...], steps: int = 15) -> dict[str, str]:
+    """Newton steps for any number of terms in recursive SQL: the CTE ``fit`` (term, estimate, std_error)."""
+    used = ", ".join((*numbers, *factors))
+    there = " AND ".join(f"{c} IS NOT NULL" for c in (*numbers, *factors))
+    levels = ", ".join(f"list(DISTINCT {c} ORDER BY {c})[2:] AS {c}_levels" for c in factors)
+    coded = " || ".join(f"list_transform({c}_levels, lambda v: CAST(v = {c} AS DOUBLE))" for c in factors)
+    named = " || ".join(f"list_transform({c}_levels, lambda v: '{c}_' || v)" for c in factors)
+    ones = ", ".join(["CAST(1 AS DOUBLE)", *[f"CAST({c} AS DOUBLE)" for c in numbers]])
+    words = ", ".join(f"'{c}'" for c in ("(Intercept)", *numbers))
+    return {
+        "whole": f"""SELECT {used}, person_id IN (SELECT person_id FROM site) AS is_case
+            FROM cohort WHERE {there}""",
+        "levels": f"SELECT {levels} FROM whole",
+        "points": f"""SELECT x, CAST(count(*) AS DOUBLE) AS n,
+            CAST(count(*) FILTER (is_case) AS DOUBLE) AS y
+            FROM (SELECT [{ones}] || {coded} AS x, is_case FROM whole, levels) GROUP BY x""",
+        "names": f"SELECT [{words}] || {named} AS names FROM levels",
+        "places": "SELECT unnest(range(1, len(names) + 1)) AS p FROM names",
+        "newton": f"""
+            SELECT 0 AS i, list_transform(names, lambda w: CAST(0 AS DOUBLE)) AS beta FROM names
+            UNION ALL
+            SELECT i + 1, list_transform(beta, lambda v, k:
+              v + list_dot_product(({_INVERSE})[k][len(beta) + 1:], g))
+            FROM ({_sums(f"(SELECT * FROM newton WHERE i < {steps})")})""",
+        "fit": f"""SELECT unnest(names) AS term, unnest(beta) AS estimate,
+              unnest(list_transform(inverse, lambda r, k: sqrt(r[len(beta) + k]))) AS std_error
+            FROM (SELECT beta, {_INVERSE} AS inverse
+                  FROM ({_sums(f"(SELECT * FROM newton WHERE i = {steps})")})), names"""}

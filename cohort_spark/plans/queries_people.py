@@ -11,7 +11,7 @@ from cohort_spark.operators import matching, models, table_one as tables
 from cohort_spark.operators.cohort import build_cohort
 from cohort_spark.operators.joins import semi
 from cohort_spark.plans import stand_in
-from cohort_spark.plans.oracle import with_ctes
+from cohort_spark.plans.oracle import logistic_ctes, with_ctes
 from cohort_spark.plans.registry import query, r6, shared_study
 
 _PERSON = """person_id, CAST(date_of_birth AS VARCHAR) AS date_of_birth, sex_at_birth, gender, race,
@@ -289,7 +289,8 @@ def logistic_factor(spark, sf_dir):
 @query(with_ctes("""
     SELECT CAST(n AS BIGINT) AS n, round(null_dev, 4) AS null_deviance,
       CAST(n - 1 AS BIGINT) AS null_df, round(res_dev, 4) AS residual_deviance,
-      CAST(n - g AS BIGINT) AS residual_df, round(res_dev + 2 * g, 4) AS aic
+      CAST(n - g AS BIGINT) AS residual_df, round(res_dev + 2 * g, 4) AS aic,
+      TRUE AS converged, FALSE AS separated
     FROM (SELECT sum(n) AS n, count(*) AS g,
         -2 * (sum(y) * ln(sum(y) / sum(n)) + sum(n - y) * ln(sum(n - y) / sum(n))) AS null_dev,
         -2 * sum(CASE WHEN y > 0 THEN y * ln(y / n) ELSE 0 END
@@ -297,7 +298,7 @@ def logistic_factor(spark, sf_dir):
       FROM groups)""", "cohort", "site", extra={"groups": _GROUPS}))
 def logistic_statistics(spark, sf_dir):
     """Deviances and AIC of the one-factor fit, which have a closed form."""
-    stats = models.fit_logistic(_flagged(spark, sf_dir), "is_case", ["ancestry_pred"]).statistics
+    stats = models.fit_logistic(_flagged(spark, sf_dir), "is_case", ["ancestry_pred"]).statistics.drop("steps")
     return stats.withColumns({c: F.round(c, 4)
                               for c in ("null_deviance", "residual_deviance", "aic")})
 
@@ -331,17 +332,21 @@ def logistic_age(spark, sf_dir):
     return _coefficients(models.logistic(_flagged(spark, sf_dir), "is_case", ["age_at_biosample"]))
 
 
-@query()
+_FIT_SQL = """SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
+    round(estimate / std_error, 3) AS z_value FROM fit"""
+_DEMOGRAPHICS = (("age_at_biosample",), ("sex_at_birth", "race", "ethnicity"))
+_GENOMICS = (("age_at_biosample",), ("dragen_sex_ploidy", "ancestry_pred"))
+
+
+@query(with_ctes(_FIT_SQL, "cohort", "site", extra=logistic_ctes(*_DEMOGRAPHICS)))
 def logistic_demographics(spark, sf_dir):
-    """Case flag on age, sex, race and ethnicity (iterative fit, no SQL)."""
-    model = models.logistic(_flagged(spark, sf_dir), "is_case",
-                            ["age_at_biosample", "sex_at_birth", "race", "ethnicity"])
-    return _coefficients(model)
+    """Case flag on age, sex, race and ethnicity."""
+    numbers, factors = _DEMOGRAPHICS
+    return _coefficients(models.logistic(_flagged(spark, sf_dir), "is_case", [*numbers, *factors]))
 
 
-@query()
+@query(with_ctes(_FIT_SQL, "cohort", "site", extra=logistic_ctes(*_GENOMICS)))
 def logistic_genomics(spark, sf_dir):
-    """Case flag on age, ploidy and ancestry (iterative fit, no SQL)."""
-    model = models.logistic(_flagged(spark, sf_dir), "is_case",
-                            ["age_at_biosample", "dragen_sex_ploidy", "ancestry_pred"])
-    return _coefficients(model)
+    """Case flag on age, ploidy and ancestry."""
+    numbers, factors = _GENOMICS
+    return _coefficients(models.logistic(_flagged(spark, sf_dir), "is_case", [*numbers, *factors]))

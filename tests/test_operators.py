@@ -463,3 +463,56 @@ def test_logistic_against_newton_steps(frame):
     for i, term in enumerate(["(Intercept)", "age", "sex_M", "race_b", "race_c"]):
         assert got[term] == pytest.approx((beta[i], error[i]), rel=1e-5)
     assert len(got) == 5
+
+
+def test_logistic_reports_separation_and_aliased_terms(frame):
+    kind = "y boolean, x double, g string, twin string"
+    apart = [(i >= 20, float(i), "ab"[i % 2], "cd"[i % 2]) for i in range(40)]
+    fit = models.fit_logistic(frame(apart, kind), "y", ["x", "g"])
+    stats = fit.statistics.first()
+    assert stats.separated and not stats.converged
+    level = [(i % 3 == 0 or i % 4 == 3, float(i % 5), "abcc"[i % 4], "cd"[i % 2]) for i in range(60)]
+    level = [(y if g != "b" else True, x, g, t) for y, x, g, t in level]  # one level holds cases only
+    assert models.fit_logistic(frame(level, kind), "y", ["x", "g"]).statistics.first().separated
+    mixed = [(i % 3 == 0, float(i % 7), "ab"[i % 2], "cd"[i % 2]) for i in range(84)]
+    fit = models.fit_logistic(frame(mixed, kind), "y", ["x", "g", "twin"])
+    terms = {r.term: r for r in fit.coefficients.collect()}
+    stats = fit.statistics.first()
+    assert stats.converged and not stats.separated and stats.residual_df == 84 - 3
+    assert terms["twin_d"].estimate is None and terms["g_b"].estimate is not None
+    one_sided = models.fit_logistic(frame([(True, 1.0, "a", "c"), (True, 2.0, "b", "d")], kind), "y", ["x"])
+    assert one_sided.statistics.first().separated
+    none = models.fit_logistic(frame([], kind), "y", ["x", "g"])
+    assert none.statistics.first().n == 0 and none.coefficients.collect() == []
+
+
+def test_logistic_far_from_its_start(frame):
+    """Steps that overshoot are halved; the fit ends at zero gradient."""
+    rows = [(x > 0 and i != 3, x, "a", "c") for i, x in enumerate([-90.0, -50.0, -1.0, 2.0, 40.0, 95.0, -2.0, 3.0])]
+    rows += [(True, -60.0, "a", "c"), (False, 70.0, "a", "c")]
+    fit = models.fit_logistic(frame(rows, "y boolean, x double, g string, twin string"), "y", ["x"])
+    b = {r.term: r.estimate for r in fit.coefficients.collect()}
+    gap = sum(y - 1 / (1 + math.exp(-(b["(Intercept)"] + b["x"] * x))) for y, x, *_ in rows)
+    assert fit.statistics.first().converged and abs(gap) < 1e-6
+
+
+def test_quantiles_and_pages_of_groups_over_many_ranges(frame):
+    from cohort_spark.operators.ranking import id_pages, ranges
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(3000)]
+    df = frame(rows, "g string, v int, i long").repartition(5)
+    got = {r.g: (r.q0, r.q25, r.q50, r.q99, r.q100) for r in agg.quantiles(
+        df, "v", [0, 0.25, 0.5, 0.99, 1], ["g"]).collect()}
+    for g in ("a", "b", None):
+        v = [float(x) for h, x, _ in rows if h == g and x is not None]
+        assert got[g] == pytest.approx(tuple(np.quantile(v, [0, 0.25, 0.5, 0.99, 1])))
+    assert "percentile" not in agg.quantiles(df, "v", [0.5], ["g"])._jdf.queryExecution().toString()
+    pages = {(r.g, r.page): r.ids for r in id_pages(df, ["g"], "i", 100).collect()}
+    for g in ("a", "b", None):
+        ids = sorted(i for h, _, i in rows if h == g)
+        assert [i for p in range(-(-len(ids) // 100)) for i in pages[g, p]] == ids
+    assert max(map(len, pages.values())) == 100
+    before = {(r.g, r.i): r["__before"] for r in ranges(df, ["g"], ["i"], parts=7).with_before().collect()}
+    assert all(sorted(b for (h, _), b in before.items() if h == g) == list(range(sum(h == g for h, *_ in rows)))
+               for g in ("a", "b", None))
+    assert agg.quantiles(df.limit(0), "v", [0.5], ["g"]).collect() == []
