@@ -410,3 +410,36 @@ def logistic_ctes(numbers: tuple[str, ...], factors: tuple[str, ...], steps: int
               unnest(list_transform(inverse, lambda r, k: sqrt(r[len(beta) + k]))) AS std_error
             FROM (SELECT beta, {_INVERSE} AS inverse
                   FROM ({_sums(f"(SELECT * FROM newton WHERE i = {steps})")})), names"""}
+
+
+# --- tails of the chi-square and F distributions --------------------------------
+def _inwards(terms: str, start: str, step: str) -> str:
+    """``step`` of acc and j for j from ``terms`` down to 1."""
+    return (f"list_reduce(list_prepend(CAST({start} AS DOUBLE), list_transform(range(CAST({terms} AS BIGINT), 0, -1), "
+            f"lambda k: CAST(k AS DOUBLE))), lambda acc, j: {step})")
+
+
+def _gamma_sql(s: str, x: str) -> str:
+    terms = f"(ceil(10 * sqrt({s})) + 100)"
+    front = f"exp({s} * ln({x}) - {x} - lgamma({s}))"
+    series = _inwards(terms, "1", f"1 + acc * {x} / ({s} + j)")
+    fraction = _inwards(terms, f"{x} + 2 * {terms} + 1 - {s}",
+                        f"{x} + 2 * j - 1 - {s} - j * (j - {s}) / acc")
+    return (f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} < {s} + 1 THEN 1 - {front} / {s} * {series} "
+            f"ELSE {front} / {fraction} END")
+
+
+def _beta_sql(a: str, b: str, x: str) -> str:
+    step = (f"1 - ({a} + j - 1) * ({a} + {b} + j - 1) * {x} / (({a} + 2 * j - 2) * ({a} + 2 * j - 1)) "
+            f"/ (1 + j * ({b} - j) * {x} / (({a} + 2 * j - 1) * ({a} + 2 * j)) / acc)")
+    return (f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} / "
+            + _inwards(f"(ceil(10 * sqrt(greatest({a}, {b}))) + 100)", "1", step))
+
+
+def tail_sql(statistic: str, df1: str, df2: str) -> str:
+    """P(F > statistic), or P(chi-square > statistic) where the second degrees of freedom are NULL."""
+    a, b, x = f"({df2} / 2)", f"({df1} / 2)", f"({df2} / ({df2} + {df1} * {statistic}))"
+    return (f"CASE WHEN {statistic} IS NULL OR {df1} <= 0 THEN NULL "
+            f"WHEN {df2} IS NULL THEN {_gamma_sql(b, f'({statistic} / 2)')} "
+            f"WHEN {x} >= 1 THEN 1.0 WHEN {x} > ({a} + 1) / ({a} + {b} + 2) THEN 1 - {_beta_sql(b, a, f'(1 - {x})')} "
+            f"ELSE {_beta_sql(a, b, x)} END")

@@ -11,7 +11,7 @@ from cohort_spark.operators import matching, models, table_one as tables
 from cohort_spark.operators.cohort import build_cohort
 from cohort_spark.operators.joins import semi
 from cohort_spark.plans import stand_in
-from cohort_spark.plans.oracle import logistic_ctes, with_ctes
+from cohort_spark.plans.oracle import logistic_ctes, tail_sql, with_ctes
 from cohort_spark.plans.registry import query, r6, shared_study
 
 _PERSON = """person_id, CAST(date_of_birth AS VARCHAR) AS date_of_birth, sex_at_birth, gender, race,
@@ -209,9 +209,9 @@ _TEST_PAIRS = " UNION ALL ".join(
     f"WHERE {c} IS NOT NULL" for c in tables.CATEGORICAL)
 
 
-@query(with_ctes("""
+_TESTS_SQL = """
     SELECT 'age_at_biosample' AS variable, 'anova' AS test,
-      round((between_ss / (g - 1)) / (within_ss / (n - g)), 6) AS statistic,
+      (between_ss / (g - 1)) / (within_ss / (n - g)) AS statistic,
       CAST(g - 1 AS DOUBLE) AS df1, CAST(n - g AS DOUBLE) AS df2
     FROM (SELECT sum(gn * (gm - m) * (gm - m)) AS between_ss, sum(ss) AS within_ss,
             count(*) AS g, sum(gn) AS n
@@ -219,8 +219,8 @@ _TEST_PAIRS = " UNION ALL ".join(
                   var_pop(age_at_biosample) * count(*) AS ss FROM labelled GROUP BY 1),
                (SELECT avg(age_at_biosample) AS m FROM labelled))
     UNION ALL
-    SELECT variable, 'chi-square', CASE WHEN r > 1 AND c > 1 THEN round(CASE WHEN r = 2 AND c = 2
-        THEN corrected ELSE plain END, 6) END, CAST((r - 1) * (c - 1) AS DOUBLE), NULL
+    SELECT variable, 'chi-square', CASE WHEN r > 1 AND c > 1 THEN CASE WHEN r = 2 AND c = 2
+        THEN corrected ELSE plain END END, CAST((r - 1) * (c - 1) AS DOUBLE), NULL
     FROM (SELECT variable, count(DISTINCT stratum) AS r, count(DISTINCT level) AS c,
             sum((o - e) * (o - e) / e) AS plain,
             sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e) AS corrected
@@ -235,7 +235,11 @@ _TEST_PAIRS = " UNION ALL ".join(
                 LEFT JOIN (SELECT variable, stratum, level, count(*) AS o FROM pairs
                       GROUP BY ALL) k
                   ON k.variable = r.variable AND k.stratum = r.stratum AND k.level = c.level)
-          GROUP BY variable)""", "labelled", extra={"pairs": _TEST_PAIRS}))
+          GROUP BY variable)"""
+
+
+@query(with_ctes(f"SELECT * REPLACE (round(statistic, 6) AS statistic) FROM ({_TESTS_SQL})",
+                 "labelled", extra={"pairs": _TEST_PAIRS}))
 def table_one_statistics(spark, sf_dir):
     """F and chi-square statistics with their degrees of freedom."""
     labelled = shared_study(spark, sf_dir).labelled
@@ -244,9 +248,12 @@ def table_one_statistics(spark, sf_dir):
     return tests.select("variable", "test", r6("statistic"), "df1", "df2")
 
 
-@query()
+@query(with_ctes(f"""SELECT variable, test, round(statistic, 6) AS statistic, df1, df2,
+    round(p, 6) AS p_val, CASE WHEN p < 0.001 THEN '<0.001' WHEN p IS NOT NULL THEN printf('%.3f', p) END
+      AS p_text FROM (SELECT *, {tail_sql("statistic", "df1", "df2")} AS p FROM ({_TESTS_SQL}))""",
+                 "labelled", extra={"pairs": _TEST_PAIRS}))
 def table_one_p(spark, sf_dir):
-    """The same tests with their p values (no SQL: incomplete beta and gamma)."""
+    """The same tests with their p values."""
     tests = tables.table_one_tests(shared_study(spark, sf_dir).labelled, "case_or_ctrl")
     return tests.select("variable", "test", r6("statistic"), "df1", "df2", r6("p_val"), "p_text")
 

@@ -22,7 +22,7 @@ from cohort_spark.functions import (
     with_class,
 )
 from cohort_spark.functions.exact import fisher_numpy
-from cohort_spark.functions.tails import beta_lower, gamma_upper
+from cohort_spark.functions.tails import beta_lower, gamma_upper, upper_tail
 from conftest import values
 
 
@@ -217,8 +217,34 @@ def test_negative_cell_is_refused():
         fisher_numpy([80], [3], [-6], [737])
 
 
-def test_tails():
-    assert gamma_upper(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, rel=1e-9)
-    assert gamma_upper(5, 18.307038053275146 / 2) == pytest.approx(0.05, rel=1e-9)
-    # F(4.964602743730711; 1, 10) has upper tail 0.05
-    assert beta_lower(5, 0.5, 10 / (10 + 4.964602743730711)) == pytest.approx(0.05, rel=1e-9)
+def test_tails(frame):
+    """Quantiles of printed tables, closed forms, and tails far out and at large degrees of freedom."""
+    cases = [(3.841458820694124, 1.0, None, 0.05), (18.307038053275146, 10.0, None, 0.05),
+             (4.964602743730711, 1.0, 10.0, 0.05), (1500.0, 2.0, None, math.exp(-750)),
+             (1.5, 2.0, None, math.exp(-0.75)), (0.0, 3.0, None, 1.0), (0.0, 3.0, 5.0, 1.0),
+             # with two numerator degrees of freedom the tail is (1 + 2 f / d)^(-d / 2)
+             (3.0, 2.0, 7.0, (1 + 6 / 7) ** -3.5), (0.2, 2.0, 9.0, (1 + 0.4 / 9) ** -4.5),
+             (0.5, 2.0, 200_000.0, (1 + 1 / 200_000) ** -100_000), (40.0, 2.0, 1000.0, (1.08) ** -500)]
+    df = frame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, x double, a double, b double")
+    got = {r.i: r.p for r in df.select("i", upper_tail("x", "a", "b").alias("p")).collect()}
+    for i, (*_, want) in enumerate(cases):
+        assert got[i] == pytest.approx(want, rel=1e-8)
+    missing = frame([(None, 1.0, 2.0), (1.0, 0.0, None), (1.0, None, 3.0), (1.0, 1.0, 0.0)], "x double, a double, b double")
+    assert values(missing.select(upper_tail("x", "a", "b"))) == [(None,)] * 4
+
+
+def test_tails_beyond_the_mean_sum_to_one(frame):
+    df = frame([(s, x) for s in (0.5, 3.0, 40.0, 900.0) for x in (0.3 * s, 0.99 * s, s + 1.01, 1.4 * s + 2)],
+               "s double, x double")
+    rows = df.select("s", "x", gamma_upper(F.col("s"), F.col("x")).alias("q"),
+                     beta_lower(F.col("s"), F.lit(6.0), F.col("s") / (F.col("s") + F.col("x"))).alias("low"),
+                     beta_lower(F.lit(6.0), F.col("s"), F.col("x") / (F.col("s") + F.col("x"))).alias("high")).collect()
+    for r in rows:
+        assert 0 <= r.q <= 1 and r.low + r.high == pytest.approx(1, abs=1e-10)
+        # integral of the density, by Simpson's rule
+        n, top = 20_000, r.x + 40 * math.sqrt(r.s) + 60
+        t = np.linspace(r.x, top, n + 1)
+        w = np.where(np.arange(n + 1) % 2, 4, 2)
+        w[[0, -1]] = 1
+        f = np.exp((r.s - 1) * np.log(t) - t - math.lgamma(r.s))
+        assert r.q == pytest.approx((w * f).sum() * (top - r.x) / n / 3, rel=1e-5)
