@@ -36,3 +36,22 @@ def with_class(df: DataFrame, text: str, rules: Sequence[tuple[str, str]], name:
     if not keep_default:
         labels = F.array_remove(labels, default)
     return df.withColumn(name, F.explode(labels))
+
+
+def with_dictionary_class(df: DataFrame, text: str, rules: Sequence[tuple[str, str]], name: str,
+                          default: str = "nomatch", keep_default: bool = True) -> DataFrame:
+    """The same label, found once for each distinct text and joined back.
+
+    Names repeat over very many rows, so the rules run over a dictionary of
+    them, which partial aggregation keeps small on the way.  Without the
+    default the dictionary holds the named texts only, and the join is the
+    filter.  Semi joins on other columns still move below it, to the rows.
+    """
+    names = df.groupBy(F.col(f"`{text}`").alias("__text")).agg(F.count("*").alias("__rows"))
+    # a label that hangs on the count cannot move below it, to every row
+    label = F.when(F.col("__rows") > 0, classify(F.col("__text"), rules, default))
+    labelled = names.select("__text", label.alias(name))
+    if not keep_default:
+        labelled = labelled.where(F.col(name) != default)
+    joined = df.join(labelled, F.col(f"`{text}`").eqNullSafe(F.col("__text")))
+    return joined.drop("__text")

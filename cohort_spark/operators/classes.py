@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark import fixed_values as fixed
-from cohort_spark.functions.classify import with_class
+from cohort_spark.functions.classify import with_dictionary_class
 from cohort_spark.operators.aggregates import count_by, first_per_key
 
 Rules = Sequence[tuple[str, str]]
@@ -18,7 +18,7 @@ def manifestation_rows(terms: DataFrame, rules: Rules = fixed.MANIFESTATION_RULE
                        name: str = "manifestation") -> DataFrame:
     """Distinct person and diagnosis rows that fall into a class."""
     rows = terms.select("person_id", "case_or_control", "snomed_name", "snomed_code").distinct()
-    return with_class(rows, "snomed_name", rules, name, keep_default=False)
+    return with_dictionary_class(rows, "snomed_name", rules, name, keep_default=False)
 
 
 def class_dictionary(rows: DataFrame, name: str = "manifestation") -> DataFrame:
@@ -36,5 +36,5 @@ def medication_rows(meds: DataFrame, order_by: Sequence[str],
 
     ``members`` keeps the persons it lists.
     """
-    classed = with_class(meds, "standard_concept_name", rules, name, keep_default=False)
+    classed = with_dictionary_class(meds, "standard_concept_name", rules, name, keep_default=False)
     return first_per_key(classed, ["person_id", name], order_by, members)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark import fixed_values as fixed
 from cohort_spark.fixed_values import LabRule
-from cohort_spark.functions.classify import with_class
+from cohort_spark.functions.classify import with_dictionary_class
 from cohort_spark.functions.dates import round_half_even
 from cohort_spark.functions.nulls import is_in, missing_to, not_in
 from cohort_spark.operators.joins import natural_join
@@ -22,7 +22,7 @@ def name_labs(labs: DataFrame, rules: Sequence[tuple[str, str]] = fixed.LAB_NAME
     """Named labs with sentinel and missing values removed."""
     value = F.col("value_as_number")
     kept = labs.filter(not_in(value, fixed.LAB_SENTINELS) & value.isNotNull())
-    return (with_class(kept, "standard_concept_name", rules, "lab_name")
+    return (with_dictionary_class(kept, "standard_concept_name", rules, "lab_name")
             .select("person_id", "lab_name", value.alias("lab_val"), "standard_concept_name",
                     F.col("unit_concept_name").alias("units"), "measurement_datetime"))
 

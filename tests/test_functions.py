@@ -20,6 +20,7 @@ from cohort_spark.functions import (
     split_fields,
     to_number,
     with_class,
+    with_dictionary_class,
 )
 from cohort_spark.functions.exact import fisher_numpy
 from cohort_spark.functions.tails import beta_lower, gamma_upper, upper_tail
@@ -110,6 +111,11 @@ def test_first_rule_wins(frame):
                 ("old leuko", "late"), (None, "nomatch")]
     assert values(df.select("t", classify(F.col("t"), rules).alias("l"))) == expected
     assert values(with_class(df, "t", rules, "l")) == expected
+    assert values(with_dictionary_class(df, "t", rules, "l")) == expected
+    named = [row for row in expected if row[1] != "nomatch"]
+    assert values(with_class(df, "t", rules, "l", keep_default=False)) == named
+    twice = with_dictionary_class(df.union(df), "t", rules, "l", keep_default=False)
+    assert values(twice) == sorted(named + named)
 
 
 # --- exact tests ---------------------------------------------------------------
