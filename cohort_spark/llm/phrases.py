@@ -18,6 +18,10 @@ Words and pairs go first; their exact counts then prune the triples and fours in
 every shard.  Candidates reach the second reading as a filter of hash bits of
 bounded size, which lets a few others through; these are counted exactly, too,
 and fall at the support.  Counts there are by the words themselves, not by hash.
+
+The support is a fixed number, so beyond ``SUPPORT`` shards of a language the
+lowered support is a single occurrence: a shard then reports whatever it holds
+and only the union prunes.  That is the method's limit, not a switch.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ from cohort_spark.sources.stages import stage
 
 #: Occurrences a candidate has; words of the longest; percent at which a longer one absorbs it; phrases listed a language.
 SUPPORT, LONGEST, ABSORB, LISTED = 30, 4, 80, 2000
-#: Rows of a batch that a task sends.
-SENT = 1 << 16
+#: Rows of a batch that a task sends; candidates of a length that it counts before it sends them.
+SENT, TALLIED = 1 << 16, 300_000
 #: Words of a shard; bytes worked at a time; bits of the candidates' filter (16 MB) and bits for each of them.
-SHARD_WORDS, RUN_BYTES, MOST_BITS, BITS_EACH = 1_000_000, 1 << 20, 1 << 27, 16
+SHARD_WORDS, RUN_BYTES, MOST_BITS, BITS_EACH = 500_000, 1 << 20, 1 << 27, 16
 
 _U = np.uint64
 _BASE, _MIX = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -56,6 +60,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _GAP, _CUT, _NUMBER = _tables()
+_LOWER = np.array([bytes([b]).lower()[0] for b in range(256)], dtype=np.uint8)
 
 
 class _Words:
@@ -82,6 +87,20 @@ class _Words:
         self.doc = np.searchsorted(bounds[1:], begins, side="right")
         self.piece = np.searchsorted(np.flatnonzero(_CUT[self.data]), begins) + self.doc
 
+    def joined(self, words: np.ndarray) -> pa.Array:
+        """Rows of word numbers as texts with a blank between words, A-Z lowered."""
+        flat = words.ravel()
+        sizes = self.ends[flat] - self.begins[flat]
+        # each word is followed by a blank, which the text after a row's last word leaves out
+        place = np.cumsum(sizes + 1) - sizes - 1
+        out = np.full(int(sizes.sum()) + len(flat), 32, dtype=np.uint8)
+        shift = np.repeat(np.arange(len(flat)), sizes)
+        at = np.arange(len(shift)) + shift
+        out[at] = _LOWER[self.data[at + np.repeat(self.begins[flat] - place, sizes)]]
+        bounds = np.concatenate([place[::words.shape[1]], [len(out)]]).astype(np.int64)
+        whole = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(out))
+        return pc.utf8_slice_codeunits(whole, 0, -1).cast(pa.string())
+
     def hashes(self) -> np.ndarray:
         """A polynomial of each word's bytes modulo 2^64, finally mixed."""
         out = np.zeros(len(self.begins), dtype=np.uint64)
@@ -154,10 +173,17 @@ class _Shard:
         stands[at] = often[inverse]
         return keys[often], n[often], self.code[at[first]][often], stands
 
-    def phrase(self, place: int, k: int) -> str:
-        part = int(np.searchsorted(self.starts, place, side="right")) - 1
-        words, at = self.parts[part], place - self.starts[part]
-        return b" ".join(words.data[words.begins[i]:words.ends[i]].tobytes().lower() for i in range(at, at + k)).decode("utf-8", "replace")
+    def phrases(self, places: np.ndarray, k: int) -> pa.Array:
+        """The words at some places, single blanks between them, A-Z lowered."""
+        order = np.argsort(places, kind="stable")
+        cuts = np.searchsorted(places[order], self.starts)
+        found = [pa.array([], pa.string())]
+        for part, start, begin, end in zip(self.parts, self.starts, cuts, cuts[1:]):
+            if begin < end:
+                found.append(part.joined((places[order[begin:end]] - start)[:, None] + np.arange(k)))
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(found).take(pa.array(back))
 
 
 def local_support(held: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -254,20 +280,53 @@ def _mined(keys, code, n, k) -> Iterator[pa.RecordBatch]:
              pa.array(keys[part], pa.int64()), pa.array(n[part].astype(np.int64))], names=["k", "code", "key", "n"])
 
 
+class _Tally:
+    """Counts of candidates over the shards of a task, each with its words once."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.counts, self.codes = (np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int32))
+        self.texts = pa.array([], pa.string())
+
+    def add(self, shard: _Shard, keys: np.ndarray, n: np.ndarray, places: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        self.counts[at[known]] += n[known]
+        new = ~known
+        if new.any():
+            keys_ = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(keys_, kind="stable")
+            self.keys, self.counts = keys_[order], np.concatenate([self.counts, n[new]])[order]
+            self.codes = np.concatenate([self.codes, shard.code[places[new]]])[order].astype(np.int32)
+            self.texts = pa.concat_arrays([self.texts, shard.phrases(places[new], self.k)]).take(pa.array(order))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.keys), SENT):
+            part = slice(at, at + SENT)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(self.keys[part]), self.k, np.int32)), pa.array(self.codes[part]), self.texts[part],
+                 pa.array(self.keys[part].view(np.int64)), pa.array(self.counts[part])], names=["k", "code", "phrase", "key", "n"])
+        self.clear()
+
+
 def _count(langs, most: int, lengths: tuple[int, ...], sent):
-    """Occurrences of the candidates in each shard, by their words."""
+    """Occurrences of the candidates in each task, by their words."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = _Filter(sent.value)
+        tallies = {k: _Tally(k) for k in lengths}
         for shard in _shards(batches, langs, most):
-            for k in lengths:
+            for k, tally in tallies.items():
                 at = np.flatnonzero(shard.whole(k))
                 at = at[wanted.holds(shard.grams(k)[at])]
                 keys, first, n = np.unique(shard.grams(k)[at], return_index=True, return_counts=True)
-                places = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), k, np.int32)), pa.array(shard.code[places].astype(np.int32)),
-                     pa.array([shard.phrase(int(p), k) for p in places], pa.string()), pa.array(keys.view(np.int64)),
-                     pa.array(n.astype(np.int64))], names=["k", "code", "phrase", "key", "n"])
+                tally.add(shard, keys, n, at[first])
+                if len(tally.keys) > TALLIED:
+                    yield from tally.rows()
+        for tally in tallies.values():
+            yield from tally.rows()
     return task
 
 
