@@ -100,6 +100,10 @@ MEDICATION_RULES = (
     ("tofacitinib", "tsDMARD"),
 )
 
+# --- fixed values: covariates of the two regressions -----------------------
+DEMOGRAPHIC_COVARIATES = ("age_at_biosample", "sex_at_birth", "race", "ethnicity")
+GENOMIC_COVARIATES = ("age_at_biosample", "dragen_sex_ploidy", "ancestry_pred")
+
 # --- fixed values: report lengths and plot limits --------------------------
 TOP_SNOMED, TOP_ICD, TOP_MANIFESTATIONS = 30, 20, 10
 FOREST_MAX_HIGH_DIAGNOSES, FOREST_MAX_HIGH_MEDICATIONS = 50.0, 10.0

@@ -48,16 +48,30 @@ def categorical_table(df: DataFrame, names: Sequence[str], strata: str | None =
     return counts.withColumn("pct", 100 * F.col("n") / whole)
 
 
+def sizes_table(df: DataFrame, strata: str | None = None) -> DataFrame:
+    """Persons of each stratum, whatever they miss, as the row named ``n``."""
+    stratum = _strata(df, strata).alias("stratum")
+    return (df.select(stratum).where(F.col("stratum").isNotNull()).groupBy("stratum")
+            .agg(F.count("*").alias("n")).withColumn("variable", F.lit("n")))
+
+
 def table_one(df: DataFrame, continuous: Sequence[str] = CONTINUOUS,
-              categorical: Sequence[str] = CATEGORICAL, strata: str | None = None) -> DataFrame:
-    """Both kinds of rows in one table; mean and sd, or level and percentage."""
+              categorical: Sequence[str] = CATEGORICAL, strata: str | None = None,
+              with_n: bool = False) -> DataFrame:
+    """Both kinds of rows in one table; mean and sd, or level and percentage.
+
+    ``with_n`` adds the row ``n`` of each stratum, which has neither.
+    """
     numbers = continuous_table(df, continuous, strata).select(
         "stratum", "variable", F.lit(None).cast("string").alias("level"), "n",
         "mean", "sd", F.lit(None).cast("double").alias("pct"))
     shares = categorical_table(df, categorical, strata).select(
         "stratum", "variable", "level", "n", F.lit(None).cast("double").alias("mean"),
         F.lit(None).cast("double").alias("sd"), "pct")
-    return numbers.unionByName(shares)
+    both = numbers.unionByName(shares)
+    if not with_n:
+        return both
+    return both.unionByName(sizes_table(df, strata), allowMissingColumns=True)
 
 
 def anova(df: DataFrame, names: Sequence[str], strata: str) -> DataFrame:
@@ -121,11 +135,13 @@ def table_one_tests(df: DataFrame, strata: str, continuous: Sequence[str] = CONT
 
 
 def table_one_text(table: DataFrame) -> DataFrame:
-    """Add the printed form: ``mean (sd)`` or ``n (percent)``, ties to the even digit."""
+    """Add the printed form: ``mean (sd)``, ``n (percent)`` or a stratum's ``n``, ties to the even digit."""
     numbers = F.format_string("%.2f (%.2f)", round_half_even(F.col("mean"), 2),
                               round_half_even(F.col("sd"), 2))
     shares = F.format_string("%d (%.1f)", "n", round_half_even(F.col("pct"), 1))
-    return table.withColumn("text", F.when(F.col("level").isNull(), numbers).otherwise(shares))
+    text = (F.when(F.col("level").isNotNull(), shares).when(F.col("mean").isNull() & (F.col("variable") == "n"),
+                                                             F.col("n").cast("string")).otherwise(numbers))
+    return table.withColumn("text", text)
 
 
 def p_text(p_val: Column) -> Column:

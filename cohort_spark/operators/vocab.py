@@ -121,15 +121,19 @@ def harmonise(terms: DataFrame, gem: DataFrame, mapping: DataFrame,
     return rows.withColumn("icd10_code", code_form(F.col("icd10_code"), normal_form))
 
 
-def to_phecodes(icd10_rows: DataFrame, phecodes: DataFrame, normal_form: bool = True) -> DataFrame:
+def to_phecodes(icd10_rows: DataFrame, phecodes: DataFrame, normal_form: bool = True,
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """Distinct person and phecode; a code may have several phecodes.
 
+    ``keep`` names columns that go with the person, such as the arm of rows
+    that have no person to find it by.
+
     Rows are made distinct before the fan-out, so a code that fills much of
     the table is multiplied per person, not per row.
     """
-    keys = icd10_rows.select("person_id", "icd10_code").distinct()
+    keys = icd10_rows.select("person_id", *keep, "icd10_code").distinct()
     if normal_form:
         phecodes = phecodes.withColumn("icd10cm", code_form(F.col("icd10cm")))
     joined = join_on(keys, phecodes.select("icd10cm", "phecode", "phecode_str").distinct(),
                      {"icd10_code": "icd10cm"}, relationship="many-to-many")
-    return joined.select("person_id", "phecode", "phecode_str").distinct()
+    return joined.select("person_id", *keep, "phecode", "phecode_str").distinct()

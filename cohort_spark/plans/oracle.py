@@ -37,6 +37,11 @@ def _icd9(last: str, dot: str = ".") -> str:
             f"|| CAST({last} AS VARCHAR)")
 
 
+def dotted_phecode() -> str:
+    """The code by which the crosswalk lists a part, in its source spelling."""
+    return _icd10("p_partkey % 2")
+
+
 _CHANGE = ("p_brand || ':{}_' || p_partkey || ':exon' || p_size || ':c.' || p_partkey % 300 "
            "|| 'A>G:p.' || substr(p_type, 1, 1) || p_size || upper(substr(p_name, 1, 1))")
 _LINES = ("lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
@@ -244,13 +249,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 source_concept_name AS icd10_name FROM terms WHERE source_vocabulary = 'ICD10CM'
           UNION ALL SELECT person_id, case_or_control, icd10_code, icd10_name FROM from_icd9
           UNION ALL SELECT person_id, case_or_control, icd_code, icd_name FROM from_snomed)"""),
-    "phecodes": ((), f"""
-        SELECT DISTINCT {_icd10("p_partkey % 2", "")} AS icd10_code, phecode, phecode_str FROM (
+    "phecode_parts": ((), f"""
           SELECT *, CAST({_BRAND} % 5 * 100 + p_size % 10 AS VARCHAR) AS phecode,
             'Phenotype ' || {_BRAND} % 5 || '-' || p_size % 10 AS phecode_str FROM part
           UNION ALL
           SELECT *, CAST({_BRAND} % 5 * 100 + 99 AS VARCHAR),
-            'Phenotype group ' || {_BRAND} % 5 FROM part WHERE p_size % 10 < 4)"""),
+            'Phenotype group ' || {_BRAND} % 5 FROM part WHERE p_size % 10 < 4"""),
+    "phecodes": (("phecode_parts",), f"""
+        SELECT DISTINCT {_icd10("p_partkey % 2", "")} AS icd10_code, phecode, phecode_str
+        FROM phecode_parts"""),
     "manifestations": (("study_dx",), f"""
         SELECT * FROM (SELECT DISTINCT person_id, case_or_control, snomed_name, snomed_code,
           {case_rules("snomed_name", fixed.MANIFESTATION_RULES)} AS manifestation FROM study_dx)

@@ -204,6 +204,17 @@ def table_one_printed(spark, sf_dir):
     return tables.table_one_text(table).select("stratum", "variable", "level", "text")
 
 
+@query(with_ctes(f"""SELECT stratum, variable, level, CASE WHEN variable = 'n' THEN CAST(n AS VARCHAR)
+    WHEN level IS NULL THEN printf('%.2f (%.2f)', round_even(mean, 2), round_even(sd, 2))
+    ELSE printf('%d (%.1f)', n, round_even(pct, 1)) END AS text
+    FROM ({_table_one_sql("labelled", "case_or_ctrl")} UNION ALL
+      SELECT case_or_ctrl, 'n', NULL, count(*), NULL, NULL, NULL FROM labelled GROUP BY 1)""", "labelled"))
+def table_one_with_n(spark, sf_dir):
+    """The printed baseline table with the persons of each stratum."""
+    table = tables.table_one(shared_study(spark, sf_dir).labelled, strata="case_or_ctrl", with_n=True)
+    return tables.table_one_text(table).select("stratum", "variable", "level", "text")
+
+
 _TEST_PAIRS = " UNION ALL ".join(
     f"SELECT case_or_ctrl AS stratum, '{c}' AS variable, {c} AS level FROM labelled "
     f"WHERE {c} IS NOT NULL" for c in tables.CATEGORICAL)

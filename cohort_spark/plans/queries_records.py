@@ -10,7 +10,7 @@ from cohort_spark.operators.classes import class_dictionary as class_dictionary_
 from cohort_spark.operators.joins import semi
 from cohort_spark.operators.scan import forest_table, scan_counts, top_terms
 from cohort_spark.plans import stand_in
-from cohort_spark.plans.oracle import scan_sql, with_ctes
+from cohort_spark.plans.oracle import dotted_phecode, scan_sql, with_ctes
 from cohort_spark.plans.registry import query, r6, rounded_tests, shared_study, shown_tests
 
 
@@ -235,27 +235,70 @@ def vocab_union_literal(spark, sf_dir):
         "icd10_name")
 
 
-@query(scan_sql(f"""SELECT icd10_base, {_BY_FLAG}, any_value(commonest) AS commonest_icd10_name
+_CATEGORY_SQL = f"""SELECT icd10_base, {_BY_FLAG}, any_value(commonest) AS commonest_icd10_name
     FROM (SELECT *, substr(icd10_code, 1, 3) AS icd10_base FROM icd10_rows
       WHERE icd10_name IS NOT NULL)
     JOIN (SELECT substr(icd10_code, 1, 3) AS icd10_base, icd10_name AS commonest,
         row_number() OVER (PARTITION BY substr(icd10_code, 1, 3)
           ORDER BY count(*) DESC, icd10_name) AS rn
       FROM icd10_rows WHERE icd10_name IS NOT NULL GROUP BY 1, 2) USING (icd10_base)
-    WHERE rn = 1 GROUP BY 1""", "icd10_base, commonest_icd10_name", "icd10_rows"))
+    WHERE rn = 1 GROUP BY 1"""
+
+
+@query(scan_sql(_CATEGORY_SQL, "icd10_base, commonest_icd10_name", "icd10_rows"))
 def category_commonest(spark, sf_dir):
     """Scan of three-character categories, each with its commonest name."""
     return rounded_tests(shared_study(spark, sf_dir).category_scan())
 
 
-@query(scan_sql(f"""SELECT phecode_str, {_BY_ARM}
-    FROM icd10_rows JOIN phecodes USING (icd10_code) JOIN arms USING (person_id) GROUP BY 1""",
-                "phecode_str", "icd10_rows", "phecodes"))
+_PHECODE_SQL = f"""SELECT phecode_str, {_BY_ARM}
+    FROM icd10_rows JOIN phecodes USING (icd10_code) JOIN arms USING (person_id) GROUP BY 1"""
+
+
+@query(scan_sql(_PHECODE_SQL, "phecode_str", "icd10_rows", "phecodes"))
 def phecode_scan(spark, sf_dir):
     """Many-to-many crosswalk, distinct persons per phenotype."""
     return rounded_tests(shared_study(spark, sf_dir).phecode_scan())
 
 
+@query(with_ctes("""SELECT phecode_str, count(*) FILTER (case_or_control = 'case') AS case_w,
+    count(*) FILTER (case_or_control <> 'case') AS control_w
+    FROM (SELECT DISTINCT CASE WHEN source = 3 THEN NULL ELSE person_id END AS person_id, phecode, phecode_str,
+        CASE WHEN source = 3 THEN 'control' ELSE case_or_control END AS case_or_control
+      FROM (SELECT 1 AS source, person_id, case_or_control, source_concept_code AS code FROM terms
+          WHERE source_vocabulary = 'ICD10CM'
+        UNION ALL SELECT 2, person_id, case_or_control, icd10_code FROM from_icd9
+        UNION ALL SELECT 3, person_id, case_or_control, icd_code FROM from_snomed
+          WHERE snomed_name = map_name)
+      JOIN (SELECT DISTINCT """ + dotted_phecode() + """ AS code, phecode, phecode_str FROM phecode_parts)
+        USING (code)) GROUP BY 1""", "terms", "from_icd9", "from_snomed", "phecode_parts"))
+def phecode_scan_literal(spark, sf_dir):
+    """Source spellings; mapped SNOMED rows have no person and count as controls."""
+    study = stand_in.study(spark, sf_dir, literal=True)
+    return scan_counts(study.phecode_rows(), study.arms, "phecode_str", unit_cols=["phecode"],
+                       flag="case_or_control").drop("case_wo", "control_wo")
+
+
+# --- ranked heads ----------------------------------------------------------------
+@query(scan_sql(f"""SELECT icd10_name, icd10_code, {_BY_FLAG} FROM icd10_rows GROUP BY 1, 2""",
+                "icd10_name, icd10_code", "icd10_rows", top="icd10_name, icd10_code",
+                limit=fixed.TOP_ICD))
+def icd10_top(spark, sf_dir):
+    return shown_tests(shared_study(spark, sf_dir).top("icd10"))
+
+
+@query(scan_sql(_CATEGORY_SQL, "icd10_base, commonest_icd10_name", "icd10_rows", top="icd10_base",
+                limit=fixed.TOP_ICD))
+def category_top(spark, sf_dir):
+    return shown_tests(shared_study(spark, sf_dir).top("category"))
+
+
+@query(scan_sql(_PHECODE_SQL, "phecode_str", "icd10_rows", "phecodes", top="phecode_str",
+                limit=fixed.TOP_ICD))
+def phecode_top(spark, sf_dir):
+    return shown_tests(shared_study(spark, sf_dir).top("phecode"))
+
+
 # --- classes ---------------------------------------------------------------------
 @query(with_ctes("""SELECT person_id, case_or_control, snomed_name, snomed_code, manifestation
     FROM manifestations""", "manifestations"))
@@ -295,10 +338,15 @@ def _shown(col: str) -> str:
             f"ELSE printf('%.1f', {rounded}) END")
 
 
-@query(scan_sql(_MANIFESTATION_SQL, "manifestation", "manifestations", wrap=f"""
+def _forest_sql(limit: float) -> str:
+    return f"""
     SELECT *, printf('%.1f', round_even(odds_ratio, 1)) || ', [' || {_shown("or_low")} || ', '
       || {_shown("or_hi")} || '], n = ' || (case_w + control_w) AS label
-    FROM scan WHERE or_hi < {fixed.FOREST_MAX_HIGH_DIAGNOSES}"""))
+    FROM scan WHERE or_hi < {limit}"""
+
+
+@query(scan_sql(_MANIFESTATION_SQL, "manifestation", "manifestations",
+                wrap=_forest_sql(fixed.FOREST_MAX_HIGH_DIAGNOSES)))
 def forest_rows(spark, sf_dir):
     """Rows of the forest plot with their labels."""
     scan = shared_study(spark, sf_dir).manifestation_scan()
@@ -312,17 +360,44 @@ def med_first_per_class(spark, sf_dir):
         "person_id", "standard_concept_name", "drug_exposure_start", "case_or_control", "med_type")
 
 
-@query(scan_sql(f"""SELECT med_type, {_BY_FLAG}, any_value(commonest)
+_MEDICATION_SQL = f"""SELECT med_type, {_BY_FLAG}, any_value(commonest)
       AS commonest_standard_concept_name
     FROM med_rows JOIN (SELECT med_type, standard_concept_name AS commonest,
         row_number() OVER (PARTITION BY med_type
           ORDER BY count(*) DESC, standard_concept_name) AS rn
       FROM med_rows WHERE standard_concept_name IS NOT NULL GROUP BY 1, 2) USING (med_type)
-    WHERE rn = 1 GROUP BY 1""", "med_type, commonest_standard_concept_name", "med_rows"))
+    WHERE rn = 1 GROUP BY 1"""
+_MEDICATION_KEYS = "med_type, commonest_standard_concept_name"
+
+
+@query(scan_sql(_MEDICATION_SQL, _MEDICATION_KEYS, "med_rows"))
 def medication_scan(spark, sf_dir):
     return rounded_tests(shared_study(spark, sf_dir).medication_scan())
 
 
+@query(scan_sql(_MEDICATION_SQL, _MEDICATION_KEYS, "med_rows", wrap=_forest_sql(fixed.FOREST_MAX_HIGH_MEDICATIONS)))
+def medication_forest(spark, sf_dir):
+    """Rows of the medication forest plot, cut at its own limit."""
+    return rounded_tests(shared_study(spark, sf_dir).forest("medication"))
+
+
+@query(with_ctes("""SELECT event_id, user_id AS person_id, event_type, value FROM events
+    WHERE user_id IN (SELECT person_id FROM arms)""", "arms"))
+def study_events(spark, sf_dir):
+    """All rows of study persons in another table."""
+    events = stand_in.table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("person_id"), "event_type", "value")
+    return semi(events, shared_study(spark, sf_dir).arms, "person_id")
+
+
+@query(with_ctes("""SELECT person_id, standard_concept_name, round(value_as_number, 6) AS value_as_number,
+    unit_concept_name FROM labs WHERE person_id IN (SELECT person_id FROM arms)""", "labs", "arms"))
+def study_labs(spark, sf_dir):
+    """Lab rows of the cases and controls as given."""
+    return shared_study(spark, sf_dir).study_labs().select(
+        "person_id", "standard_concept_name", r6("value_as_number"), "unit_concept_name")
+
+
 @query(with_ctes("""SELECT * FROM med_rows WHERE person_id = (SELECT person_id FROM site
     ORDER BY af DESC NULLS LAST, person_id LIMIT 1)""", "med_rows", "site"))
 def person_medications(spark, sf_dir):

@@ -30,6 +30,7 @@ from cohort_spark.plans import stand_in
 from cohort_spark.plans.oracle import case_rules, with_ctes
 from cohort_spark.plans.registry import query, r6
 from cohort_spark.plans.stand_in import table
+from cohort_spark.sources.people import by_person
 
 
 # --- projections and filters ---------------------------------------------------
@@ -356,3 +357,10 @@ def key_sets(spark, sf_dir):
 def one_person(spark, sf_dir):
     """All rows of one person; the id reaches the scan as a pushed filter."""
     return for_person(table(spark, sf_dir, "orders"), 7, "o_custkey")
+
+
+@query("SELECT * FROM orders WHERE o_custkey = 7")
+def one_person_by_folder(spark, sf_dir):
+    """The same from a table kept by person: one folder is read."""
+    kept = by_person(table(spark, sf_dir, "orders"), "orders", "o_custkey", 16, ["o_orderdate"])
+    return kept.of(7)

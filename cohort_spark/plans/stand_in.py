@@ -258,6 +258,6 @@ def sources(spark: SparkSession, sf_dir: str) -> LazySources:
         medications)})
 
 
-def study(spark: SparkSession, sf_dir: str) -> Study:
+def study(spark: SparkSession, sf_dir: str, literal: bool = False) -> Study:
     return Study(sources(spark, sf_dir), GENE, SITE_PATTERN, ratio=RATIO,
-                 medication_order=("drug_exposure_start", "standard_concept_name"))
+                 medication_order=("drug_exposure_start", "standard_concept_name"), literal=literal)

@@ -7,8 +7,8 @@ instead of recomputing the scans above it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import cached_property
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,34 @@ from cohort_spark.operators import (
     vocab,
 )
 from cohort_spark.operators.cohort import build_cohort
-from cohort_spark.operators.scan import association_scan, flag_study, forest_table
+from cohort_spark.operators.joins import semi
+from cohort_spark.operators.models import LogisticFit, case_flag, fit_logistic
+from cohort_spark.operators.scan import association_scan, flag_study, forest_table, top_terms
 from cohort_spark.operators.table_one import table_one, table_one_tests
+from cohort_spark.sources.people import PersonTable, by_person
 from cohort_spark.sources.stages import save_named, stage
 from cohort_spark.sources.study_tables import LazySources, Sources
 from cohort_spark.sources.variants import GENE_COLUMN
 
 
+class Results(Mapping):
+    """Tables by name; each is made when first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 class Study:
     def __init__(self, sources: Sources | LazySources, gene: str, site_pattern: str,
                  ratio: int = fixed.CONTROLS_PER_CASE, seed: int = 1,
@@ -134,11 +155,16 @@ class Study:
         return self.scan(self.category_rows(), "icd10_base", label="icd10_name",
                          flag="case_or_control", **self._unit(), **options)
 
+    def phecode_rows(self) -> DataFrame:
+        """Distinct person and phecode; the literal study carries the arm along,
+        as its mapped SNOMED rows have no person to look it up by."""
+        keep = ("case_or_control",) if self.literal else ()
+        return vocab.to_phecodes(self.icd10_rows, self.sources.phecodes,
+                                 normal_form=not self.literal, keep=keep)
+
     def phecode_scan(self, **options: object) -> DataFrame:
-        rows = vocab.to_phecodes(self.icd10_rows, self.sources.phecodes,
-                                 normal_form=not self.literal)
-        units = {"unit_cols": ["phecode"]} if self.literal else {}
-        return self.scan(rows, "phecode_str", **units, **options)
+        units = {"unit_cols": ["phecode"], "flag": "case_or_control"} if self.literal else {}
+        return self.scan(self.phecode_rows(), "phecode_str", **units, **options)
 
     @cached_property
     def manifestation_rows(self) -> DataFrame:
@@ -159,37 +185,81 @@ class Study:
         return self.scan(self.medication_rows, "med_type", label="standard_concept_name",
                          flag="case_or_control", **options)
 
+    # --- models -------------------------------------------------------------
+    def fit(self, covariates: Sequence[str]) -> LogisticFit:
+        """Logistic regression of being a case over the whole cohort."""
+        return fit_logistic(case_flag(self.cohort, self.cases), "is_case", covariates)
+
+    @cached_property
+    def demographic_fit(self) -> LogisticFit:
+        return self.fit(fixed.DEMOGRAPHIC_COVARIATES)
+
+    @cached_property
+    def genomic_fit(self) -> LogisticFit:
+        return self.fit(fixed.GENOMIC_COVARIATES)
+
+    # --- rows of study persons ----------------------------------------------
+    def study_labs(self) -> DataFrame:
+        """All lab rows of the cases and controls, as they were given."""
+        return semi(self.sources.labs, self.arms, "person_id")
+
+    def case_rows(self, other: DataFrame, person: str = "person_id") -> DataFrame:
+        """Rows of another study's table that belong to the cases."""
+        return semi(other, self.cases, person, "person_id")
+
+    @cached_property
+    def people(self) -> dict[str, PersonTable]:
+        """Diagnoses, labs and medications kept by person, for drill-downs."""
+        return {name: by_person(rows, name, spread=[when]) for name, rows, when in (
+            ("diagnoses", self.diagnoses, "condition_start_datetime"),
+            ("labs", self.lab_values, "measurement_datetime"),
+            ("medications", self.medication_rows, "standard_concept_name"))}
+
     # --- results ------------------------------------------------------------
-    def results(self) -> dict[str, DataFrame]:
-        """Every table of the study by name, none of them computed yet."""
-        scans = {
-            "snomed_scan": self.snomed_scan(), "icd10_scan": self.icd10_scan(),
-            "category_scan": self.category_scan(), "phecode_scan": self.phecode_scan(),
-            "manifestation_scan": self.manifestation_scan(),
-            "medication_scan": self.medication_scan(),
-        }
-        forests = {
-            "manifestation_forest": forest_table(scans["manifestation_scan"],
-                                                 fixed.FOREST_MAX_HIGH_DIAGNOSES),
-            "medication_forest": forest_table(scans["medication_scan"],
-                                              fixed.FOREST_MAX_HIGH_MEDICATIONS),
-        }
-        return {
-            "passing_calls": self.passing, "calls_at_site": self.cases,
-            "variant_counts": call_ops.variant_counts(self.cases),
-            "controls": matching.controls_frame(self.cohort, self.controls),
-            "match_deficit": matching.match_deficit(self.cases, self.cohort, self.passing,
-                                                    self.strata, self.ratio),
-            "arms": self.labelled, "age_range": arm_ops.age_range(self.labelled),
-            "table_one": table_one(self.cohort),
-            "table_one_arms": table_one(self.labelled, strata="case_or_ctrl"),
-            "table_one_tests": table_one_tests(self.labelled, "case_or_ctrl"),
-            "lab_summary": self.lab_summary(), "history_summary": self.history_summary(),
-            "history_by_arm": self.history_by_arm(), "study_diagnoses": self.diagnoses,
-            "vocab_audit": vocab.vocab_audit(self.terms),
-            "class_dictionary": classes.class_dictionary(self.manifestation_rows),
-            **scans, **forests,
-        }
+    def top(self, scan: str) -> DataFrame:
+        """The head of a scan, by p."""
+        terms, k = {
+            "snomed": ("standard_concept_name", fixed.TOP_SNOMED),
+            "icd10": (["icd10_name", "icd10_code"], fixed.TOP_ICD),
+            "category": ("icd10_base", fixed.TOP_ICD), "phecode": ("phecode_str", fixed.TOP_ICD),
+            "manifestation": ("manifestation", fixed.TOP_MANIFESTATIONS)}[scan]
+        return top_terms(getattr(self, f"{scan}_scan")(), k, terms)
+
+    def forest(self, scan: str) -> DataFrame:
+        limit = (fixed.FOREST_MAX_HIGH_MEDICATIONS if scan == "medication"
+                 else fixed.FOREST_MAX_HIGH_DIAGNOSES)
+        return forest_table(getattr(self, f"{scan}_scan")(), limit)
+
+    def results(self) -> Results:
+        """Every table of the study by name, each made when it is asked for."""
+        scans = {f"{name}_scan": getattr(self, f"{name}_scan") for name in (
+            "snomed", "icd10", "category", "phecode", "manifestation", "medication")}
+        heads = {f"{name}_top": partial(self.top, name) for name in (
+            "snomed", "icd10", "category", "phecode", "manifestation")}
+        forests = {f"{name}_forest": partial(self.forest, name)
+                   for name in ("manifestation", "medication")}
+        return Results({
+            "passing_calls": lambda: self.passing, "calls_at_site": lambda: self.cases,
+            "variant_counts": lambda: call_ops.variant_counts(self.cases),
+            "high_fraction_calls": lambda: call_ops.high_af(self.cases),
+            "controls": lambda: matching.controls_frame(self.cohort, self.controls),
+            "match_deficit": lambda: matching.match_deficit(
+                self.cases, self.cohort, self.passing, self.strata, self.ratio),
+            "arms": lambda: self.labelled, "age_range": lambda: arm_ops.age_range(self.labelled),
+            "demographic_model": lambda: self.demographic_fit.coefficients,
+            "demographic_model_statistics": lambda: self.demographic_fit.statistics,
+            "genomic_model": lambda: self.genomic_fit.coefficients,
+            "genomic_model_statistics": lambda: self.genomic_fit.statistics,
+            "table_one": lambda: table_one(self.cohort, with_n=True),
+            "table_one_arms": lambda: table_one(self.labelled, strata="case_or_ctrl", with_n=True),
+            "table_one_tests": lambda: table_one_tests(self.labelled, "case_or_ctrl"),
+            "study_labs": self.study_labs, "lab_summary": self.lab_summary,
+            "history_summary": self.history_summary, "history_by_arm": self.history_by_arm,
+            "study_diagnoses": lambda: self.diagnoses,
+            "vocab_audit": lambda: vocab.vocab_audit(self.terms),
+            "class_dictionary": lambda: classes.class_dictionary(self.manifestation_rows),
+            **scans, **heads, **forests,
+        })
 
     def save(self, roots: Sequence[str], names: Sequence[str] | None = None,
              fmt: str = "csv") -> dict[str, list[str]]:

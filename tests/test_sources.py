@@ -1,3 +1,4 @@
+import re
 import uuid
 
 import pytest
@@ -174,3 +175,17 @@ def test_odd_files_are_listed_and_an_unrecorded_batch_leaves_nothing_twice(spark
         p.unlink(missing_ok=True)
     assert run() == want
     assert len(read_quarantine(spark, f"{place}/out-quarantine").collect()) == 1
+
+
+def test_a_person_comes_from_one_folder(spark, frame):
+    from cohort_spark.sources.people import by_person
+    rows = [(i % 50 if i % 7 else None, f"t{i % 5}", float(i)) for i in range(2000)] + [(3, "hot", float(i)) for i in range(1500)]
+    df = frame(rows, "person_id long, term string, value double")
+    kept = by_person(df, "rows", buckets=8, spread=["value"])
+    assert values(kept.rows()) == values(df)
+    for person in (3, 11, None, 999):
+        assert values(kept.of(person)) == values(df.where(df.person_id.eqNullSafe(person)))
+    plan = kept.of(11)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[.*person_bucket#\d+ = \d", plan)
+    with pytest.raises(ValueError, match="of its own"):
+        by_person(df.withColumnRenamed("value", "person_bucket"), "rows")

@@ -3,6 +3,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohort_spark.plans import stand_in
 from cohort_spark.plans.study import Study
@@ -52,3 +53,22 @@ def test_unknown_source_is_refused(spark):
         read_sources(spark, {"surveys": "x"})
     with pytest.raises(AttributeError):
         read_sources(spark, {"labs": "x"}).calls
+
+
+def test_every_result_has_a_table_and_is_made_on_demand(spark):
+    study = stand_in.study(spark, "/root/testdata/sf0.001")
+    results = study.results()
+    assert {"demographic_model", "genomic_model", "study_labs", "snomed_top", "icd10_top", "category_top",
+            "phecode_top", "manifestation_top", "medication_forest", "table_one_arms"} <= set(results)
+    assert "arms" not in vars(study) and len(results) == len(list(results))
+    assert results["arms"] is results["arms"]
+    kept = study.people["labs"]
+    person = kept.rows().where("person_id is not null").first().person_id
+    assert kept.of(person).count() == study.lab_values.where(F.col("person_id") == person).count() > 0
+
+
+def test_literal_study_keeps_rows_without_a_person(spark):
+    study = stand_in.study(spark, "/root/testdata/sf0.001", literal=True)
+    rows = study.phecode_rows()
+    assert rows.where("person_id is null").count() > 0
+    assert rows.where("person_id is null and case_or_control <> 'control'").count() == 0
