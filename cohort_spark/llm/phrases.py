@@ -377,7 +377,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang",
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     sizes = stage(docs.mapInArrow(_sizes(shard_words), "lang string, words long"), "sizes")
     totals = sizes.groupBy("lang").agg(F.sum("words").alias("n"))
-    share = F.greatest(F.lit(1), F.ceil(F.lit(SUPPORT) * F.col("words").cast("decimal(20,0)") / F.col("n"))) - 1
+    share = F.greatest(F.lit(1), F.ceil(F.lit(SUPPORT) * F.col("words").cast("decimal(20,0)") / F.greatest("n", F.lit(1)))) - 1
     # one row a language comes to the driver, as the codes that tasks use
     rows = (sizes.join(totals, "lang").groupBy("lang").agg(F.first("n").alias("n"), F.sum(share).cast("long").alias("slack"))
             .orderBy("lang").collect())
