@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.components import components
 from cohort_spark.llm.tables import spare
+from cohort_spark.llm.worker import held
 from cohort_spark.sources.stages import stage
 
 #: Words of an n-gram; the similarity as a percentage.
@@ -51,8 +52,8 @@ WORDS, PERCENT = 3, 90
 MOST_SHARED, VERIFY = 6, 40
 #: A token is frequent if one in SHARES documents holds it; documents of one count.
 SHARES, CHUNK_DOCS, CHUNK_LEAST = 2048, 2000, 4
-#: Words whose hash a worker keeps; bits of the filter for candidates' texts (8 MB).
-CACHED, MOST_BITS = 400_000, 1 << 26
+#: Words whose hash a worker keeps, longest word kept; bits of the filter for candidates' texts (8 MB).
+CACHED, LONGEST, MOST_BITS = 200_000, 48, 1 << 26
 #: Longs of a parity sketch, 64 bits each.
 SKETCH = 4
 
@@ -61,19 +62,18 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
 
-_WORD_HASHES = _Hashes()
-
-
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of k words; a shorter text is one run."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.int64)
-    hashed = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    hashed = np.fromiter(map(held("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - k + 1)
     out = np.full(n, min(k, len(words)), dtype=np.uint64)
     for j in range(min(k, len(words))):
@@ -91,23 +91,23 @@ def least_overlap(n: int, percent: int) -> int:
 
 def _frequent(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
             often = n >= CHUNK_LEAST
             return pa.RecordBatch.from_pydict({"token": pa.array(tokens[often], pa.int64()),
                                                "n": pa.array(n[often], pa.int64())})
 
-        held: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, k))
-                size += len(held[-1])
-                if len(held) >= CHUNK_DOCS or size > 2_000_000:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
-            yield counted(held)
+                sets.append(shingles(text, k))
+                size += len(sets[-1])
+                if len(sets) >= CHUNK_DOCS or size > 2_000_000:
+                    yield counted(sets)
+                    sets, size = [], 0
+        if sets:
+            yield counted(sets)
     return task
 
 
@@ -317,24 +317,24 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     # a link overlaps in o = size - first tokens at least, so no more can be asked for
     costs = F.array(*[F.when(F.col("n") - first >= l, F.col(f"s{l}") * (1 + VERIFY / l)) for l in range(1, MOST_SHARED + 1)])
     band = F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))) if percent < 100 else F.col("n")
-    held = stage(shared.select("token", "vid", "level", *postings, F.count("*").over(own).alias("met"))
+    posts = stage(shared.select("token", "vid", "level", *postings, F.count("*").over(own).alias("met"))
                  .join(vertices.select("vid", "n", "size"), "vid")
                  .select("token", "vid", "level", "n", F.array_position(costs, F.array_min(costs)).cast("int").alias("l"),
-                         "met", (F.col("n") - F.col("size")).alias("rest"), band.alias("band")), "held")
+                         "met", (F.col("n") - F.col("size")).alias("rest"), band.alias("band")), "postings")
 
     # the hub is the vertex that others share most of, as the text that near copies come from
-    hubs = (held.groupBy("token", "band").agg(F.max(F.struct("met", "vid", "n", "l", "level", "rest")).alias("hub"), F.count("*").alias("c"))
+    hubs = (posts.groupBy("token", "band").agg(F.max(F.struct("met", "vid", "n", "l", "level", "rest")).alias("hub"), F.count("*").alias("c"))
             .where("c > 1").select("token", "band", "hub.*"))
-    met = (_side(held, "b", "band").join(_side(hubs, "a", "band"), ["token", "band"])
+    met = (_side(posts, "b", "band").join(_side(hubs, "a", "band"), ["token", "band"])
            .where((F.col("a") != F.col("b")) & _can_link(percent)))
     links = _verified(_sketched(_counted(met, percent), vertices, percent), vertices, docs, percent, k)
     labels = components(links)
 
-    of_vertex = stage(held.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("n", "l", "met", "rest")])
+    of_vertex = stage(posts.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("n", "l", "met", "rest")])
                       .join(vertices.select("vid", *sketch_columns()), "vid")
                       .join(labels.withColumnRenamed("v", "vid"), "vid", "left")
                       .withColumn("label", F.coalesce("label", "vid")), "of_vertex")
-    named = stage(held.select("token", "vid", "level").join(of_vertex.select("vid", "label"), "vid"), "named")
+    named = stage(posts.select("token", "vid", "level").join(of_vertex.select("vid", "label"), "vid"), "named")
     per = named.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = (per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("labels"))
              .where("labels > 1").drop("labels"))

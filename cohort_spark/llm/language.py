@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.lattice import Lattice, Weights
 from cohort_spark.llm.tables import mixed, spare
+from cohort_spark.llm.worker import held
 from cohort_spark.sources.stages import stage
 
 #: Bound of the training sample and the rounds of training.
 SAMPLE_DOCS, ROUNDS = 4000, 2
 #: Words a worker keeps, longest word kept.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 300_000, 48
 _WORDS = re.compile(r"[^\W\d_]+")
-_KEPT: dict[str, dict[str, list[float]]] = {}
 
 
 def letters(text: str) -> list[str]:
@@ -114,6 +114,35 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
     return Languages(vocabulary, names, [models[name] for name in names])
 
 
+class _Scores(dict):
+    """The row of each word in a table of its log likelihoods, a row a word, a column a language."""
+
+    def __init__(self, languages: Languages, most: int):
+        super().__init__()
+        self.lattice = Lattice.of_model(languages.vocabulary)
+        self.weights = [Weights(p) for p in languages.logp]
+        self.table, self.most = np.zeros((most, len(self.weights))), most
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        self.table[row] = self.lattice.score(word, self.weights)
+        self[word] = row
+        return row
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Sums of the words' likelihoods."""
+        total = np.zeros(len(self.weights))
+        for at in range(0, len(words), self.most):
+            part = words[at:at + self.most]
+            if len(self) + len(part) > self.most:  # rows must stand until they are summed
+                self.clear()
+            kept = [w for w in part if len(w) <= LONGEST]
+            if len(kept) < len(part):
+                total += np.sum([self.lattice.score(w, self.weights) for w in part if len(w) > LONGEST], axis=0)
+            total += self.table[[self[w] for w in kept]].sum(axis=0)
+        return total
+
+
 def has_letter(text: str | Column) -> Column:
     whole = F.col(text) if isinstance(text, str) else text
     return F.coalesce(whole.rlike(r"\p{L}"), F.lit(False))
@@ -133,20 +162,7 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
     @F.pandas_udf("lang_pred string, score double")
     def winner(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = known.value
-        lattice = Lattice.of_model(model.vocabulary)
-        weights = [Weights(p) for p in model.logp]
-        if key not in _KEPT:
-            _KEPT.clear()
-        kept = _KEPT.setdefault(key, {})
-
-        def likelihood(word: str) -> list[float]:
-            found = lattice.score(word, weights)
-            if len(word) <= LONGEST:
-                if len(kept) >= CACHED:
-                    kept.clear()
-                kept[word] = found
-            return found
-
+        likelihoods = held(key, lambda: _Scores(model, CACHED))
         for part in parts:
             names, scores = [], []
             for whole in part:
@@ -155,14 +171,10 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
                     names.append("und")
                     scores.append(0.0)
                     continue
-                sums = [0.0] * len(weights)
-                for word in words:
-                    found = kept.get(word) or likelihood(word)
-                    for i, x in enumerate(found):
-                        sums[i] += x
-                best = max(sums)
-                names.append(model.names[sums.index(best)])
-                scores.append(1.0 / float(np.exp(np.array(sums) - best).sum()))
+                sums = likelihoods.of(words)
+                best = sums.max()
+                names.append(model.names[int(sums.argmax())])
+                scores.append(1.0 / float(np.exp(sums - best).sum()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     rest = docs.drop("lang_pred", "score")
