@@ -4,10 +4,10 @@ A piece model whose pieces hold the space mark only at their start never joins
 text across the end of a word, so the tokens of a text are the sum over its
 pre-tokens: a run of blanks and the characters up to the next blank.
 
-Tier one: the token lengths of the most frequent pre-tokens, in one table of a
-fixed number of entries that every task gets.  They come from a pass over all
-texts in which each task keeps a bounded count and sends on its largest
-entries.  Tier two: a pre-token not in the table is encoded once and kept in a
+Tier one: the token lengths of frequent pre-tokens, in one table of a bounded
+number of entries that every task gets.  They are those of a sample of about
+``SAMPLE_DOCS`` documents, drawn by a seed: the table decides speed only, so a
+sample is enough.  Tier two: a pre-token not in the table is encoded once and kept in a
 bounded cache of the Python worker.  The table and the cache decide speed only;
 every count is the library's.
 """
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the broadcast table, entries a task sends on, entries of a worker's cache.
-TABLE, SENT, CACHED = 1 << 17, 1 << 16, 1 << 18
+from cohort_spark.llm.tables import most_frequent
+from cohort_spark.llm.worker import held
+
+#: Entries of the broadcast table, documents of the sample it comes from, entries of a worker's cache.
+TABLE, SAMPLE_DOCS, CACHED = 1 << 16, 8000, 1 << 18
 #: Longer pre-tokens are encoded each time they occur and never kept.
 LONGEST = 48
 _LOADED: dict[str, object] = {}
-_LENGTHS: dict[object, Lengths] = {}
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -75,32 +77,28 @@ class Lengths(dict):
 
 def _worker_lengths(key: tuple[str, str, int], table) -> Lengths:
     """Both tiers of this worker; they outlive a task and go with the next call's table."""
-    if key not in _LENGTHS:
-        _LENGTHS.clear()
-        _LENGTHS[key] = Lengths(key[0], table.value, key[2])
-    return _LENGTHS[key]
+    return held(key, lambda: Lengths(key[0], table.value, key[2]))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
                 seen.update(pre_tokens(text))
-            if len(seen) > 4 * SENT:  # lossy count: memory stays bounded
-                seen = Counter(dict(seen.most_common(2 * SENT)))
-    top = [(k, n) for k, n in seen.most_common(SENT) if n > 1 and len(k) <= LONGEST]
-    yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()),
-                                      "n": pa.array([n for _, n in top], pa.int64())})
+    kept = [(k, n) for k, n in seen.items() if len(k) <= LONGEST]
+    yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in kept], pa.string()),
+                                      "n": pa.array([n for _, n in kept], pa.int64())})
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", entries: int = TABLE) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of all texts, ``entries`` at most."""
-    counted = (docs.select(text).mapInArrow(_frequent, "piece string, n long")
-               .groupBy("piece").agg(F.sum("n").alias("n"))
-               .orderBy(F.desc("n"), "piece").limit(entries))
+    """Token counts of the pre-tokens that occur most often in a sample of the texts, ``entries`` at most."""
+    share = SAMPLE_DOCS / max(1, docs.count())
+    picked = docs.select(text).where(F.rand(7) <= share)
+    counted = (picked.mapInArrow(_counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+               .where("n > 1"))
+    words = [row.piece for row in most_frequent(counted, "n", entries).select("piece").collect()]
     encode = model(path).encode
-    words = [row.piece for row in counted.select("piece").collect()]
     return dict(zip(words, map(len, encode(words, num_threads=1)))) if words else {}
 
 
