@@ -1,17 +1,18 @@
 """Scores of texts under a subword lattice model and a word unigram base.
 
-Lattice: pieces of a public vocabulary weigh all segmentations of a word.  The
-weights start from the vocabulary's own scores, and a round of expectation
-maximisation over the distinct words of all training texts fits them.  The
-lattice of a word also has one edge over the whole word, with the word's share
-of the training tokens; V distinct words in N tokens leave the pieces a weight
-of V / (N + V + 1), so the model gives every text a probability and all texts
-together one:
+Lattice: the scores of a public vocabulary weigh all segmentations of a word,
+and the forward recursion gives the marginal probability of the word.  The
+weights start from those scores, and a round of expectation maximisation over
+the words of all training texts, as often as they occur, fits them.  A text is
+its words and an end, which comes after a word with the training texts' share:
 
-    p(word) = (c + V * lattice(word)) / (N + V + 1),  p(end) = (ends + 1) / (N + V + 1)
+    p(text) = prod (1 - e) lattice(word) * e,  e = (ends + 1) / (N + 2)
+
+No count of a whole word enters it, so a word that training lacks is judged by
+its pieces like any other.
 
 Base: add-one-tenth unigrams over the training tokens, exact.  Counts of the
-most frequent words, of a fixed number of entries, go to every task.  Other
+most frequent words, of a bounded number of entries, go to every task.  Other
 words of a document meet their counts in a join on the word, a few rows a
 document, whose sums return by row.
 """
@@ -22,7 +23,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, log10
+from math import e, log10
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.language import piece_uses
 from cohort_spark.llm.lattice import Lattice, Weights
+from cohort_spark.llm.tables import most_frequent
+from cohort_spark.llm.worker import held
 from cohort_spark.sources.stages import stage
 
 #: Entries of the broadcast table of frequent words; words a worker keeps.
-FREQUENT, CACHED, LONGEST = 1 << 17, 300_000, 48
+FREQUENT, CACHED, LONGEST = 1 << 17, 200_000, 48
 #: Words of a task's counter before its rows are sent on.
 COUNTED = 400_000
-_KEPT: dict[str, dict[bytes, float]] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,9 +78,10 @@ class Model:
         seen = F.lit(count) if isinstance(count, int) else count
         return F.log10((seen + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
-    def word(self, count: Column, lattice: Column) -> Column:
-        """log10 of the model's probability of a word, ``lattice`` being its natural log over pieces."""
-        return F.log10((count + max(self.distinct, 1) * F.exp(lattice)) / (self.tokens + max(self.distinct, 1) + 1))
+    @property
+    def end(self) -> float:
+        """The model's probability that a text ends after a word, or before the first."""
+        return (self.ends + 1) / (self.tokens + 2)
 
 
 def learn(docs: DataFrame, vocabulary: str, text: str = "text", rounds: int = 1) -> Model:
@@ -93,8 +96,7 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", rounds: int = 1)
     lattice = Lattice.of_model(vocabulary, lower=True)
     logp = np.log(lattice.prior)
     for _ in range(rounds if total else 0):
-        once = counts.select(F.lit("").alias("lang"), "word", F.lit(1).cast("long").alias("n"))
-        logp = lattice.fitted(piece_uses(once, vocabulary, {"": logp}, True)[""])
+        logp = lattice.fitted(piece_uses(counts.select(F.lit("").alias("lang"), "word", "n"), vocabulary, {"": logp}, True)[""])
     return Model(vocabulary, counts, logp, ends, total + ends, distinct + (1 if ends else 0))
 
 
@@ -107,30 +109,26 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     columns of the results' names are replaced.
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    frequent = {r.word.encode(): r.n for r in
-                model.counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    n, v = model.tokens, max(model.distinct, 1)
+    frequent = {r.word.encode(): r.n for r in most_frequent(model.counts, "n", FREQUENT).collect()}
+    n = model.tokens
     sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.logp, frequent))
     end_base = log10((model.ends + 0.1) / (n + 0.1 * (model.distinct + 1)))
-    end_model = log10((model.ends + 1) / (n + v + 1))
-    base_total, model_total = log10(n + 0.1 * (model.distinct + 1)), log10(n + v + 1)
+    end_model, go_on = log10(model.end), log10(1 - model.end) if model.end < 1 else 0.0
+    base_total, nat = log10(n + 0.1 * (model.distinct + 1)), log10(e)
     ends_known = 1 if model.ends else 0
     key, rest = uuid.uuid4().hex, docs.drop(*made)
     names = [c for c in rest.columns if c != text]
-    held = rest.select(F.struct(*(names or [F.lit(0).alias("none")])).alias("row"), F.col(text).alias("text"))
+    given = rest.select(F.struct(*(names or [F.lit(0).alias("none")])).alias("row"), F.col(text).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, logp, known = sent.value
-        lattice, weights = Lattice.of_model(vocabulary, lower=True), [Weights(logp)]
-        if key not in _KEPT:
-            _KEPT.clear()
-        kept = _KEPT.setdefault(key, {})
+        lattice, weights, kept = held(key, lambda: (Lattice.of_model(vocabulary, lower=True), [Weights(logp)], {}))
 
         def lookup(word: bytes) -> tuple[int, float, float]:
-            """Its count, or 0 outside the table; then both scores, or the lattice's alone."""
-            x = lattice.score(word.decode("utf-8", "surrogatepass"), weights)[0]
+            """Its count, or 0 outside the table; the base's score of a counted one; the lattice's."""
+            x = lattice.score(word.decode("utf-8", "surrogatepass"), weights)[0] * nat + go_on
             c = known.get(word, 0)
-            found = (c, log10(c + 0.1) - base_total, log10(c + v * exp(x)) - model_total) if c else (0, x, 0.0)
+            found = (c, log10(c + 0.1) - base_total if c else 0.0, x)
             if len(word) <= LONGEST:
                 if len(kept) >= CACHED:
                     kept.clear()
@@ -144,34 +142,33 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 total, plain, hits, rare = end_model, end_base, ends_known, []
                 for word, m in Counter(words).items():
                     c, x, y = kept.get(word) or lookup(word)
+                    total += m * y
                     if c:
                         hits += m
                         plain += m * x
-                        total += m * y
                     else:
-                        rare.append({"word": word.decode("utf-8", "replace"), "n": m, "x": x})
+                        rare.append({"word": word.decode("utf-8", "replace"), "n": m})
                 for k, value in zip(out, (len(words) + 1, hits, plain, total, rare)):
                     out[k].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex for _ in range(len(batch))], pa.string()), batch.column(0),
                  pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
                  pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()),
-                 pa.array(out["rare"], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("x", pa.float64())])))],
+                 pa.array(out["rare"], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
                 names=["uid", "row", "n_tokens", "n_known", "base", "score", "rare"])
 
-    kinds = held.schema["row"].dataType.simpleString()
+    kinds = given.schema["row"].dataType.simpleString()
     # written, so that a row's uid is the same wherever the table is read
-    first = stage(held.mapInArrow(read, f"uid string, row {kinds}, n_tokens long, n_known long, base double, "
-                                        "score double, rare array<struct<word:string,n:bigint,x:double>>"), "first")
-    rare = first.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n", "r.x")
+    first = stage(given.mapInArrow(read, f"uid string, row {kinds}, n_tokens long, n_known long, base double, "
+                                        "score double, rare array<struct<word:string,n:bigint>>"), "first")
+    rare = first.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")
     counts, c = model.counts.select("word", F.col("n").alias("c")), F.coalesce("c", F.lit(0))
     found = (rare.join(counts, "word", "left")
              .groupBy("uid").agg(F.sum(F.col("n") * model.base(c)).alias("more_base"),
-                                 F.sum(F.col("n") * model.word(c, F.col("x"))).alias("more"),
                                  F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known")))
     return first.join(found, "uid", "left").select(
         *[F.col(f"row.`{name}`").alias(name) for name in names], "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        "score")

@@ -291,14 +291,15 @@ def test_op10(spark, docs, pieces):
     base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     model = language_model.learn(table(spark, SF, "documents").where(~F.col("doc_id").isin([i for i in held if held[i]])), pieces)
     lattice, weights = Lattice.of_model(pieces, lower=True), [Weights(model.logp)]
-    word = lambda w: math.log10((counts[w] + v * math.exp(lattice.score(w.decode(), weights)[0])) / (n + v + 1))
+    end = (ends + 1) / (n + 2)
+    word = lambda w: lattice.score(w.decode(), weights)[0] / math.log(10) + math.log10(1 - end)
     for i, t in zip(docs.doc_id, docs.text):
         w, row = words(t), got.loc[i]
         assert row.held_out == held[i] and row.n_tokens == len(w) + 1 and row.train_tokens == n
         assert row.n_known == 1 + sum(counts[x] > 0 for x in w)
         assert row.base_score == pytest.approx(sum(base(counts[x]) for x in w) + base(ends), rel=1e-9)
         if i % 10 == 0:
-            assert row.score == pytest.approx(sum(word(x) for x in w) + math.log10((ends + 1) / (n + v + 1)), rel=1e-9)
+            assert row.score == pytest.approx(sum(word(x) for x in w) + math.log10(end), rel=1e-9)
 
 
 def test_lm_words_beyond_the_table(spark, docs, pieces, monkeypatch):
