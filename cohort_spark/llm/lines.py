@@ -2,9 +2,10 @@
 
 A pass over all texts sets, for each line of a document, bits of its key's
 hash in a filter of once-seen and, where they were set before, in one of
-twice-seen hashes.  Each task keeps the two filters of its own rows and sends
-only the places that it set; places set by two tasks, or twice by one, make up
-the twice-seen filter of the whole table.  A key found in two documents or more
+twice-seen hashes.  Each task sends the places set in the two filters of its
+own rows, a bounded number at a time, and never holds a whole filter; places
+set by two such lots, or twice within one, make up the twice-seen filter of the
+whole table.  A key found in two documents or more
 always passes that filter.
 
 The second pass sends on the lines that pass, as suspected repeats, and only
@@ -34,6 +35,8 @@ from cohort_spark.sources.stages import stage
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Filter bits a line, bits set for a key, bound of the filter, places of one row.
 BITS_A_LINE, HASHES, MOST_BITS, CHUNK = 24, 2, 1 << 29, 1 << 16
+#: Places that a task holds before it sends them (32 MB).
+HELD = 4_000_000
 
 
 def line_keys(text: str | None, least: int = LEAST_CHARS) -> list[bytes | None]:
@@ -57,22 +60,28 @@ def _places(keys: list[bytes], bits: int) -> np.ndarray:
 
 def _set_bits(bits: int, least: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        def sent(places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            at, times = np.unique(np.concatenate(places), return_counts=True)
+            for name, filled in ((1, at[times == 1]), (2, at[times > 1])):
+                chunks, first = np.unique(filled // CHUNK, return_index=True)
+                parts = np.split(filled % CHUNK, first[1:]) if len(chunks) else []
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array(chunks, pa.int64()), "seen": pa.array([name] * len(chunks), pa.int32()),
+                    "places": pa.array([p.astype(np.uint16).tobytes() for p in parts], pa.binary())})
+
+        places, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 keys = [k for k in set(line_keys(text, least)) if k is not None]
                 if keys:
                     # a key sets its places once for each document
-                    at = np.unique(_places(keys, bits).ravel())
-                    twice[at[once[at]]] = True
-                    once[at] = True
-        for name, filled in ((1, once & ~twice), (2, twice)):
-            at = np.flatnonzero(filled)
-            chunks, first = np.unique(at // CHUNK, return_index=True)
-            parts = np.split(at % CHUNK, first[1:]) if len(chunks) else []
-            yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array(chunks, pa.int64()), "seen": pa.array([name] * len(chunks), pa.int32()),
-                "places": pa.array([p.astype(np.uint16).tobytes() for p in parts], pa.binary())})
+                    places.append(np.unique(_places(keys, bits).ravel()))
+                    size += len(places[-1])
+                if size > HELD:
+                    yield from sent(places)
+                    places, size = [], 0
+        if places:
+            yield from sent(places)
     return task
 
 
