@@ -1,12 +1,13 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate: how often the mix takes it.  Among all rates that
-meet each source's constraints (its words, and its documents, so that the mean
-length of a source stays) the balanced ones are nearest to 1 in relative
-entropy.  The convex dual has two multipliers a source, and its solution tilts
-documents exponentially in their size, ``rate = exp(a + b * size / mean)``.
-Newton steps solve it; an iteration is one aggregate over (source, size,
-documents) rows, grouped by source.
+Every document gets a rate: how often the mix takes it, ``MOST_COPIES`` times at
+most.  Among all rates within that bound that meet each source's constraint on
+words, the balanced ones are nearest to 1 in relative entropy.  The convex dual
+has one multiplier a source, and its solution tilts documents exponentially in
+their size up to the bound, ``rate = min(3, exp(b * size / mean))``: a source
+that is to give less gives fewer of its long documents.  Newton steps solve
+it, kept between bounds that each step narrows; an iteration is one aggregate
+over (source, size, documents) rows, grouped by source.
 
 Rates become whole copies in two steps.  Documents of one source and one size
 have one rate, so a source needs copies per size only: whole numbers that carry
@@ -32,8 +33,8 @@ from cohort_spark.sources.stages import stage
 
 #: A document is taken so many times at most.
 MOST_COPIES = 3
-#: Newton steps before an error is raised, and the relative miss that ends them.
-STEPS, MISS = 60, 1e-9
+#: Steps before an error is raised (halving alone ends sooner), and the relative miss that ends them.
+STEPS, MISS = 200, 1e-9
 
 
 def _count_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -83,40 +84,45 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 
 def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, a, b): the dual's solution for every source with words.
+    """(source, mean, b): the dual's solution for every source with words.
 
-    ``sizes`` holds (source, size, n).  A source whose two constraints fall
-    together, since all its documents are of one size, keeps ``b = 0``.
+    ``sizes`` holds (source, size, n).  The words taken grow with ``b``: a step
+    of Newton's that leaves the bracket found so far is replaced by its middle,
+    or by a doubling where one side is still open.  A target of
+    ``MOST_COPIES`` times all words is met once every rate is at the bound, one
+    of none only in the limit, where it counts as met when no word is left.
     """
     spark = sizes.sparkSession
-    goals = {r.source: (r.n_docs, r.source_size / r.n_docs, r.target / r.source_size)
-             for r in targets.collect() if r.source_size > 0}
-    found = {source: (0.0, 0.0) for source in goals}
-    schema = "source string, mean double, a double, b double"
+    goals = {r.source: (r.source_size / r.n_docs, r.target) for r in targets.collect() if r.source_size > 0}
+    found = {source: 0.0 for source in goals}
+    bracket = {source: [-math.inf, math.inf] for source in goals}
+    schema = "source string, mean double, b double"
     for _ in range(STEPS):
-        now = spark.createDataFrame([(s, goals[s][1], *found[s]) for s in goals], schema)
-        x, rate = F.col("size") / F.col("mean"), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean"))
+        now = spark.createDataFrame([(s, goals[s][0], found[s]) for s in goals], schema)
+        x, most = F.col("size") / F.col("mean"), float(MOST_COPIES)
+        # beyond the bound a rate no longer moves
+        tilt = F.exp(F.least(F.col("b") * x, F.lit(math.log(most))))
+        free = F.when(F.col("b") * x < math.log(most), F.col("n") * F.col("size") * x * tilt).otherwise(0.0)
         sums = (sizes.withColumnRenamed("source", "_s").join(now, F.col("_s").eqNullSafe(F.col("source")))
-                .select("source", F.col("n").cast("double").alias("n"), x.alias("x"), rate.alias("r"))
-                .groupBy("source").agg(F.sum(F.expr("n * r")).alias("m0"), F.sum(F.expr("n * r * x")).alias("m1"),
-                                       F.sum(F.expr("n * r * x * x")).alias("m2")).collect())
-        worst = 0.0
+                .groupBy("source").agg(F.sum(F.col("n") * F.col("size") * tilt).alias("words"), F.sum(free).alias("slope"))
+                .collect())
+        met = True
         for row in sums:
-            n, _, ratio = goals[row.source]
-            g0, g1 = row.m0 - n * ratio, row.m1 - n * ratio
-            worst = max(worst, abs(g0), abs(g1) / n if n else 0.0, abs(g0) / n)
-            det = row.m0 * row.m2 - row.m1 * row.m1
-            a, b = found[row.source]
-            if det > 1e-9 * row.m0 * row.m2:
-                da, db = (row.m2 * g0 - row.m1 * g1) / det, (row.m0 * g1 - row.m1 * g0) / det
-            else:
-                da, db = g0 / row.m0, 0.0
-            step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-300))  # damped while far away
-            found[row.source] = (a - step * da, b - step * db)
-        if all(max(abs(r.m0 / goals[r.source][0] - goals[r.source][2]),
-                   abs(r.m1 / goals[r.source][0] - goals[r.source][2])) <= MISS * max(goals[r.source][2], 1e-12)
-               for r in sums):
-            return spark.createDataFrame([(s, goals[s][1], *found[s]) for s in goals], schema)
+            target, b, sides = goals[row.source][1], found[row.source], bracket[row.source]
+            gap = row.words - target
+            if abs(gap) <= MISS * max(target, 1.0):
+                continue
+            met = False
+            sides[gap > 0] = b
+            step = b - gap / row.slope if row.slope > 0 else math.nan
+            if not sides[0] < step < sides[1]:
+                if math.isinf(sides[0]) or math.isinf(sides[1]):
+                    step = 2 * b + (1.0 if gap < 0 else -1.0)
+                else:
+                    step = (sides[0] + sides[1]) / 2
+            found[row.source] = step
+        if met:
+            return now
     raise RuntimeError(f"entropy balancing has not met its constraints after {STEPS} steps")
 
 
@@ -152,9 +158,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), size: str
     solved = balance(sizes, targets)
     rates = (sizes.withColumnRenamed("source", "_s").join(solved, F.col("_s").eqNullSafe(F.col("source")), "left")
              .select(F.col("_s").alias("source"), "size", "n",
-                     F.when(F.col("a").isNull(), F.lit(1.0)).when(F.col("size") == 0, F.lit(1.0))
-                     .otherwise(F.least(F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean")),
-                                        F.lit(float(MOST_COPIES)))).alias("rate")))
+                     F.when(F.col("b").isNull() | (F.col("size") == 0), F.lit(1.0))
+                     .otherwise(F.exp(F.least(F.col("b") * F.col("size") / F.col("mean"), F.lit(math.log(MOST_COPIES)))))
+                     .alias("rate")))
     planned = rates.groupBy("source").applyInPandas(whole_copies, "source string, size long, n long, copies long")
     p = spare(base)
     plan = stage(planned.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source")))

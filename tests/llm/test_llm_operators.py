@@ -180,12 +180,41 @@ def test_fair_shares_stop_at_three_times():
     assert mixing.fair_shares([0, 10], [5, 2]) == [0, 10]
 
 
+def boxed(sizes, target):
+    """The tilt by halving alone."""
+    mean = sum(n * size for size, n in sizes) / sum(n for _, n in sizes)
+    words = lambda b: sum(n * size * min(3.0, math.exp(min(b * size / mean, 2))) for size, n in sizes)
+    low, high = -1e6, 1e6
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if words((low + high) / 2) < target else (low, (low + high) / 2)
+    return mean, low
+
+
 def test_balance_tilts_by_size(spark):
-    """With another mean length asked for, rates differ by size and meet both constraints."""
-    sizes = spark.createDataFrame([("a", 10, 100), ("a", 40, 50), ("a", 100, 10)], "source string, size long, n long")
-    targets = spark.createDataFrame([("a", 4000, 160, 6000.0)], "source string, source_size long, n_docs long, target double")
-    row = mixing.balance(sizes, targets).first()
-    assert row.a == pytest.approx(math.log(1.5)) and row.b == pytest.approx(0, abs=1e-9)
+    """Rates fall or rise with size, stop at the bound, and are those of an independent solver."""
+    cells = {"a": [(10, 100), (40, 50), (100, 10)], "b": [(1, 1000), (5000, 3), (70, 8)], None: [(7, 9)], "c": [(3, 5), (900, 2)]}
+    goals = {"a": 6000.0, "b": 900.0, None: 63.0, "c": 3 * 1815.0}
+    sizes = spark.createDataFrame([(s, x, n) for s, rows in cells.items() for x, n in rows], "source string, size long, n long")
+    targets = spark.createDataFrame([(s, sum(x * n for x, n in rows), sum(n for _, n in rows), goals[s]) for s, rows in cells.items()],
+                                    "source string, source_size long, n_docs long, target double")
+    got = {r.source: r for r in mixing.balance(sizes, targets).collect()}
+    for source, rows in cells.items():
+        rate = lambda x: min(3.0, math.exp(min(got[source].b * x / got[source].mean, 2)))
+        assert sum(n * x * rate(x) for x, n in rows) == pytest.approx(goals[source], rel=1e-8)
+        mean, b = boxed(rows, goals[source])
+        assert got[source].mean == pytest.approx(mean)
+        if source != "c":  # there every rate is at the bound, for any larger tilt as well
+            assert got[source].b == pytest.approx(b, rel=1e-6, abs=1e-9)
+    assert got["b"].b < 0 < got["a"].b and got[None].b == 0
+
+
+def test_mix_takes_fewer_long_documents_of_a_source_that_gives_less(documents):
+    rows = [(i, "w " * (5 if i % 2 else 200), "en", "a" if i < 100 else "b") for i in range(600)]
+    rates = lambda *w: mixing.mix(documents(rows), weights=w).toPandas().groupby(["source", "size"])["copies"].mean()
+    less = rates(1.0, 1.0)
+    assert less["b", 5] > 0.85 and less["b", 200] < 0.65 and less["a", 5] == less["a", 200] == 3
+    more = rates(1.0, 4.0)
+    assert more["a", 200] > 1.15 and more["a", 5] < more["a", 200]
 
 
 def test_op7(spark, docs):
