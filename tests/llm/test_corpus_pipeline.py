@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohort_spark.llm import mixing
@@ -58,6 +59,26 @@ def test_sharding(steps):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark, hard):
+    """Nulls, empty texts, repeated rows, and columns named as those that operators make."""
+    names = ("col", "copies", "target", "source_size", "lang_pred", "score", "_given_0", "label", "vid", "th", "n")
+    docs = hard.withColumns({name: F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name in names})
+    docs = stage(docs.withColumn("size", F.lit("x")), "docs")
+    given = {str(tuple(r)) for r in docs.collect()}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF), name)
+        rows = docs.collect()
+        assert rows and {str(tuple(r)) for r in rows} <= given and docs.columns[-1] == "size"
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert set(docs.columns) | {"shard", "slot"} <= set(last.columns) and last.count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, documents):
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, documents([]), SF)
+        assert docs.collect() == []
+
+
 def test_run_is_the_stages_in_turn(spark, steps):
     got = corpus_pipeline.run(spark, SF).toPandas()
     columns = ["doc_id", "text", "shard"]
