@@ -356,12 +356,12 @@ def test_op9_blocks_and_hidden_roles(spark):
 
 
 def test_op9_recovers_hidden_roles_of_held_out_conversations(spark):
-    got = run(spark, "op9_chat_formatting")
+    got = queries.QUERIES["op9_chat_formatting"](spark, "/root/testdata/sf0.01").toPandas()
     assert dict(zip(got.conv_id, got.held_out)) == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in got.conv_id}
     found = got[(got.part == 0) & got.held_out]
     by_turn = ["assistant" if t % 2 else "user" for t in found.turn]
     right = (found.role == found.given_role).mean()
-    assert len(found) > 10 and right > 0.8 and right > (by_turn == found.given_role).mean()
+    assert len(found) > 100 and right > 0.9 and right > (by_turn == found.given_role).mean() + 0.1
 
 
 def test_viterbi_is_the_best_path(spark):
