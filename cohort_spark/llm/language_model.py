@@ -122,14 +122,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, logp, known = sent.value
-        lattice, weights, kept = held(key, lambda: (Lattice.of_model(vocabulary, lower=True), [Weights(logp)], {}))
+        # frequent words stay, so that making room for others never scores them anew
+        lattice, weights, common, kept = held(key, lambda: (Lattice.of_model(vocabulary, lower=True), [Weights(logp)], {}, {}))
 
         def lookup(word: bytes) -> tuple[int, float, float]:
             """Its count, or 0 outside the table; the base's score of a counted one; the lattice's."""
             x = lattice.score(word.decode("utf-8", "surrogatepass"), weights)[0] * nat + go_on
             c = known.get(word, 0)
             found = (c, log10(c + 0.1) - base_total if c else 0.0, x)
-            if len(word) <= LONGEST:
+            if c:
+                common[word] = found
+            elif len(word) <= LONGEST:
                 if len(kept) >= CACHED:
                     kept.clear()
                 kept[word] = found
@@ -141,7 +144,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 words = words_of(whole)
                 total, plain, hits, rare = end_model, end_base, ends_known, []
                 for word, m in Counter(words).items():
-                    c, x, y = kept.get(word) or lookup(word)
+                    c, x, y = common.get(word) or kept.get(word) or lookup(word)
                     total += m * y
                     if c:
                         hits += m
