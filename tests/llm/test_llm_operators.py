@@ -159,6 +159,24 @@ def test_neighbours_over_many_parts(spark, monkeypatch):
     assert n == 120 * 20 and hits / n >= 0.9
 
 
+def test_neighbours_of_other_lengths_and_without_structure(spark, monkeypatch):
+    """Nothing is missed where directions tell little: lengths that differ, unstructured and sparse vectors."""
+    monkeypatch.setattr(neighbours, "PART", 500)
+    monkeypatch.setattr(neighbours, "LEAST_AGAIN", 1)
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(1500, 48))
+    sparse = np.where(rng.random((1500, 48)) < 0.06, rng.integers(1, 4, (1500, 48)), 0.0)
+    sparse[:, 0] += sparse.sum(axis=1) == 0
+    for vectors in (plain * np.exp(1.5 * rng.normal(size=(1500, 1))), sparse):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = neighbours.neighbours(frame).toPandas()
+        for query, part in got.groupby("query_id"):
+            score = vectors @ vectors[query]
+            score[query] = -np.inf
+            assert np.allclose(part.sort_values("rank").score, np.sort(score)[::-1][:20], rtol=1e-12, atol=1e-12)
+        assert len(got) == 75 * 20
+
+
 def test_op6(spark, docs):
     got = run(spark, "op6_mixing")
     sizes = {i: len(words(t)) for i, t in zip(docs.doc_id, docs.text)}
