@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_spark.operators.sets import bind_rows
@@ -46,6 +46,17 @@ def _call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in.calls(spark, sf_dir).select(*[f"`{c}`" for c in _CALL_COLUMNS])
 
 
+def _write_samples(calls: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Call files that hold whole samples, more of them for more calls."""
+    write_table(calls.repartition("Sample"), path, mode=mode)
+
+
+def _in_two(calls: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
+    """The calls of a test and the others; what makes the calls runs once."""
+    calls = stage(calls, "calls")
+    return calls.filter(first), calls.filter(~first)
+
+
 def _call_output(calls: DataFrame) -> DataFrame:
     return calls.select(F.col("Sample").alias("sample"), F.col("Start").alias("start"),
                         F.col("DP").alias("depth"), F.col("minAD").alias("minor_reads"),
@@ -91,7 +102,7 @@ def positional_scan(spark, sf_dir):
 def variant_files(spark, sf_dir):
     """One scan over many call files with the gene filter."""
     calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-files")
-    write_table(calls.repartition(16, "Sample"), path)
+    _write_samples(calls, path)
     return _call_output(scan_variants(spark, path, calls.schema, stand_in.GENE))
 
 
@@ -99,9 +110,9 @@ def variant_files(spark, sf_dir):
 def variant_files_by_name(spark, sf_dir):
     """Files whose headers differ in order, bound by column name."""
     calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-files-mixed")
-    odd = F.col("Start") % 2 == 1
-    write_table(calls.filter(odd), f"{path}/a")
-    write_table(calls.filter(~odd).select(*[f"`{c}`" for c in reversed(_CALL_COLUMNS)]),
+    odd, even = _in_two(calls, F.col("Start") % 2 == 1)
+    write_table(odd, f"{path}/a")
+    write_table(even.select(*[f"`{c}`" for c in reversed(_CALL_COLUMNS)]),
                 f"{path}/b")
     return _call_output(scan_variants(spark, [f"{path}/a", f"{path}/b"], calls.schema,
                                       stand_in.GENE, by_name=True))
@@ -111,9 +122,9 @@ def variant_files_by_name(spark, sf_dir):
 def variant_batches(spark, sf_dir):
     """Two batches of calls under one schema."""
     calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-batches")
-    early = F.col("DP") < 25
-    write_table(calls.filter(early), f"{path}/first")
-    write_table(calls.filter(~early), f"{path}/second")
+    early, late = _in_two(calls, F.col("DP") < 25)
+    write_table(early, f"{path}/first")
+    write_table(late, f"{path}/second")
     return _call_output(load_calls(spark, [f"{path}/first", f"{path}/second"], calls.schema,
                                    stand_in.GENE))
 
@@ -140,7 +151,7 @@ def stage_roundtrip(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Call files taken up in batches by a stream that ends when all are read."""
     calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-stream")
-    write_table(calls.repartition(8, "Sample"), f"{path}/in")
+    _write_samples(calls, f"{path}/in")
     stream = stream_variants(spark, f"{path}/in", calls.schema, stand_in.GENE, f"{path}/out",
                              f"{path}/progress", max_files=4)
     stream.awaitTermination()
@@ -151,10 +162,9 @@ def stream_ingest(spark, sf_dir):
 def stream_with_odd_files(spark, sf_dir):
     """Files of another header among the others: they are set aside, the stream goes on."""
     calls, path = _call_files(spark, sf_dir), _fresh(spark, "call-stream-odd")
-    other = F.col("Start") % 3 == 0
-    write_table(calls.filter(~other).repartition(4, "Sample"), f"{path}/in")
-    write_table(calls.filter(other).select(*[f"`{c}`" for c in reversed(_CALL_COLUMNS)])
-                .coalesce(2), f"{path}/in", mode="append")
+    other, usual = _in_two(calls, F.col("Start") % 3 == 0)
+    _write_samples(usual, f"{path}/in")
+    _write_samples(other.select(*[f"`{c}`" for c in reversed(_CALL_COLUMNS)]), f"{path}/in", mode="append")
     stream_variants(spark, f"{path}/in", calls.schema, stand_in.GENE, f"{path}/out",
                     f"{path}/progress", max_files=3).awaitTermination()
     return _call_output(read_ingested(spark, f"{path}/out", calls.schema))
@@ -204,9 +214,9 @@ def study_from_files(spark, sf_dir):
 def study_from_mixed_batches(spark, sf_dir):
     """The same with two batches of calls whose columns stand in another order."""
     def write(calls, path):
-        early = F.col("DP") < 25
-        write_table(calls.filter(early), f"{path}/first")
-        write_table(calls.filter(~early).select(*[f"`{c}`" for c in sorted(calls.columns)]),
+        early, late = _in_two(calls, F.col("DP") < 25)
+        write_table(early, f"{path}/first")
+        write_table(late.select(*[f"`{c}`" for c in sorted(calls.columns)]),
                     f"{path}/second")
         return [f"{path}/first", f"{path}/second"]
 

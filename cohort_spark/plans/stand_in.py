@@ -105,11 +105,15 @@ def metrics(spark, sf_dir) -> DataFrame:
 # --- order lines --------------------------------------------------------------
 def person_lines(spark, sf_dir, part_cols: list[str], line_cols: list[str],
                  order_cols: list[str] = ()) -> DataFrame:
+    """Order lines with their order and part.
+
+    Parts come last: lines are shuffled twice, and of an order they carry little.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", *part_cols)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *order_cols)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *line_cols)
-    return (lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
 
 def calls(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cohort_spark.operators import matching
 from cohort_spark.operators.scan import scan_counts
-from cohort_spark.plans import stand_in
+from cohort_spark.plans import queries_io, stand_in
 from cohort_spark.plans.registry import shared_study
 from conftest import values
 
@@ -126,3 +126,33 @@ def test_hot_person_and_hot_term(spark, request):
     assert values(scan_counts(events, arms, "term"), "term", "case_w", "control_w") == want
     request.getfixturevalue("no_broadcast")
     assert values(scan_counts(events, arms, "term"), "term", "case_w", "control_w") == want
+
+
+def test_call_files_grow_in_number(spark, tmp_path):
+    calls = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 97).alias("Sample"), F.col("id").alias("Start"))
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries_io._write_samples(calls, f"{tmp_path}/in")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "in").glob("*.csv"))) > 16
+
+
+def test_calls_of_two_batches_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def depth(n):
+        made.add(1)
+        return n
+
+    early, late = queries_io._in_two(spark.range(50).select(depth(F.col("id").cast("int")).alias("DP")), F.col("DP") < 25)
+    assert (early.count(), late.count(), made.value) == (25, 25, 50)
+
+
+def test_parts_are_joined_to_lines_last(spark):
+    columns = stand_in.person_lines(spark, SF_DIR, ["p_name"], ["l_linenumber"]).columns
+    assert columns.index("o_custkey") < columns.index("p_name")
