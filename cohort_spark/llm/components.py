@@ -17,12 +17,12 @@ from cohort_spark.sources.stages import stage
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of ``edges`` (a, b longs): the smallest vertex reachable.
+    """(v, label) for every vertex of ``edges`` (a, b longs) that has another: the smallest vertex reachable.
 
-    Loops, repeated edges and edges given in both directions are allowed; an
-    edge with a missing end is left out.  No vertex gives no row.
+    Repeated edges and edges given in both directions are allowed; loops and
+    edges with a missing end are left out.  No vertex gives no row.
     """
-    edges = edges.where("a is not null and b is not null")
+    edges = edges.where("a <> b")
     vertices = stage(edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct(), "vertices")
     moves = []
     left = _between(edges)
