@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.components import components
 from cohort_spark.llm.tables import spare
-from cohort_spark.llm.worker import held
+from cohort_spark.llm.worker import held, one_by_one
 from cohort_spark.sources.stages import stage
 
 #: Words of an n-gram; the similarity as a percentage.
@@ -54,6 +54,8 @@ MOST_SHARED, VERIFY = 6, 40
 SHARES, CHUNK_DOCS, CHUNK_LEAST = 2048, 2000, 4
 #: Words whose hash a worker keeps, longest word kept; bits of the filter for candidates' texts (8 MB).
 CACHED, LONGEST, MOST_BITS = 200_000, 48, 1 << 26
+#: Tokens of texts that a task keeps while it verifies pairs (8 MB).
+MOST_TOKENS = 1_000_000
 #: Longs of a parity sketch, 64 bits each.
 SKETCH = 4
 
@@ -100,7 +102,7 @@ def _frequent(k: int):
         sets: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in one_by_one(batch.column(0)):
                 sets.append(shingles(text, k))
                 size += len(sets[-1])
                 if len(sets) >= CHUNK_DOCS or size > 2_000_000:
@@ -125,7 +127,7 @@ def _signatures(sent, k: int, percent: int):
         heavy, often = sent.value
         for batch in batches:
             sizes, keys, prefixes, sketches = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in one_by_one(batch.column(2)):
                 tokens = shingles(text, k)
                 n = len(tokens)
                 sizes.append(n)
@@ -176,17 +178,20 @@ def joinable(n: int, percent: int) -> bool:
 def _links(percent: int, k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             known: dict[int, np.ndarray] = {}
-            linked = []
-            for i in range(len(a)):
-                for v, text in ((a[i], left[i]), (b[i], right[i])):
+            linked, held_tokens = [], 0
+            for i, texts in enumerate(zip(one_by_one(batch.column(2)), one_by_one(batch.column(3)))):
+                x, y = (known.get(v) for v in (a[i], b[i]))
+                x = shingles(texts[0], k) if x is None else x
+                y = shingles(texts[1], k) if y is None else y
+                if held_tokens + len(x) + len(y) > MOST_TOKENS:
+                    known.clear()
+                    held_tokens = 0
+                for v, tokens in ((a[i], x), (b[i], y)):
                     if v not in known:
-                        if len(known) > 256:
-                            known.clear()
-                        known[v] = shingles(text, k)
-                x, y = known.get(a[i]), known[b[i]]
-                x = shingles(left[i], k) if x is None else x
+                        known[v] = tokens
+                        held_tokens += len(tokens)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
             keep = np.flatnonzero(linked)

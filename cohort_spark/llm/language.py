@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.lattice import Lattice, Weights
 from cohort_spark.llm.tables import mixed, spare
-from cohort_spark.llm.worker import held
+from cohort_spark.llm.worker import held, one_by_one
 from cohort_spark.sources.stages import stage
 
 #: Bound of the training sample and the rounds of training.
@@ -53,7 +53,7 @@ class Languages:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(one_by_one(batch.column(0)), one_by_one(batch.column(1))):
             seen.setdefault(lang, Counter()).update(letters(text or ""))
     for lang, words in seen.items():
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()),
@@ -159,13 +159,13 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
     known = docs.sparkSession.sparkContext.broadcast(languages)
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("lang_pred string, score double")
-    def winner(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def winner(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = known.value
         likelihoods = held(key, lambda: _Scores(model, CACHED))
         for part in parts:
             names, scores = [], []
-            for whole in part:
+            for whole in one_by_one(part):
                 words = letters(whole) if whole and model.names else []
                 if not words:
                     names.append("und")
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
                 best = sums.max()
                 names.append(model.names[int(sums.argmax())])
                 scores.append(1.0 / float(np.exp(sums - best).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                             names=["lang_pred", "score"])
 
     rest = docs.drop("lang_pred", "score")
     found = f"{spare(rest)}found"

@@ -1,5 +1,11 @@
 """Every operator on hard rows, on empty tables and with clashing column names."""
 
+import sys
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +13,7 @@ from cohort_spark.llm import chat, decontamination, jaccard_join, language, lang
 from cohort_spark.llm import mixing, neighbours, sharding, token_counts
 
 ITEMS = "item_id long, text string"
+NO_TOKENS = SimpleNamespace(value=(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
 
 
 def count_tokens(docs, pieces):
@@ -93,3 +100,30 @@ def test_chat_cases(spark):
         (2, None, 0, "user", "a", 1), (2, None, 1, "assistant", "b", 1)}
     empty = spark.createDataFrame([], kind)
     assert chat.parse(empty, chat.learn(empty)).collect() == []
+
+
+@pytest.mark.parametrize("task", [language._count_words, jaccard_join._frequent(3), jaccard_join._signatures(NO_TOKENS, 3, 90)])
+def test_tasks_hold_few_texts_as_objects(task):
+    """A batch of texts takes several times its size as strings, so tasks make them a few at a time."""
+    text = " ".join(["漢字 the word"] * 600)
+    two = pa.array([text] * 200, pa.string())
+    batch = pa.RecordBatch.from_arrays([two, two, two], names=["a", "b", "c"])
+    tracemalloc.start()
+    for _ in task(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.5 * 200 * sys.getsizeof(text)
+
+
+def test_verified_pairs_keep_few_tokens(monkeypatch):
+    """Links are the same however few of the texts' tokens a task keeps."""
+    texts = [" ".join(f"w{j}" for j in range(i, i + 80)) for i in range(12)]
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)]
+    batch = pa.RecordBatch.from_pydict({"a": [i for i, _ in pairs], "b": [j for _, j in pairs],
+                                        "left": [texts[i] for i, _ in pairs], "right": [texts[j] for _, j in pairs]})
+    linked = lambda: [r for b in jaccard_join._links(90, 3)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(i, j) for i, j in pairs if 100 * (78 - (j - i)) >= 90 * (78 + (j - i))]
+    assert linked() == want
+    monkeypatch.setattr(jaccard_join, "MOST_TOKENS", 100)
+    assert linked() == want
