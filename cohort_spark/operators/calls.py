@@ -63,7 +63,7 @@ def passing_calls(calls: DataFrame, cohort: DataFrame) -> DataFrame:
     One-copy persons pass outright; the others need a binomial p under 0.01.
     """
     counted = read_counts(supported_calls(calls))
-    joined = natural_join(counted, cohort, "inner", on=["person_id"])
+    joined = natural_join(counted, cohort, "inner", on=["person_id"], both_grow=True)
     return with_binomial(joined, pairs=counted).filter((F.col("dragen_sex_ploidy") == fixed.SINGLE_COPY_PLOIDY)
                          | (F.col("binom_p_val") < fixed.MAX_BINOMIAL_P))
 

@@ -17,7 +17,8 @@ def build_cohort(demographics: DataFrame, ancestry: DataFrame, metrics: DataFram
     ancestry = ancestry.select(F.col("research_id").alias("person_id"), "ancestry_pred")
     metrics = metrics.select(F.col("research_id").alias("person_id"),
                              "dragen_sex_ploidy", "biosample_collection_date")
-    joined = natural_join(natural_join(demographics, ancestry), metrics)
+    joined = natural_join(natural_join(demographics, ancestry, both_grow=True), metrics,
+                          both_grow=True)
     known = joined.filter(F.col("date_of_birth").isNotNull()
                           & F.col("biosample_collection_date").isNotNull())
     age = round_half_even(exact_years(F.col("date_of_birth"),

@@ -2,7 +2,9 @@
 
 No join carries a broadcast hint: Catalyst and adaptive execution broadcast a
 side only when its measured size is under spark.sql.autoBroadcastJoinThreshold,
-and otherwise shuffle, splitting hot keys.
+and otherwise shuffle, splitting hot keys.  That size is the compressed one, of
+which a few megabytes may be hundreds in memory, so joins whose sides both grow
+with the input say so (``both_grow``) and are always shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ def _col(df: DataFrame, name: str):
 
 def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "inner",
             relationship: str | None = None, suffixes: tuple[str, str] = ("_x", "_y"),
-            null_safe: bool = True) -> DataFrame:
+            null_safe: bool = True, both_grow: bool = False) -> DataFrame:
     """Join left columns to differently named right columns; left names stay.
 
     ``relationship`` may be ``many-to-many`` (nothing is checked),
     ``many-to-one``, ``one-to-many`` or ``one-to-one``; the ``one`` sides are
-    checked for repeated keys before the join.
+    checked for repeated keys before the join.  ``both_grow`` says that neither
+    side stays small as the input grows, so none is sent through the driver.
     """
     if relationship not in (None, "many-to-many"):
         left_side, _, right_side = relationship.partition("-to-")
@@ -47,7 +50,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str
            for name in left.columns]
     out += [_col(renamed, f"__right_{name}").alias(name + suffixes[1] if name in shared else name)
             for name in others]
-    return left.join(renamed, condition, how).select(*out)
+    return left.join(shuffled(renamed) if both_grow else renamed, condition, how).select(*out)
+
+
+def shuffled(side: DataFrame) -> DataFrame:
+    """``side``, never broadcast by the join that it goes into, nor is the other side."""
+    return side.hint("merge")
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left",
@@ -70,10 +78,11 @@ def semi(df: DataFrame, keys: DataFrame, key: str, right_key: str | None = None)
     return df.join(keys, condition, "left_semi")
 
 
-def anti(df: DataFrame, keys: DataFrame, key: str, right_key: str | None = None) -> DataFrame:
+def anti(df: DataFrame, keys: DataFrame, key: str, right_key: str | None = None,
+         both_grow: bool = False) -> DataFrame:
     """Rows whose key does not occur in ``keys``."""
     keys, condition = _match(df, keys, key, right_key)
-    return df.join(keys, condition, "left_anti")
+    return df.join(shuffled(keys) if both_grow else keys, condition, "left_anti")
 
 
 def flag_in(df: DataFrame, keys: DataFrame, key: str, name: str,

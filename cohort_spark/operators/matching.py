@@ -28,7 +28,7 @@ def control_demand(cases: DataFrame, strata: Sequence[str] = MATCH_STRATA,
 
 
 def _hashed_pool(population, excluded, person, strata, seed):
-    pool = anti(population.select(person, *strata), excluded, person)
+    pool = anti(population.select(person, *strata), excluded, person, both_grow=True)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(person).cast("string")))
     return (pool.withColumn("__hash", digest)
             .withColumn("__bucket", F.substring("__hash", 1, _HASH_DIGITS)))
@@ -58,7 +58,7 @@ def match_controls(cases: DataFrame, population: DataFrame, excluded: DataFrame,
              .filter(F.col("__before") < F.col("num_controls_needed"))
              .select(*strata, "__bucket",
                      (F.col("num_controls_needed") - F.col("__before")).alias("__left")))
-    offered = natural_join(pool, quota, "inner", on=[*strata, "__bucket"])
+    offered = natural_join(pool, quota, "inner", on=[*strata, "__bucket"], both_grow=True)
     rank = F.row_number().over(
         Window.partitionBy(*strata, "__bucket").orderBy("__hash", person))
     return (offered.withColumn("__rank", rank).filter(F.col("__rank") <= F.col("__left"))
@@ -70,7 +70,7 @@ def match_deficit(cases: DataFrame, population: DataFrame, excluded: DataFrame,
                   person: str = "person_id") -> DataFrame:
     """Demand, supply and shortfall of every stratum that has a case."""
     strata = list(strata)
-    supply = (anti(population.select(person, *strata), excluded, person)
+    supply = (anti(population.select(person, *strata), excluded, person, both_grow=True)
               .groupBy(*strata).agg(F.count("*").alias("num_controls_avail")))
     joined = natural_join(control_demand(cases, strata, ratio), supply, "left", on=strata)
     avail = F.coalesce(F.col("num_controls_avail"), F.lit(0))

@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohort_spark.operators.joins import shuffled
 from cohort_spark.plans.study import Study
 from cohort_spark.sources.study_tables import LazySources
 
@@ -108,12 +109,13 @@ def person_lines(spark, sf_dir, part_cols: list[str], line_cols: list[str],
     """Order lines with their order and part.
 
     Parts come last: lines are shuffled twice, and of an order they carry little.
+    Orders and parts grow with the lines, so neither is broadcast.
     """
     part = table(spark, sf_dir, "part").select("p_partkey", *part_cols)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *order_cols)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *line_cols)
-    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    return (lines.join(shuffled(orders), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(shuffled(part), F.col("l_partkey") == F.col("p_partkey")))
 
 
 def calls(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohort_spark.operators import matching
+from cohort_spark.operators.cohort import build_cohort
+from cohort_spark.operators.joins import natural_join
 from cohort_spark.operators.scan import scan_counts
 from cohort_spark.plans import queries_io, stand_in
 from cohort_spark.plans.registry import shared_study
@@ -156,3 +158,17 @@ def test_calls_of_two_batches_are_made_once(spark):
 def test_parts_are_joined_to_lines_last(spark):
     columns = stand_in.person_lines(spark, SF_DIR, ["p_name"], ["l_linenumber"]).columns
     assert columns.index("o_custkey") < columns.index("p_name")
+
+
+def test_sides_that_grow_with_the_input_are_never_broadcast(spark):
+    study = shared_study(spark, SF_DIR)
+    s = study.sources
+    ancestry = s.demographics.selectExpr("person_id AS research_id", "race AS ancestry_pred")
+    pool = matching._hashed_pool(study.cohort, study.passing, "person_id", list(study.strata), 1)
+    for made in (s.diagnoses, s.medications, build_cohort(s.demographics, ancestry, s.metrics), pool):
+        assert "SortMergeJoin" in plan(made) and "Broadcast" not in plan(made)
+    drawn = matching.match_controls(study.cases, study.cohort, study.passing, study.strata)
+    assert not re.search(r"BroadcastHashJoin.*__bucket", plan(drawn))
+    few = spark.range(9).withColumnRenamed("id", "k")
+    assert "Broadcast" in plan(natural_join(few, few, on=["k"]))
+    assert "Broadcast" not in plan(natural_join(few, few, on=["k"], both_grow=True))
