@@ -14,7 +14,8 @@ its pieces like any other.
 Base: add-one-tenth unigrams over the training tokens, exact.  Counts of the
 most frequent words, of a bounded number of entries, go to every task.  Other
 words of a document meet their counts in a join on the word, a few rows a
-document, whose sums return by row.
+document, whose sums return by row.  The join sorts by word, so such a word's
+lattice is worked out behind it, once for all documents.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from cohort_spark.llm.language import piece_uses
 from cohort_spark.llm.lattice import Lattice, Weights
 from cohort_spark.llm.tables import most_frequent
-from cohort_spark.llm.worker import held
+from cohort_spark.llm.worker import held, one_by_one
+from cohort_spark.operators.joins import shuffled
 from cohort_spark.sources.stages import stage
 
-#: Entries of the broadcast table of frequent words; words a worker keeps.
+#: Entries of the broadcast table of frequent words; other words a worker keeps, longest one kept.
 FREQUENT, CACHED, LONGEST = 1 << 17, 200_000, 48
 #: Words of a task's counter before its rows are sent on.
 COUNTED = 400_000
@@ -111,7 +113,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     frequent = {r.word.encode(): r.n for r in most_frequent(model.counts, "n", FREQUENT).collect()}
     n = model.tokens
-    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.logp, frequent))
+    context = docs.sparkSession.sparkContext
+    fitted, table = context.broadcast((model.vocabulary, model.logp)), context.broadcast(frequent)
     end_base = log10((model.ends + 0.1) / (n + 0.1 * (model.distinct + 1)))
     end_model, go_on = log10(model.end), log10(1 - model.end) if model.end < 1 else 0.0
     base_total, nat = log10(n + 0.1 * (model.distinct + 1)), log10(e)
@@ -120,58 +123,76 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [c for c in rest.columns if c != text]
     given = rest.select(F.struct(*(names or [F.lit(0).alias("none")])).alias("row"), F.col(text).alias("text"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, logp, known = sent.value
-        # frequent words stay, so that making room for others never scores them anew
-        lattice, weights, common, kept = held(key, lambda: (Lattice.of_model(vocabulary, lower=True), [Weights(logp)], {}, {}))
-
-        def lookup(word: bytes) -> tuple[int, float, float]:
-            """Its count, or 0 outside the table; the base's score of a counted one; the lattice's."""
-            x = lattice.score(word.decode("utf-8", "surrogatepass"), weights)[0] * nat + go_on
-            c = known.get(word, 0)
-            found = (c, log10(c + 0.1) - base_total if c else 0.0, x)
-            if c:
-                common[word] = found
-            elif len(word) <= LONGEST:
-                if len(kept) >= CACHED:
-                    kept.clear()
-                kept[word] = found
-            return found
+    def scorer():
+        vocabulary, logp = fitted.value
+        lattice, weights = Lattice.of_model(vocabulary, lower=True), [Weights(logp)]
+        return lambda word: lattice.score(word, weights)[0] * nat + go_on
+
+    def known_words() -> dict[bytes, tuple[float, float]]:
+        """The base's score and the lattice's of each frequent word."""
+        score_of = scorer()
+        return {word: (log10(c + 0.1) - base_total, score_of(word.decode("utf-8", "surrogatepass")))
+                for word, c in table.value.items()}
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held(key, known_words).get
         for batch in batches:
-            out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
-            for whole in batch.column(1).to_pylist():
+            out = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
+            rare, times, ends = [], [], [0]
+            for whole in one_by_one(batch.column(1)):
                 words = words_of(whole)
-                total, plain, hits, rare = end_model, end_base, ends_known, []
+                total, plain, hits = end_model, end_base, ends_known
                 for word, m in Counter(words).items():
-                    c, x, y = common.get(word) or kept.get(word) or lookup(word)
-                    total += m * y
-                    if c:
-                        hits += m
-                        plain += m * x
+                    found = known(word)
+                    if found is None:
+                        rare.append(word)
+                        times.append(m)
                     else:
-                        rare.append({"word": word.decode("utf-8", "replace"), "n": m})
-                for k, value in zip(out, (len(words) + 1, hits, plain, total, rare)):
+                        hits += m
+                        plain += m * found[0]
+                        total += m * found[1]
+                ends.append(len(rare))
+                for k, value in zip(out, (len(words) + 1, hits, plain, total)):
                     out[k].append(value)
+            others = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
+                                                names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex for _ in range(len(batch))], pa.string()), batch.column(0),
                  pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
                  pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()),
-                 pa.array(out["rare"], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)],
                 names=["uid", "row", "n_tokens", "n_known", "base", "score", "rare"])
 
+    @F.arrow_udf("double")
+    def by_lattice(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score_of, kept = held(f"{key} rare", lambda: (scorer(), {}))
+        for part in parts:
+            coded = part.dictionary_encode()
+            scores = []
+            for word in coded.dictionary.to_pylist():
+                x = kept.get(word)
+                if x is None:
+                    x = score_of(word)
+                    if len(word) <= LONGEST:
+                        if len(kept) >= CACHED:
+                            kept.clear()
+                        kept[word] = x
+                scores.append(x)
+            yield pa.array(scores, pa.float64()).take(coded.indices)
+
     kinds = given.schema["row"].dataType.simpleString()
     # written, so that a row's uid is the same wherever the table is read
     first = stage(given.mapInArrow(read, f"uid string, row {kinds}, n_tokens long, n_known long, base double, "
                                         "score double, rare array<struct<word:string,n:bigint>>"), "first")
     rare = first.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")
     counts, c = model.counts.select("word", F.col("n").alias("c")), F.coalesce("c", F.lit(0))
-    found = (rare.join(counts, "word", "left")
+    found = (rare.join(shuffled(counts), "word", "left").withColumn("y", by_lattice("word"))
              .groupBy("uid").agg(F.sum(F.col("n") * model.base(c)).alias("more_base"),
+                                 F.sum(F.col("n") * F.col("y")).alias("more_score"),
                                  F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known")))
     return first.join(found, "uid", "left").select(
         *[F.col(f"row.`{name}`").alias(name) for name in names], "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score")
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

@@ -359,6 +359,22 @@ def test_lm_words_beyond_the_table(spark, docs, pieces, monkeypatch):
     assert np.allclose(whole.base_score, few.base_score.loc[whole.index]) and np.allclose(whole.score, few.score.loc[whole.index])
 
 
+def test_lm_words_beyond_the_table_are_worked_out_once(spark, documents, pieces, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+
+    class Counted(Lattice):
+        def score(self, word, models):
+            scored.add(1)
+            return Lattice.score(self, word, models)
+
+    words = [f"rare{'abcdefghij'[i % 10]}{'klm'[i // 10]}" for i in range(30)]
+    frame = documents([(i, " ".join(words[i % 7:] + words[:i % 7])) for i in range(40)]).repartition(4)
+    for name, value in (("Lattice", Counted), ("FREQUENT", 10), ("CACHED", 5)):
+        monkeypatch.setattr(language_model, name, value)
+    assert len(language_model.score(frame, language_model.learn(frame, pieces)).collect()) == 40
+    assert 30 <= scored.value <= 60
+
+
 def test_op9_blocks_and_hidden_roles(spark):
     turns = table(spark, SF, "conversations")
     model = chat.learn(turns)
