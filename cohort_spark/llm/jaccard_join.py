@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.components import components
 from cohort_spark.llm.tables import spare
-from cohort_spark.llm.worker import held, one_by_one
+from cohort_spark.llm.worker import few_texts, held, one_by_one
 from cohort_spark.sources.stages import stage
 
 #: Words of an n-gram; the similarity as a percentage.
@@ -177,10 +177,11 @@ def joinable(n: int, percent: int) -> bool:
 
 def _links(percent: int, k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held_tokens = 0
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            known: dict[int, np.ndarray] = {}
-            linked, held_tokens = [], 0
+            linked = []
             for i, texts in enumerate(zip(one_by_one(batch.column(2)), one_by_one(batch.column(3)))):
                 x, y = (known.get(v) for v in (a[i], b[i]))
                 x = shingles(texts[0], k) if x is None else x
@@ -232,12 +233,13 @@ def _verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: i
     wanted = stage(vertices.select("vid", "rep").join(ids, "vid")
                    .select("vid", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")), "wanted")
     maybe = _maybe_in(docs.sparkSession, wanted, "_th")
-    texts = stage(docs.where(maybe(F.col("th")))
-                  .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-                  .select("vid", "text").dropDuplicates(["vid"]), "texts")
-    sides = (pairs.join(texts.withColumnsRenamed({"vid": "a", "text": "left"}), "a")
-             .join(texts.withColumnsRenamed({"vid": "b", "text": "right"}), "b").select("a", "b", "left", "right"))
-    return stage(sides.mapInArrow(_links(percent, k), "a long, b long"), "links")
+    with few_texts(docs.sparkSession):
+        texts = stage(docs.where(maybe(F.col("th")))
+                      .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+                      .select("vid", "text").dropDuplicates(["vid"]), "texts")
+        sides = (pairs.join(texts.withColumnsRenamed({"vid": "a", "text": "left"}), "a")
+                 .join(texts.withColumnsRenamed({"vid": "b", "text": "right"}), "b").select("a", "b", "left", "right"))
+        return stage(sides.mapInArrow(_links(percent, k), "a long, b long"), "links")
 
 
 def _probe() -> Column:
@@ -297,11 +299,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("th", _text_hash("text"))
-    sent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
-    sign = _signatures(sent, k, percent)
     longs = ", ".join(f"{c} long" for c in sketch_columns())
-    rows = stage(docs.select("doc_id", "th", "text").mapInArrow(
-        sign, f"doc_id long, th long, n long, key binary, prefix array<long>, {longs}"), "rows")
+    with few_texts(spark):
+        sent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
+        rows = stage(docs.select("doc_id", "th", "text").mapInArrow(
+            _signatures(sent, k, percent), f"doc_id long, th long, n long, key binary, prefix array<long>, {longs}"), "rows")
     reps = (rows.where("n > 0").groupBy("key")
             .agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", *sketch_columns())]))
     # the written number of a vertex is the same wherever the table is read

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohort_spark.llm import chat, language_model, lines, mixing, neighbours, queries, sharding
+from cohort_spark.llm import chat, language_model, lines, mixing, neighbours, queries, sharding, worker
 from cohort_spark.llm.components import components
 from cohort_spark.llm.lattice import Lattice, Weights
 from cohort_spark.llm.jaccard_join import jaccard_join, one_of_each, parity_sketch, with_components
@@ -91,6 +92,29 @@ def test_one_of_each(hard):
     assert kept == sorted(map(str, [1, None, None, 2, 3, 4, 5, 6, 7, 9]))
 
 
+def test_near_duplicates_sends_workers_few_texts_at_once(spark, documents, monkeypatch):
+    given, seen, written = spark.conf.get(worker.BATCH_ROWS), {}, jaccard_join.__globals__["stage"]
+
+    def noted(df, name):
+        seen[name] = int(spark.conf.get(worker.BATCH_ROWS))
+        return written(df, name)
+
+    monkeypatch.setitem(jaccard_join.__globals__, "stage", noted)
+    one = " ".join(f"w{i}" for i in range(60))
+    assert one_of_each(documents([(1, one), (2, f"{one} x"), (3, "another text")])).count() == 2
+    assert {seen[name] for name in ("rows", "texts", "links")} == {worker.TEXT_ROWS}
+    assert spark.conf.get(worker.BATCH_ROWS) == given and seen["kept"] == int(given)
+    for own, most in (("7", 7), ("0", worker.TEXT_ROWS), ("20000", worker.TEXT_ROWS)):
+        spark.conf.set(worker.BATCH_ROWS, own)
+        try:
+            with worker.few_texts(spark):
+                sizes = spark.range(0, 1500, 1, 1).mapInArrow(
+                    lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) == most and spark.conf.get(worker.BATCH_ROWS) == own
+        finally:
+            spark.conf.unset(worker.BATCH_ROWS)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 101), (7, 3), (200, 200)]
     found = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
