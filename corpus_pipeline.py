@@ -7,6 +7,10 @@ the next, so a lost executor costs no finished stage.
 Every stage takes documents with any further columns, whatever their names, and
 gives them back as they came; only the last one adds (and replaces) ``size``,
 ``text_crc32``, ``shard`` and ``slot``.  An empty table gives an empty one.
+
+Stages whose rows are computed when they are written lower the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``TEXT_ROWS`` and leave it
+so, as a batch holds whole texts.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from cohort_spark.llm.mixing import mix
 from cohort_spark.llm.queries import PIECES, vocabulary
 from cohort_spark.llm.sharding import shard
 from cohort_spark.llm.tables import fold, spare, table
+from cohort_spark.llm.worker import few_texts_from_now
 from cohort_spark.sources.stages import stage
 
 #: Words of a shingle and similarity (percent) of near duplicates; shards written.
@@ -44,6 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language label teaches nothing.  Without any label no document can be placed
     and none stays.
     """
+    few_texts_from_now(spark)
     languages = language.learn(docs.where(fold("doc_id", 4) != 2), vocabulary(PIECES))
     given, names = _apart(docs)
     found = language.identify(given, languages, text=names["text"])
@@ -74,6 +80,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words is taken once; a missing source is one of its own;
     repeated rows are mixed one by one.
     """
+    few_texts_from_now(spark)
     given, names = _apart(docs)
     mixed = mix(given, text=names["text"], source=names["source"], doc_id=names["doc_id"]).where("copies > 0")
     times = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

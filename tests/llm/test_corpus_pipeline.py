@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohort_spark.llm import mixing
+from cohort_spark.llm import mixing, worker
 from cohort_spark.sources.stages import stage
 from llm.test_llm_operators import classes_by_hand, grams
 
@@ -83,3 +83,15 @@ def test_run_is_the_stages_in_turn(spark, steps):
     got = corpus_pipeline.run(spark, SF).toPandas()
     columns = ["doc_id", "text", "shard"]
     assert Counter(map(tuple, got[columns].values.tolist())) == Counter(map(tuple, steps[5][columns].values.tolist()))
+
+
+@pytest.mark.parametrize("step", [corpus_pipeline.language_id, corpus_pipeline.mixing])
+def test_stages_written_later_send_workers_few_texts_at_once(spark, documents, step):
+    docs = documents([(1, "the text of one", "en", "a"), (2, "le texte de deux", "fr", "b")])
+    try:
+        for own, most in (("10000", worker.TEXT_ROWS), ("7", 7)):
+            spark.conf.set(worker.BATCH_ROWS, own)
+            rows = step(spark, docs, SF)
+            assert int(spark.conf.get(worker.BATCH_ROWS)) == most and rows.count() >= 2
+    finally:
+        spark.conf.unset(worker.BATCH_ROWS)
